@@ -3,9 +3,8 @@
 Mapping tasks fill a memtable of digests and flush it as sorted runs, copies already merged.
 Runs are dealt by digest; each index shard keeps them with a Bloom filter per run and compacts
 them: entries that hit no other run's filter pass as they are, the others are merged, and the
-best identifier and the number of rows survive.  Texts whose digest is a hit then meet, and
-their bytes are compared; where one digest stands for several texts, the texts themselves form
-the groups.
+best identifier and the number of rows survive.  The bytes of equal digests are then compared;
+where one digest stands for several texts, the texts themselves form the groups.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.storage import Scratch
@@ -158,17 +157,18 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), BLANK_PATTERN, "")
     texts = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), plain.alias("plain"))
     texts = texts.withColumn("digest", F.expr(f"substring(unhex(sha2(plain, 256)), 1, {digest_bytes})"))
-    best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    groups = texts.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "plain").agg(F.min(best).alias("best"), F.count("*").alias("n"))
-    clash = groups.withColumn("texts", F.count("*").over(Window.partitionBy("digest"))).where("texts > 1")
-    clash = keep.table(clash.select("digest", "plain", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), F.col("n").alias("group_size")), "clash")
+    # copies merge before the shuffle, so a text that fills a third of the rows is one row a task
+    variants = texts.groupBy("digest", "plain").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))
+    clash = keep.table(variants.where("texts > 1").select("digest"), "clash")
 
     out = entries.select("doc_id", "n_chars", "sha", "digest").join(hits, "digest", "left")
     if not clash.isEmpty():
-        split = clash.select("digest").distinct()
-        out = out.join(split, "digest", "left_anti")
-        again = texts.join(clash, ["digest", "plain"]).withColumn("sha", F.unhex(F.sha2("plain", 256)))
-        out = out.unionByName(again.drop("plain"))
+        best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+        texts = texts.join(clash, "digest", "left_semi")
+        groups = texts.groupBy("digest", "plain").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
+        groups = groups.select("digest", "plain", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size")
+        again = texts.join(groups, ["digest", "plain"]).withColumn("sha", F.unhex(F.sha2("plain", 256)))
+        out = out.join(clash, "digest", "left_anti").unionByName(again.drop("plain"))
     one = F.col("group_size").isNull()
     kept = one | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")))
     return out.select(

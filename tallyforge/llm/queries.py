@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing
+from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir), n=3, num=90, den=100)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("n_chars")
 
@@ -46,7 +50,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op4_exact_dedup, op7_language_id, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op7_language_id, op9_byte_bpe)}
 
 SQL = {
     "op1_mix_sources": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join
+from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(documents(spark, sf_dir), *byte_bpe(), decode=True)
     return ids.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op7_language_id, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op7_language_id, op8_substring_dedup, op9_byte_bpe)}
 
 SQL = {
     "op1_mix_sources": r"""

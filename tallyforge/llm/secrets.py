@@ -38,7 +38,7 @@ TRIGGER = re.compile(r"[0-9]+|(?:" + "|".join(TELLING) + r")|(?<![A-Za-z+/_-])[A
 #: Tokens that a telling word opens, the length from which a token is open, characters around a trigger.
 REACH, LONG, AROUND = 4, 20, 80
 #: Documents of the sample with and without a base span; rounds of the fit.
-SAMPLE, ROUNDS = 600, 150
+SAMPLE, ROUNDS = 600, 400
 #: What stands between a telling word and its secret in the altered copies.
 FILLERS = (" ", " is ", " -> ", " was set to ")
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -156,14 +156,14 @@ class Field:
         w, t = np.zeros((len(self.names) + 1, 3)), np.zeros((3, 3))
         mom, total = [np.zeros_like(w), np.zeros_like(t), np.zeros_like(w), np.zeros_like(t)], sum(len(b[2]) for b in batches)
         for step in range(1, ROUNDS + 1 if total else 0):
-            gw, gt = -2e-3 * w, -2e-3 * t
+            gw, gt = -1e-5 * w, -1e-5 * t
             for ids, tag, size in batches:
                 a, b = self._gradient(w, t, ids, tag, size)
                 gw, gt = gw + a / total, gt + b / total
             for p, g, k in ((w, gw, 0), (t, gt, 1)):
                 mom[k] = 0.9 * mom[k] + 0.1 * g
                 mom[k + 2] = 0.999 * mom[k + 2] + 0.001 * g * g
-                p += 0.1 * (mom[k] / (1 - 0.9**step)) / (np.sqrt(mom[k + 2] / (1 - 0.999**step)) + 1e-8)
+                p += 0.2 * (mom[k] / (1 - 0.9**step)) / (np.sqrt(mom[k + 2] / (1 - 0.999**step)) + 1e-8)
             w[-1] = 0
         self.w, self.t = w, t
         return self

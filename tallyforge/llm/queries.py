@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, secrets, spans, substring_dedup
+from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, pii, secrets, spans, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op6_secret_scan, op7_language_id, op8_substring_dedup, op9_byte_bpe)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, sf_dir))
+    return found.select("doc_id", *spans.digest_columns("spans", pii.KINDS))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op6_secret_scan, op7_language_id, op8_substring_dedup, op9_byte_bpe, op10_pii)}
 
 SQL = {
     "op1_mix_sources": r"""

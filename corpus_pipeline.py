@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, langid, mixing, queries
 from tallyforge.llm.exact_dedup import exact_dedup
+from tallyforge.llm.ngram_join import ngram_join
 from tallyforge.llm.stages import keep_rows
 from tallyforge.storage import Scratch
 
@@ -28,6 +29,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_rows(docs, found.where("kept").select("doc_id", "n_chars"))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group that links of five-word shingles, 0.8 alike, join.
+
+    Rows without a doc_id stay.
+    """
+    found = ngram_join(docs, n=5, num=80, den=100)
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return mixing.emit(mixing.mix(docs))
@@ -39,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("language_id", language), ("exact_dedup", exact), ("mix_sources", mixture), ("byte_bpe", tokens)]
+STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_join", near), ("mix_sources", mixture), ("byte_bpe", tokens)]
 
 #: The classifier and the encoder have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, pii, secrets, spans, substring_dedup
+from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, packing, pii, secrets, spans, substring_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).drop("n_chars")
 
 
+def op5_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.pack(bpe.encode(documents(spark, sf_dir), *byte_bpe()), length=2048)
+    return rows.select("shard", "row", "n_tokens", "n_segments", "doc_ids", "offsets", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.train(docs))
@@ -66,7 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *spans.digest_columns("spans", pii.KINDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op6_secret_scan, op7_language_id, op8_substring_dedup, op9_byte_bpe, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op5_packed_tokens, op6_secret_scan, op7_language_id, op8_substring_dedup, op9_byte_bpe, op10_pii)}
 
 SQL = {
     "op1_mix_sources": r"""

@@ -15,6 +15,6 @@ def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     keys = keys.select(F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n")).distinct()
     size = F.length(F.coalesce("text", F.lit(""))).cast("long")
     own = docs.withColumn("__len", size)
-    joined = own.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__len") == F.col("__n")), "left_semi")
+    joined = own.join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__len") == F.col("__n")), "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", "__len").orderBy(F.xxhash64("text")))
     return joined.withColumn("__row", first).where("__row = 1").drop("__row", "__len")

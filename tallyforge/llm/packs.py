@@ -53,8 +53,8 @@ class Pack:
     texts: list[bytes]
 
 
-def build(docs: DataFrame) -> DataFrame:
-    """Packs of the rows of ``docs`` (doc_id long, text), in the order of its partitions."""
+def build(docs: DataFrame, least: int = PACK) -> DataFrame:
+    """Packs of the rows of ``docs`` (doc_id long, text), in the order of its partitions, each of ``least`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -72,7 +72,7 @@ def build(docs: DataFrame) -> DataFrame:
                 ids.append(NONE if i is None else i)
                 texts.append(data)
                 size += len(data)
-                if size >= PACK:
+                if size >= least:
                     yield close()
         if ids:
             yield close()

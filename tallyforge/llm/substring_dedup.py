@@ -24,6 +24,8 @@ from tallyforge.storage import Scratch
 SPAN, SEED = 50, 16
 #: Eight-byte words that multikey quicksort looks at before blind tries take over.
 SHALLOW = 2
+#: Bytes of a pack here, and buckets for each: what a task holds is some hundred times a pack.
+PACK, BUCKETS = 2 << 20, 2
 U = np.uint64
 _PLACE = U((1 << 30) - 1)
 
@@ -62,12 +64,9 @@ def _minimizers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def deep_shallow(rows: np.ndarray) -> np.ndarray:
     """The order of equally long byte rows (n x width)."""
     n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    words = padded.view(">u8").astype(np.uint64)
     order, at, group = np.arange(n), np.arange(n), np.zeros(n, np.int64)
-    for k in range(min(SHALLOW, words.shape[1])):
-        key = words[order[at], k]
+    for k in range(min(SHALLOW, width // 8)):
+        key = np.ascontiguousarray(rows[order[at], 8 * k : 8 * k + 8]).view(">u8").ravel().astype(np.uint64)
         by = np.lexsort((key, group))
         order[at] = order[at][by]
         key, group = key[by], group[by]
@@ -259,9 +258,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     keep = Scratch(spark, "substring-dedup")
-    packs = keep.table(pk.build(docs), "packs")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs.count() + 1)
-    asked = keep.table(pk.ask(packs, n, _keys, _shared), "asked")
+    packs = keep.table(pk.build(docs, PACK), "packs")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS * packs.count() + 1)
+    asked = keep.table(pk.ask(packs, n // (2 * BUCKETS) + 1, _keys, _shared), "asked")
     keep.drop("packs")
     sent = asked.mapInArrow(_send(n), "bucket int, pack long, sizes binary, body binary, least binary")
     got = sent.groupBy("bucket").applyInArrow(_meet, "pack long, bucket int, answer binary")

@@ -224,7 +224,7 @@ def _cut(n: int):
             for p, row in pk.read(batch):
                 s = _Stretches(p, pk.codes_of(batch, row), n)
                 body = np.frombuffer(s.body, np.uint8)
-                edge = np.zeros(len(body) + 1, np.int64)
+                starts = [np.zeros(0, np.int64)]
                 for bucket, answer in zip(batch.column("buckets")[row].as_py() or [], batch.column("answers")[row].as_py() or [], strict=True):
                     low = np.frombuffer(pk.unsqueeze(answer), "<i8")
                     size = np.array([len(x) - SPAN + 1 for x in s.strings[bucket]], np.int64)
@@ -232,8 +232,9 @@ def _cut(n: int):
                     number, k = s.number[mine], size[s.number[mine]]
                     step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                     found = low[np.repeat((np.cumsum(size) - size)[number], k) + step] < np.repeat(s.doc[mine], k)
-                    start = (np.repeat(s.first[mine], k) + step)[found]
-                    edge += np.bincount(start, minlength=len(edge)) - np.bincount(start + SPAN, minlength=len(edge))
+                    starts.append((np.repeat(s.first[mine], k) + step)[found])
+                start = np.concatenate(starts)
+                edge = np.bincount(start, minlength=len(body) + 1) - np.bincount(start + SPAN, minlength=len(body) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 cols = ([], [], [], [])
                 for a, e in zip((s.ends - [len(t) for t in p.texts]).tolist(), s.ends.tolist(), strict=True):

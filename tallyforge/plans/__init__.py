@@ -1 +1,4 @@
+"""Registered queries."""
 
+from tallyforge.plans import evaluation, trajectories  # noqa: F401
+from tallyforge.plans.registry import QUERIES, SQL  # noqa: F401

@@ -68,3 +68,19 @@ def ledger_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = b.attempts(spark, sf_dir).select(
         "example_id", "ts", "attempt_id", F.coalesce("tokens_out", F.lit(20)).alias("est"), (F.coalesce("tokens_in", F.lit(0)) + F.coalesce("tokens_out", F.lit(0))).alias("act"))
     return admit(calls, ["example_id"], ["ts", "attempt_id"], "est", "act", cap=2000)
+
+
+@register("windowed_accounting", """
+select date_trunc('day', ts) as start, event_type as kind, count(*) as attempts, round(sum(value), 4) as value from {events} group by date_trunc('day', ts), event_type""")
+def windowed_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.streaming.windows import windowed_accounting as account
+
+    return account(b.table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("latest_checkpoint_store", "select example_id, strategy, task_score, ended_at from {metrics}")
+def latest_checkpoint_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.operators.store import latest
+
+    raw = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_linenumber").alias("strategy"), F.round(1 - F.col("l_discount") * 10, 2).alias("task_score"), F.struct("l_shipdate", "l_partkey", "l_suppkey").alias("seq"))
+    return latest(raw, ["example_id", "strategy"], "seq").select("example_id", "strategy", "task_score", F.col("seq.l_shipdate").alias("ended_at"))

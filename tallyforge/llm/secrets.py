@@ -110,7 +110,7 @@ def describe(tokens: list[tuple[str, int, int]], of_file: list[str]) -> list[tup
         may |= k == "telling" and len(t) >= 16 and any(c.isdigit() for c in t)
         if not word and t in "._=+/-" and i and i + 1 < len(tokens) and tokens[i - 1][2] == a and tokens[i + 1][1] == b:
             may = True
-        size = "1" if b - a < 4 else "4" if b - a < 8 else "8" if b - a < 16 else "16" if b - a < 32 else "32"
+        size = "1" if b - a < 4 else "4" if b - a < 8 else "8" if b - a < 16 else "16"
         prev = kinds[i - 1] if i else "edge"
         glued = "glued" if i and tokens[i - 1][2] == a else "apart"
         out.append((["one", k, f"{k}/{size}", f"-1:{prev}", f"-2:{kinds[i - 2] if i > 1 else 'edge'}", f"+1:{kinds[i + 1] if i + 1 < len(tokens) else 'edge'}", f"{glued}/{prev}", f"since:{min(since, 5)}/{size}", *of_file], may))

@@ -41,9 +41,11 @@ def sorted_unique(x: np.ndarray) -> np.ndarray:
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
+    x = x ^ (x >> U(33))
+    for by in (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53)):
+        x *= by
+        x ^= x >> U(33)
+    return x
 
 
 @dataclass

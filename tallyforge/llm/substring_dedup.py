@@ -25,7 +25,7 @@ SPAN, SEED = 50, 16
 #: Eight-byte words that multikey quicksort looks at before blind tries take over.
 SHALLOW = 2
 #: Bytes of a pack here, and buckets for each: what a task holds is some hundred times a pack.
-PACK, BUCKETS = 2 << 20, 2
+PACK, BUCKETS = 1 << 20, 1
 U = np.uint64
 _PLACE = U((1 << 30) - 1)
 
@@ -38,7 +38,10 @@ def _minimizers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     w = buf.astype(np.uint64)
     for k in (1, 2, 4):
         w = w[:-k] | (w[k:] << U(8 * k))
-    h = pk.mix(w[:-8] * U(0x9E3779B97F4A7C15) + pk.mix(w[8:]))
+    h = pk.mix(w[8:])
+    h += w[:-8] * U(0x9E3779B97F4A7C15)
+    del w
+    h = pk.mix(h)
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     size = SPAN - SEED + 1
     step = 1

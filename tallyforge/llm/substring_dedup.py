@@ -26,6 +26,8 @@ SPAN, SEED = 50, 16
 SHALLOW = 2
 #: Bytes of a pack here, and buckets for each: what a task holds is some hundred times a pack.
 PACK, BUCKETS = 1 << 20, 1
+#: Windows that are sorted at a time, about.
+SORTED = 100_000
 U = np.uint64
 _PLACE = U((1 << 30) - 1)
 
@@ -201,16 +203,21 @@ def _meet(table: pa.Table) -> pa.Table:
     start = np.cumsum(windows) - windows
     owner = np.repeat(np.arange(len(known)), windows)
     where = at[first][owner] + np.arange(len(owner)) - start[owner]
-    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), SPAN)[where]
-    order = deep_shallow(rows)
-    new = np.ones(len(order), bool)
-    for lo in range(1, len(order), 1 << 18):
-        hi = min(len(order), lo + (1 << 18))
-        new[lo:hi] = (rows[order[lo:hi]] != rows[order[lo - 1 : hi - 1]]).any(axis=1)
-    starts = np.flatnonzero(new)
-    low = np.minimum.reduceat(best[owner[order]], starts)
-    of = np.empty(len(order), np.int64)
-    of[order] = np.repeat(low, np.diff(np.append(starts, len(order))))
+    buf = np.frombuffer(body, np.uint8)
+    view = np.lib.stride_tricks.sliding_window_view(buf, SPAN)
+    # windows that begin alike are sorted together, so many at a time
+    parts = len(where) // SORTED + 1
+    part = sum(buf[where + k].astype(np.uint32) * np.uint32(c) for k, c in enumerate((7919, 104729, 1299709, 15485863))) % np.uint32(parts)
+    of = np.empty(len(where), np.int64)
+    for k in range(parts):
+        own = np.flatnonzero(part == k)
+        if len(own):
+            rows = view[where[own]]
+            order = deep_shallow(rows)
+            rows = rows[order]
+            starts = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
+            low = np.minimum.reduceat(best[owner[own[order]]], starts)
+            of[own[order]] = np.repeat(low, np.diff(np.append(starts, len(order))))
     out, i = [], 0
     for s in sizes:
         mine = number[i : i + len(s)]

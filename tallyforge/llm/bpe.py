@@ -17,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.stages import give_back
+
 #: White space other than space and line feed, in either Python's or Unicode's sense.
 _OTHER = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 #: Safe places in a text of any kind: before a space that follows a visible ASCII character.
 _SAFE = re.compile(r"(?<=[!-~])(?= )")
 #: Entries of the table of pieces, the longest piece that goes there, and the characters from
 #: which a text of any kind is cut at all.
-PIECES, LONGEST, LONG = 600_000, 32, 50_000
+PIECES, LONGEST, LONG = 200_000, 32, 50_000
+#: Rows that are encoded and sent on at a time.
+SLICE = 500
 _codecs: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -95,11 +99,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
         for batch in batches:
-            ids = [codec.encode(x.as_py() or "") for x in batch.column("text")]
-            cols = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
-            if decode:
-                cols["decoded"] = pa.array([codec.decode(x) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_pydict(cols)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [codec.encode(x.as_py() or "") for x in part.column("text")]
+                cols = {"doc_id": part.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
+                if decode:
+                    cols["decoded"] = pa.array([codec.decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(cols)
 
     schema = f"doc_id {key.simpleString()}, n_tokens long, token_ids binary" + ", decoded binary" * decode
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(give_back(run), schema)

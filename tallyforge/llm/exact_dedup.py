@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
 #: Fixed: the characters that are deleted before texts are compared.
@@ -148,10 +149,10 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     spark = docs.sparkSession
     keep = Scratch(spark, "exact-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    entries = keep.table(docs.mapInArrow(_entries(digest_bytes), "doc_id long, n_chars long, sha binary, digest binary, n_rows long"), "entries")
-    runs = entries.select(*_COLS).mapInArrow(_flush(digest_bytes, False), _RUN)
+    entries = keep.table(docs.mapInArrow(give_back(_entries(digest_bytes)), "doc_id long, n_chars long, sha binary, digest binary, n_rows long"), "entries")
+    runs = entries.select(*_COLS).mapInArrow(give_back(_flush(digest_bytes, False)), _RUN)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = runs.repartition(n, "digest").mapInArrow(_flush(digest_bytes, True), _RUN).where("n_rows > 1")
+    index = runs.repartition(n, "digest").mapInArrow(give_back(_flush(digest_bytes, True)), _RUN).where("n_rows > 1")
     hits = keep.table(index.select("digest", F.expr(f"nullif(doc_id, {_NONE}L)").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("n_rows").alias("group_size")), "hits")
 
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), BLANK_PATTERN, "")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.stages import give_back
+
 #: Buckets of n-gram features; rounds and step of the fit.
 DIM, ROUNDS, STEP = 8192, 120, 4.0
 #: Documents of each language that the fit sees at most, and over all languages.
@@ -159,4 +161,4 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
+    return docs.mapInArrow(give_back(run), f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import packs as pk
 from tallyforge.llm.components import connected_components
+from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
 #: Sets that a task joins at a time; a larger block is cut into chunks of about so many.
@@ -256,7 +257,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, packs.count() // 4 + 1)
     asked = pk.ask(packs, buckets, _keys(n), _frequency)
-    sets = keep.table(asked.mapInArrow(_sets(n, num, den), "doc_id long, n_shingles long, name binary, tokens binary, prefix binary"), "sets")
+    sets = keep.table(asked.mapInArrow(give_back(_sets(n, num, den)), "doc_id long, n_shingles long, name binary, tokens binary, prefix binary"), "sets")
     keep.drop("packs")
 
     entries = sets.where("prefix is not null").select("name", "prefix").mapInArrow(_entries, "token long, name binary").distinct()
@@ -270,7 +271,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     members = members.withColumn("other", other).select("root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "name", "n_shingles", "tokens")
     members = members.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = keep.table(members.mapInArrow(_joined(num, den), "u binary, v binary"), "links")
+    links = keep.table(members.mapInArrow(give_back(_joined(num, den)), "u binary, v binary"), "links")
 
     linked = connected_components(links, keep, "linked")
     names = sets.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.stages import give_back
+
 #: Bytes of text from which a pack is closed.
 PACK = 4 << 20
 #: Stands for a null doc_id: it sorts last.
@@ -79,7 +81,7 @@ def build(docs: DataFrame, least: int = PACK) -> DataFrame:
         if ids:
             yield close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PACK_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(give_back(run), PACK_SCHEMA)
 
 
 def read(batch: pa.RecordBatch) -> Iterator[tuple[Pack, int]]:
@@ -134,7 +136,7 @@ def ask(packs: DataFrame, n: int, keys_of: Callable[[Pack], tuple[np.ndarray, np
         out = [squeeze(codes[e - len(k) : e].tobytes()) for k, e in zip(keys, ends, strict=True)]
         return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "codes": pa.array(out, pa.binary())})
 
-    sent = packs.mapInArrow(send, "bucket int, pack long, keys binary, marks binary")
+    sent = packs.mapInArrow(give_back(send), "bucket int, pack long, keys binary, marks binary")
     got = sent.groupBy("bucket").applyInArrow(reply, "pack long, bucket int, codes binary")
     got = got.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("bucket", "codes"))).alias("codes"))
     return packs.join(got.hint("merge"), "pack", "left").withColumn("codes", F.expr("transform(codes, c -> c.codes)"))

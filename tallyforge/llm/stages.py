@@ -1,11 +1,35 @@
-"""What stages of a pipeline share."""
+"""What operators and stages share."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``f`` for mapInArrow, after which freed memory returns to the system.
+
+    Python workers are reused, so what one operator's arrays took would otherwise stay with the
+    worker through the stages that follow.
+    """
+
+    def run(batches: Batches) -> Batches:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id and text length are in ``keys`` (doc_id, n_chars), each pair once.
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import packs as pk
+from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
 SPAN, SEED = 50, 16
@@ -273,8 +274,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS * packs.count() + 1)
     asked = keep.table(pk.ask(packs, n // (2 * BUCKETS) + 1, _keys, _shared), "asked")
     keep.drop("packs")
-    sent = asked.mapInArrow(_send(n), "bucket int, pack long, sizes binary, body binary, least binary")
+    sent = asked.mapInArrow(give_back(_send(n)), "bucket int, pack long, sizes binary, body binary, least binary")
     got = sent.groupBy("bucket").applyInArrow(_meet, "pack long, bucket int, answer binary")
     got = got.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("got"))
     both = asked.join(got.hint("merge"), "pack", "left").withColumn("buckets", F.col("got.bucket")).withColumn("answers", F.col("got.answer"))
-    return both.mapInArrow(_cut(n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(give_back(_cut(n)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

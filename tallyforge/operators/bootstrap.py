@@ -10,13 +10,13 @@ def paired_interval(deltas: DataFrame, group: str, order: str, value: str, round
     """``group, low, high``: order statistics at 2.5 and 97.5 % of the means of ``rounds`` resamples.
 
     Resample b takes, for j below n, the value at place md5(seed|b|j) mod n.  The table of
-    indexes has rounds * n rows for each group and is joined by group and place, so its size
-    follows the cohort, which the caller bounds.
+    indexes has rounds * n rows for each group, made from the rows themselves, and is joined by
+    group and place.
     """
     place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     d = deltas.select(group, place.alias("pos"), value)
     n = d.groupBy(group).agg(F.count("*").alias("n"))
-    idx = n.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    idx = d.select(group, F.col("pos").cast("long").alias("j")).join(n, group).select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string")))
     idx = idx.select(group, "b", (F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % F.col("n")).alias("pos"))
     means = idx.join(d, [group, "pos"]).groupBy(group, "b").agg(F.avg(value).alias("m"))

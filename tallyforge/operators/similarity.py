@@ -32,3 +32,26 @@ def near_pairs(texts: DataFrame, least: float, buckets: int = 64) -> DataFrame:
     pairs = pairs.where(2 * letters / (F.col("n") + F.col("n_b")) >= least)
     pairs = pairs.withColumn("ratio", block_ratio("text", "text_b")).where(F.col("ratio") >= least)
     return pairs.select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b"), "ratio").distinct()
+
+
+def holding_pairs(docs: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:
+    """``doc_id, item_id`` of each row of ``docs`` whose text holds the text of an item.
+
+    Cut at spaces, all but the first and the last piece of an item are whole pieces of a text
+    that holds it.  So the pieces from the second on, ``width`` of them, are looked up among the
+    runs of pieces of all texts, and only rows that share them are compared.  Items too short for
+    that are compared with every text.  Null texts hold nothing and are held by nothing; equal
+    rows of ``items`` count once.
+    """
+    items = items.where("text is not null").select("item_id", F.col("text").alias("item")).distinct()
+    cut = F.split("item", " ")
+    long_ = items.where(F.size(cut) >= width + 2).withColumn("key", F.concat_ws(" ", F.slice(cut, 2, width)))
+    short = items.where(F.size(cut) < width + 2)
+    texts = docs.where("text is not null").select("doc_id", "text")
+    pieces = F.col("pieces")
+    runs = F.transform(F.sequence(F.lit(1), F.size(pieces) - (width - 1)), lambda k: F.concat_ws(" ", F.slice(pieces, k, F.lit(width))))
+    keys = texts.select("doc_id", F.split("text", " ").alias("pieces")).where(F.size(pieces) >= width).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    near = keys.join(long_, "key").select(F.col("doc_id").alias("near_id"), "item_id", "item").distinct()
+    found = texts.join(near, F.col("doc_id").eqNullSafe(F.col("near_id"))).where(F.contains("text", "item"))
+    rest = texts.join(short, F.contains("text", "item"))
+    return found.select("doc_id", "item_id").unionAll(rest.select("doc_id", "item_id"))

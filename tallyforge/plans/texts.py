@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as t
 from tallyforge.operators.routing import evaluate_router
-from tallyforge.operators.similarity import near_pairs
+from tallyforge.operators.similarity import holding_pairs, near_pairs
 from tallyforge.plans.bindings import table
 from tallyforge.plans.registry import declare, register
 
@@ -85,8 +85,13 @@ def normalize_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 declare("text_support_checks", """
 select d.doc_id as doc_id, contains(lower(d.text), 'token') as says_token, length(d.text) > 2000 as is_long, (length(d.text) - length(replace(d.text, '. ', ''))) / 2 + 1 as sentences from {documents} d""")
-declare("contamination_pairs", """
-select d.doc_id as doc_id, b.item_id as item_id from {documents} d join {benchmark} b on contains(d.text, b.text)""")
+
+
+@register("contamination_pairs", "select d.doc_id as doc_id, b.item_id as item_id from {documents} d join {benchmark} b on contains(d.text, b.text)")
+def contamination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holding_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 declare("token_cost_estimate", """
 select doc_id, cast(floor((length(text) + 2 + 3) / 4) as bigint) as est_tokens, round(cast(floor((length(text) + 2 + 3) / 4) as double) * cast(0.0005 as double), 6) as cost from {documents}""")
 declare("json_schema_validation", """
@@ -137,9 +142,9 @@ def learned_router_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("paired_delta_interval", """
 with b0 as (select example_id, task_score from {metrics} where strategy = 1),
-d as (select m.strategy, row_number() over (partition by m.strategy order by m.example_id) - 1 as pos, m.task_score - b0.task_score as delta from {metrics} m join b0 on m.example_id = b0.example_id where m.strategy <> 1 and m.example_id < 400),
+d as (select m.strategy, row_number() over (partition by m.strategy order by m.example_id) - 1 as pos, m.task_score - b0.task_score as delta from {metrics} m join b0 on m.example_id = b0.example_id where m.strategy <> 1),
 n as (select strategy, count(*) as n from d group by strategy),
-idx as (select n.strategy, bb.b, j.j, ('0x' || substr(md5('7|' || bb.b || '|' || j.j), 1, 7))::bigint % n.n as pos from n, range(0, 100) bb(b), range(0, 400) j(j) where j.j < n.n),
+idx as (select n.strategy, bb.b, j.j, ('0x' || substr(md5('7|' || bb.b || '|' || j.j), 1, 7))::bigint % n.n as pos from n, range(0, 100) bb(b), range(0, (select max(n) from n)) j(j) where j.j < n.n),
 boots as (select i.strategy, i.b, avg(d.delta) as m from idx i join d on d.strategy = i.strategy and d.pos = i.pos group by i.strategy, i.b),
 r as (select strategy, round(m, 6) as m, row_number() over (partition by strategy order by m) as k from boots)
 select strategy, max(case when k = 3 then m end) as low, max(case when k = 98 then m end) as high from r group by strategy""")
@@ -147,7 +152,7 @@ def paired_delta_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.operators.bootstrap import paired_interval
     from tallyforge.plans.bindings import metrics
 
-    m = metrics(spark, sf_dir).where("example_id < 400")
+    m = metrics(spark, sf_dir)
     base = m.where("strategy = 1").select("example_id", F.col("task_score").alias("base"))
     deltas = m.where("strategy <> 1").join(base, "example_id").select("strategy", "example_id", (F.col("task_score") - F.col("base")).alias("delta"))
     return paired_interval(deltas, "strategy", "example_id", "delta", rounds=100, seed=7)

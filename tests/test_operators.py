@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as t
 from tallyforge.operators import ledger, store
+from tallyforge.operators.similarity import holding_pairs
 from tallyforge.sources import files
 from tallyforge.streaming.windows import windowed_accounting
 
@@ -61,3 +62,11 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path):
     q.awaitTermination(120)
     closed, batch = {tuple(r) for r in spark.table("acc").collect()}, {tuple(r) for r in windowed_accounting(events).collect()}
     assert closed and closed <= batch
+
+
+def test_holding_pairs(spark):
+    docs = [(1, "xa b c d e fx y"), (2, None), (3, ""), (None, "so a b c d e f"), (4, "a b  c d e f"), (5, "short one"), (5, "ort o")]
+    items = [(10, "a b c d e f"), (11, "ort o"), (12, None), (13, "b  c d e f"), (10, "a b c d e f")]
+    got = holding_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(i, j) for i, x in docs for j, y in dict.fromkeys(items) if x is not None and y is not None and y in x]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, langid, mixing, queries
-from tallyforge.llm.exact_dedup import exact_dedup
+from tallyforge.llm.exact_dedup import exact_dedup, text_sha256
 from tallyforge.llm.ngram_join import ngram_join
 from tallyforge.llm.stages import keep_rows
 from tallyforge.storage import Scratch
@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     found = exact_dedup(docs)
-    return keep_rows(docs, found.where("kept").select("doc_id", "n_chars"))
+    return keep_rows(docs, found.where("kept").select("doc_id", "n_chars", "text_sha256"), text_sha256("text"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.stages import give_back
@@ -137,6 +137,11 @@ def _entries(width: int):
     return run
 
 
+def text_sha256(text: str) -> Column:
+    """The digest that ``exact_dedup`` returns, of a column of texts."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_PATTERN, ""), 256)
+
+
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, n_chars`` of each row of ``docs``.
 

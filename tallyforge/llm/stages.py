@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,15 +30,17 @@ def give_back(f: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return run
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id and text length are in ``keys`` (doc_id, n_chars), each pair once.
+def keep_rows(docs: DataFrame, keys: DataFrame, digest: Column) -> DataFrame:
+    """Rows of ``docs`` whose doc_id, text length and digest are in ``keys``, each triple once.
 
-    The join deals both sides by the pair, so the choice of one of several equal rows (repeated
-    rows of a table) needs no further shuffle.  Null ids match null ids.
+    ``digest`` is the column of ``docs`` that ``keys`` (doc_id, n_chars, text_sha256) has as
+    text_sha256, so only rows of one doc_id (null ids match null ids) and one text without its
+    blanks compete.
     """
-    keys = keys.select(F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n")).distinct()
+    keys = keys.select(F.col("doc_id").alias("__id"), F.col("n_chars").alias("__n"), F.unhex("text_sha256").alias("__sha")).distinct()
     size = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    own = docs.withColumn("__len", size)
-    joined = own.join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__len") == F.col("__n")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__len").orderBy(F.xxhash64("text")))
-    return joined.withColumn("__row", first).where("__row = 1").drop("__row", "__len")
+    own = docs.withColumn("__len", size).withColumn("__digest", F.unhex(digest))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__len") == F.col("__n")) & (F.col("__digest") == F.col("__sha"))
+    joined = own.join(keys.hint("merge"), same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__len", "__digest").orderBy(F.xxhash64("text")))
+    return joined.withColumn("__row", first).where("__row = 1").drop("__row", "__len", "__digest")

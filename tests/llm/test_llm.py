@@ -214,3 +214,13 @@ def test_pipeline(spark):
             assert sorted(r[0] for r in df.select("doc_id").collect()) == sorted(r[0] for r in found.select("doc_id").collect())
     whole = corpus_pipeline.run(spark, DIR)
     assert sorted(map(str, whole.collect())) == sorted(map(str, df.collect())) and whole.where(F.col("n_tokens") > 0).count()
+
+
+def test_exact_stage_keeps_each_text(spark):
+    import corpus_pipeline
+
+    rows = [(None, "abc"), (None, "xyz"), (None, "xyz"), (None, None), (5, "one two"), (5, "two one"), (5, "on etwo"), (6, "x yz"), (6, "p qr"), (7, "pqr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.exact(spark, docs, "").collect()
+    want = [(5, "onetwo"), (5, "twoone"), (6, "pqr"), (6, "xyz"), (None, ""), (None, "abc")]
+    assert sorted(((r.doc_id, (r.text or "").replace(" ", "")) for r in got), key=str) == want

@@ -105,11 +105,12 @@ class Model:
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
-    """Fit on a bounded sample of rows with text, lang and doc_id.
+    """Fit on a bounded sample of rows with text and lang.
 
-    Of each language the rows of smallest hash in ``per_language`` classes of hashes (fewer when
-    there are more than in_all / per_language languages) are the sample: a partial aggregate
-    over ids, without a window over a language's rows.
+    Of each language the text of smallest hash in each of ``per_language`` classes of hashes
+    (fewer when there are more than in_all / per_language languages) is the sample: a partial
+    aggregate, without a window over a language's rows.  A text that a language has many times
+    counts once; doc_id is not read.
     """
     labelled = labelled.where("lang is not null and text is not null")
     langs = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").limit(in_all + 1).collect()]
@@ -118,20 +119,23 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = I
     if not langs:
         return Model([], np.zeros((0, DIM)), np.zeros(0, int))
     m = max(1, min(per_language, in_all // len(langs)))
-    h = F.xxhash64("doc_id", F.lit(11))
-    chosen = labelled.groupBy("lang", F.pmod(h, F.lit(m)).alias("cell")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id"))).alias("least"))
-    chosen = chosen.select(F.col("least.doc_id").alias("doc_id")).distinct()
-    # at most in_all ids
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    labelled = labelled.select("lang", "text", F.xxhash64("text", F.lit(11)).alias("h"))
+    chosen = labelled.groupBy("lang", F.pmod("h", F.lit(m)).alias("cell")).agg(F.min("h").alias("h")).select("lang", "h")
+    # at most in_all hashes
+    sample = labelled.join(F.broadcast(chosen), ["lang", "h"], "left_semi").select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, f) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if (f := features(t)) is not None]
-            at = [np.flatnonzero(f).astype("<u2") for _, f in rows]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in rows], pa.string()), "at": pa.array([a.tobytes() for a in at], pa.binary()), "v": pa.array([f[a].astype("<f2").tobytes() for (_, f), a in zip(rows, at, strict=True)], pa.binary())})
-
-    rows = sample.mapInArrow(run, "lang string, at binary, v binary").collect()
-    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.v), bytes(r["at"])))[: 2 * in_all]
+            rows = [(lang, h, f) for lang, h, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True) if (f := features(t)) is not None]
+            at = [np.flatnonzero(f).astype("<u2") for _, _, f in rows]
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([x for x, _, _ in rows], pa.string()), "h": pa.array([h for _, h, _ in rows], pa.int64()),
+                "at": pa.array([a.tobytes() for a in at], pa.binary()), "v": pa.array([f[a].astype("<f2").tobytes() for (_, _, f), a in zip(rows, at, strict=True)], pa.binary()),
+            })
+
+    found = sample.mapInArrow(run, "lang string, h long, at binary, v binary")
+    rows = found.groupBy("lang", "h").agg(F.min(F.struct("v", "at")).alias("f")).select("lang", "f.v", "f.at").collect()
+    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.v), bytes(r["at"])))
     x, y = np.zeros((len(rows), DIM), np.float32), np.array([langs.index(r.lang) for r in rows], int)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r.v, "<f2")

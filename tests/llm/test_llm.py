@@ -224,3 +224,17 @@ def test_exact_stage_keeps_each_text(spark):
     got = corpus_pipeline.exact(spark, docs, "").collect()
     want = [(5, "onetwo"), (5, "twoone"), (6, "pqr"), (6, "xyz"), (None, ""), (None, "abc")]
     assert sorted(((r.doc_id, (r.text or "").replace(" ", "")) for r in got), key=str) == want
+
+
+def test_language_sample_is_bounded_by_rows(spark):
+    # one id for every row, and no id: neither takes a language out nor brings more rows than asked
+    seen = []
+    words = {"aa": "alpha beta gamma", "zz": "xylo zebra quux"}
+    rows = [(i, f"{words[lang]} {k}" + "y" * (k % 9), lang) for i in (7, None) for lang in words for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for part in (docs, docs.where("doc_id is null")):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(langid, "Model", lambda langs, x, y, model=langid.Model: seen.append((langs, np.bincount(y).tolist())) or model(langs, x, y))
+            model = langid.train(part, per_language=8, in_all=16)
+        assert seen[-1][0] == ["aa", "zz"] and all(1 < n <= 8 for n in seen[-1][1])
+        assert [model.predict(x)[0] for x in words.values()] == ["aa", "zz"]

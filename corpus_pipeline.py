@@ -13,14 +13,16 @@ from tallyforge.storage import Scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages; text without a letter goes.
+    """Documents in one of the languages; text without a letter goes, and text far from all of them.
 
     The classifier is fitted on the documents' own labels, a bounded sample; close calls
-    between two languages stay, as both are languages of the corpus.
+    between two languages stay, as both are languages of the corpus.  Far is above a bound on
+    the decoding's loss, learned from labelled texts; with labels of fewer than three languages
+    there is no bound, and all text with a letter stays.
     """
-    model = langid.train(docs.where(~langid.held_out("doc_id")))
-    names = ("__lang_pred", "__score", "__ambiguous")
-    return langid.predict(docs, model, names).where(F.col(names[0]) != "und").drop(*names)
+    model = langid.train(docs.where(~langid.held_out("doc_id")), bound=True)
+    names = ("__lang_pred", "__score", "__ambiguous", "__near")
+    return langid.predict(docs, model, names).where(names[3]).drop(*names)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

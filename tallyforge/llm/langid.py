@@ -23,6 +23,8 @@ from tallyforge.llm.stages import give_back
 DIM, ROUNDS, STEP = 8192, 120, 4.0
 #: Documents of each language that the fit sees at most, and over all languages.
 PER_LANGUAGE, IN_ALL = 256, 8192
+#: A text is far from all languages above so many times the greatest ``strange`` of labelled texts that the fit has not seen.
+SLACK = 4.0
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -78,7 +80,7 @@ class Model:
     """Languages, their codewords and a weight vector per bit."""
 
     def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray):
-        self.langs, self.code = langs, codewords(len(langs))
+        self.langs, self.code, self.far = langs, codewords(len(langs)), np.inf
         target = self.code[y] if len(langs) else np.zeros((0, 1))
         self.w = np.zeros((DIM, self.code.shape[1] if len(langs) else 1), np.float32)
         self.b = np.zeros(self.w.shape[1], np.float32)
@@ -89,28 +91,53 @@ class Model:
             self.w += 10 * STEP * (x.T @ g).astype(np.float32) - np.float32(1e-4) * self.w
             self.b += STEP * g.sum(axis=0).astype(np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        x = features(text)
-        if x is None or not self.langs:
-            return "und", 0.0, False
+    def strange(self, margin: np.ndarray, best: int) -> float:
+        """Mean loss of the bits on which the nearest language and a second agree, for the second where it is least.
+
+        A text that mixes two languages has undecided bits only where they differ, so it is not strange.
+        """
+        agree = self.code == self.code[best]
+        agree[best] = False
+        size = agree.sum(axis=1)
+        total = (np.logaddexp(0, -self.code[best] * margin) * agree).sum(axis=1)
+        return float((total[size > 0] / size[size > 0]).min(initial=np.inf))
+
+    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of the bits and the loss against each codeword."""
         margin = x @ self.w + self.b
         # each bit's loss counts by how sure the bit is
         sure = np.abs(np.tanh(margin / 2)) + 1e-6
-        loss = (np.logaddexp(0, -self.code * margin) * sure).sum(axis=1) / sure.sum()
+        return margin, (np.logaddexp(0, -self.code * margin) * sure).sum(axis=1) / sure.sum()
+
+    def predict(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """Language, score, whether it is a close call and whether the text is near any language."""
+        x = features(text)
+        if x is None or not self.langs:
+            return "und", 0.0, False, x is not None
+        margin, loss = self.decode(x)
         p = np.exp(-len(margin) * (loss - loss.min()))
         p /= p.sum()
         best = int(np.argmin(loss))
         second = float(np.partition(p, -2)[-2]) if len(p) > 1 else 0.0
-        return self.langs[best], float(min(1.0, p[best])), bool(p[best] < 2 * second)
+        near = self.far == np.inf or self.strange(margin, best) <= self.far
+        return self.langs[best], float(min(1.0, p[best])), bool(p[best] < 2 * second), near
+
+    def learn_bound(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Set ``far`` by a fit on every other row and the rest; below three languages no two agree on a bit."""
+        if len(self.langs) > 2 and len(y) >= 2 * len(self.langs):
+            half = Model(self.langs, x[::2], y[::2])
+            seen = [half.decode(row) for row in x[1::2]]
+            self.far = SLACK * max(half.strange(margin, int(np.argmin(loss))) for margin, loss in seen)
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL, bound: bool = False) -> Model:
     """Fit on a bounded sample of rows with text and lang.
 
     Of each language the text of smallest hash in each of ``per_language`` classes of hashes
     (fewer when there are more than in_all / per_language languages) is the sample: a partial
     aggregate, without a window over a language's rows.  A text that a language has many times
-    counts once; doc_id is not read.
+    counts once; doc_id is not read.  ``bound``: also learn how far from all languages a text is
+    none of them, at the price of half a fit.
     """
     labelled = labelled.where("lang is not null and text is not null")
     langs = [r[0] for r in labelled.select("lang").distinct().orderBy("lang").limit(in_all + 1).collect()]
@@ -140,7 +167,11 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = I
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r.v, "<f2")
     have = sorted(set(y.tolist()))
-    return Model([langs[k] for k in have], x, np.searchsorted(have, y))
+    y = np.searchsorted(have, y)
+    model = Model([langs[k] for k in have], x, y)
+    if bound:
+        model.learn_bound(x, y)
+    return model
 
 
 def held_out(doc_id) -> F.Column:
@@ -148,21 +179,25 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+def predict(docs: DataFrame, model: Model, names: tuple[str, ...] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """All columns of ``docs`` and language, score (0 to 1) and ambiguity of each row's whole text.
 
+    A fourth name asks for a column that is true where text has a letter and is no
+    stranger than ``model.far``; a model without languages or bound finds none far.
     Text that is null or without a letter is ``und`` with score 0.  Columns that had the added
     names are replaced.  Rows that repeat stay; an empty table stays empty.  No shuffle.
     """
     docs = docs.drop(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    types = (pa.string(), pa.float64(), pa.bool_(), pa.bool_())
+    added = ", ".join(f"{name} {t}" for name, t in zip(names, ("string", "double", "boolean", "boolean"), strict=False))
     blob = zlib.compress(pickle.dumps(model), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(zlib.decompress(blob))
         for batch in batches:
             got = [own.predict(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
-            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate(types[: len(names)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(give_back(run), f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
+    return docs.mapInArrow(give_back(run), f"{schema}, {added}")

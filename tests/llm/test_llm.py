@@ -238,3 +238,18 @@ def test_language_sample_is_bounded_by_rows(spark):
             model = langid.train(part, per_language=8, in_all=16)
         assert seen[-1][0] == ["aa", "zz"] and all(1 < n <= 8 for n in seen[-1][1])
         assert [model.predict(x)[0] for x in words.values()] == ["aa", "zz"]
+
+
+def test_language_stage_decides(spark):
+    import corpus_pipeline
+
+    docs = queries.documents(spark, DIR).select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    odd = ["".join(rng.choices("qzxjkvw ", k=300)), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)), "1 2 3 --", None]
+    rows = docs.unionByName(spark.createDataFrame([(-1 - i, x, None) for i, x in enumerate(odd)], docs.schema))
+    assert sorted(r[0] for r in corpus_pipeline.language(spark, rows, "").select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
+    for bare in (rows.withColumn("lang", F.lit(None).cast("string")), rows.where("doc_id < 0")):
+        got = corpus_pipeline.language(spark, bare, "")
+        assert sorted(r[0] for r in got.where("doc_id < 0").collect()) == [-2, -1] and got.count() == bare.count() - 2
+    got = corpus_pipeline.language(spark, rows.withColumn("doc_id", F.lit(None).cast("long")), "")
+    assert got.count() == docs.count()

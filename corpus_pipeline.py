@@ -32,13 +32,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group that links of five-word shingles, 0.8 alike, join.
+    """The smallest doc_id (null last) of each group that links of five-word shingles, 0.8 alike, join.
 
-    Rows without a doc_id stay.
+    Rows are told apart by a key of their own, written with them, so rows without a doc_id or
+    with the same one go and stay by their texts.
     """
-    found = ngram_join(docs, n=5, num=80, den=100)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    key = F.monotonically_increasing_id()
+    keyed = Scratch(spark, "near").table(docs.withColumns({"__key": key, "__hash": F.xxhash64("text")}), "keyed")
+    found = ngram_join(keyed.select(F.col("__key").alias("doc_id"), "text"), n=5, num=80, den=100)
+    ids = keyed.select("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__key").alias("rank"))
+    ranked = found.select(F.col("doc_id").alias("__key"), "component_id").join(ids.hint("merge"), "__key")
+    stay = ranked.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.__key").alias("__key"))
+    return keyed.join(stay.hint("merge"), "__key", "left_semi").drop("__key", "__hash")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -253,3 +253,14 @@ def test_language_stage_decides(spark):
         assert sorted(r[0] for r in got.where("doc_id < 0").collect()) == [-2, -1] and got.count() == bare.count() - 2
     got = corpus_pipeline.language(spark, rows.withColumn("doc_id", F.lit(None).cast("long")), "")
     assert got.count() == docs.count()
+
+
+def test_near_stage_goes_by_rows(spark):
+    import corpus_pipeline
+
+    base = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(None, base[0] + " x"), (None, base[0]), (None, base[0] + " y"), (3, base[1]), (2, base[1] + " z"), (3, base[2]), (None, base[1] + " w"), (9, None), (None, ""), (4, base[3]), (4, base[3] + " v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, (r.text or "")[:1]) for r in got.collect()), key=str) == [(2, "b"), (3, "c"), (4, "d"), (9, ""), (None, ""), (None, "a")]

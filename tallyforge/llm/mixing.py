@@ -62,13 +62,14 @@ def source_targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) ->
     )
 
 
-def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, key: Column | None = None) -> DataFrame:
     """Every row of ``docs`` (needs doc_id, text, source) with its repetitions.
 
     Adds ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``; other columns stay,
     save that earlier columns of these names are replaced.  Null text has size 0, a null
     source is a source of its own, sources of size 0 get target and rate 0, a null doc_id
     hashes as the word null, repeated rows get equal copies, an empty table gives no rows.
+    Rows of equal ``key`` (doc_id, as the SQL has it, if none is given) share a draw.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
     sized = docs.withColumn("mix_size", word_count(F.col("text")))
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, see
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("mix_rate", rate)
-    extra = (unit_hash(F.col("doc_id"), seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("int")
+    extra = (unit_hash(F.col("doc_id") if key is None else key, seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("int")
     return joined.withColumn("mix_copies", (F.floor("mix_rate") + extra).cast("int"))
 
 

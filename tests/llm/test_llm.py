@@ -264,3 +264,13 @@ def test_near_stage_goes_by_rows(spark):
     got = corpus_pipeline.near(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, (r.text or "")[:1]) for r in got.collect()), key=str) == [(2, "b"), (3, "c"), (4, "d"), (9, ""), (None, ""), (None, "a")]
+
+
+def test_mixture_stage_draws_for_each_text(spark):
+    import corpus_pipeline
+
+    rows = [(None, f"one two three {k}", f"s{k % 2}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.source: r["count"] for r in corpus_pipeline.mixture(spark, docs, "").groupBy("source").count().collect()}
+    # weights 1 and 2 of 2000 equal documents
+    assert abs(got["s0"] - 2000 / 3) < 100 and abs(got["s1"] - 4000 / 3) < 100

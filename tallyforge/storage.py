@@ -16,10 +16,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the setting is absent."""
+    """The cluster's shared folder; on a local master without the setting, a folder of this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
@@ -43,9 +45,10 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+        """``df`` written and read again; few rows a file where rows are large, as readers hold a file's rows at once."""
         where = f"{self.root}/{name}"
-        df.write.parquet(where)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(where)
         path, fs = self._path(name)
         fs.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(where)

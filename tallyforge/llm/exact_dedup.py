@@ -9,7 +9,6 @@ where one digest stands for several texts, the texts themselves form the groups.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,9 @@ from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
 #: Fixed: the characters that are deleted before texts are compared.
-BLANK = b" \t\n\x0b\x0c\r"
 BLANK_PATTERN = "[\\x20\\x09-\\x0D]+"
 #: Entries of a memtable, runs that a shard gathers before it compacts, bits of filter per entry.
 MEMTABLE, FANOUT, FILTER_BITS = 65_536, 8, 10
-_NONE = np.iinfo(np.int64).max  # stands for a null doc_id: it sorts last
 _COLS = ("digest", "n_chars", "doc_id", "n_rows")
 _RUN = "digest binary, n_chars long, doc_id long, n_rows long"
 
@@ -33,8 +30,8 @@ _RUN = "digest binary, n_chars long, doc_id long, n_rows long"
 class Run:
     """Digests in order, each once, with the longest and then smallest row and the count."""
 
-    def __init__(self, words: np.ndarray, n_chars: np.ndarray, doc_id: np.ndarray, n_rows: np.ndarray):
-        self.words, self.n_chars, self.doc_id, self.n_rows = words, n_chars, doc_id, n_rows
+    def __init__(self, words: np.ndarray, n_chars: np.ndarray, none: np.ndarray, doc_id: np.ndarray, n_rows: np.ndarray):
+        self.words, self.n_chars, self.none, self.doc_id, self.n_rows = words, n_chars, none, doc_id, n_rows
         self.bits = max(64, FILTER_BITS * len(words))
         self.filter = np.zeros(self.bits // 8 + 1, np.uint8)
         for at in self._places(words):
@@ -50,22 +47,22 @@ class Run:
         return out
 
     def take(self, mask: np.ndarray) -> tuple[np.ndarray, ...]:
-        return self.words[mask], self.n_chars[mask], self.doc_id[mask], self.n_rows[mask]
+        return tuple(x[mask] for x in (self.words, self.n_chars, self.none, self.doc_id, self.n_rows))
 
     @classmethod
-    def sorted(cls, words: np.ndarray, n_chars: np.ndarray, doc_id: np.ndarray, n_rows: np.ndarray) -> "Run":
-        order = np.lexsort((doc_id, -n_chars, *words.T[::-1]))
+    def sorted(cls, words: np.ndarray, n_chars: np.ndarray, none: np.ndarray, doc_id: np.ndarray, n_rows: np.ndarray) -> "Run":
+        order = np.lexsort((doc_id, none, -n_chars, *words.T[::-1]))
         words = words[order]
         new = np.ones(len(words), bool)
         new[1:] = (words[1:] != words[:-1]).any(axis=1)
         at = np.flatnonzero(new)
-        return cls(words[at], n_chars[order][at], doc_id[order][at], np.add.reduceat(n_rows[order], at) if len(at) else n_rows[:0])
+        return cls(words[at], n_chars[order][at], none[order][at], doc_id[order][at], np.add.reduceat(n_rows[order], at) if len(at) else n_rows[:0])
 
     def batch(self, width: int) -> pa.RecordBatch:
         raw = np.ascontiguousarray(self.words.astype(">u8")).tobytes()
         step = self.words.shape[1] * 8
         digests = [raw[i : i + width] for i in range(0, len(raw), step)]
-        return pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "n_chars": self.n_chars, "doc_id": self.doc_id, "n_rows": self.n_rows})
+        return pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "n_chars": self.n_chars, "doc_id": pa.array(self.doc_id, mask=self.none), "n_rows": self.n_rows})
 
 
 class Index:
@@ -79,8 +76,8 @@ class Index:
         width = max((len(x) for x in batch.column("digest").to_pylist()), default=1)
         padded = b"".join(x.as_py().ljust(-(-width // 8) * 8, b"\0") for x in batch.column("digest"))
         words = np.frombuffer(padded, ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
-        cols = [np.asarray(batch.column(c).fill_null(_NONE)).astype(np.int64) for c in _COLS[1:]]
-        self.held.append((words, *cols))
+        n_chars, doc_id, n_rows = (np.asarray(batch.column(c).fill_null(0)).astype(np.int64) for c in _COLS[1:])
+        self.held.append((words, n_chars, np.asarray(batch.column("doc_id").is_null()), doc_id, n_rows))
         self.size += batch.num_rows
         return self.flush() if self.size >= MEMTABLE else None
 
@@ -124,28 +121,20 @@ def _flush(width: int, compact: bool):
     return run
 
 
-def _entries(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column("text")]
-            shas = [hashlib.sha256(x.encode().translate(None, BLANK)).digest() for x in texts]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n_chars": pa.array([len(x) for x in texts], pa.int64()),
-                "sha": pa.array(shas, pa.binary()), "digest": pa.array([x[:width] for x in shas], pa.binary()), "n_rows": pa.array([1] * len(texts), pa.int64()),
-            })
-
-    return run
-
-
 def text_sha256(text: str) -> Column:
     """The digest that ``exact_dedup`` returns, of a column of texts."""
-    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_PATTERN, ""), 256)
+    return F.sha2(plain_text(text), 256)
+
+
+def plain_text(text: str) -> Column:
+    """A text without its blanks, which are compared; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_PATTERN, "")
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256, n_chars`` of each row of ``docs``.
 
-    Texts are equal when identical without the characters of ``BLANK``; null is empty.  The row
+    Texts are equal when identical without the characters of ``BLANK_PATTERN``; null is empty.  The row
     with the most code points, then the smallest doc_id (null last), stays.  Rows that repeat
     doc_id and length of the row that stays are all marked kept; each counts in group_size.
     Only doc_id (an integer) and text are read.  An empty table gives no rows.  A small
@@ -154,14 +143,15 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     spark = docs.sparkSession
     keep = Scratch(spark, "exact-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    entries = keep.table(docs.mapInArrow(give_back(_entries(digest_bytes)), "doc_id long, n_chars long, sha binary, digest binary, n_rows long"), "entries")
+    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    hashed = docs.select("doc_id", size.alias("n_chars"), F.unhex(text_sha256("text")).alias("sha"))
+    entries = keep.table(hashed.withColumn("digest", F.substring("sha", 1, digest_bytes)).withColumn("n_rows", F.lit(1).cast("long")), "entries")
     runs = entries.select(*_COLS).mapInArrow(give_back(_flush(digest_bytes, False)), _RUN)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = runs.repartition(n, "digest").mapInArrow(give_back(_flush(digest_bytes, True)), _RUN).where("n_rows > 1")
-    hits = keep.table(index.select("digest", F.expr(f"nullif(doc_id, {_NONE}L)").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("n_rows").alias("group_size")), "hits")
+    hits = keep.table(index.select("digest", F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("n_rows").alias("group_size")), "hits")
 
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), BLANK_PATTERN, "")
-    texts = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), plain.alias("plain"))
+    texts = docs.select("doc_id", size.alias("n_chars"), plain_text("text").alias("plain"))
     texts = texts.withColumn("digest", F.expr(f"substring(unhex(sha2(plain, 256)), 1, {digest_bytes})"))
     # copies merge before the shuffle, so a text that fills a third of the rows is one row a task
     variants = texts.groupBy("digest", "plain").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))

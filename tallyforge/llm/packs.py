@@ -1,10 +1,12 @@
 """Packs of documents, and asking all of them about keys that they may share.
 
-A pack is a few megabytes of texts, compressed, in one row of a table in the shared folder.
+A pack is some megabytes of texts, compressed, in one row of a table in the shared folder.
 Operators that must know which of their keys occur elsewhere send, for each pack, its keys by
 bucket in a few bytes each; whoever holds a bucket answers with one code for each key sent, in
 the order sent.  So a key costs some bytes in the shuffle, not a row, a key that everybody has
-costs one entry a pack, and the answers return to where the text is.
+costs one entry a pack, and the answers return to where the text is.  A bucket holds a fixed
+amount of keys, so buckets grow with the input; a pack sends rows for the buckets that its keys
+fall in, at most one for each of its keys.
 """
 
 from __future__ import annotations
@@ -20,13 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.stages import give_back
+from tallyforge.storage import Scratch
 
-#: Bytes of text from which a pack is closed.
-PACK = 4 << 20
-#: Stands for a null doc_id: it sorts last.
-NONE = np.iinfo(np.int64).max
+#: Bytes of text from which a pack is closed, and packs of a file (readers hold a file's packs at once).
+PACK, FILE_PACKS = 16 << 20, 4
 U = np.uint64
-PACK_SCHEMA = "pack long, ids binary, sizes binary, body binary"
+PACK_SCHEMA = "pack long, n_bytes long, ids binary, nulls binary, sizes binary, body binary"
 
 
 def squeeze(data: bytes) -> bytes:
@@ -52,10 +53,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Pack:
+    """Texts with their ids; where ``nulls`` is set the doc_id is null and the id says nothing."""
+
     pack: int
     ids: np.ndarray
+    nulls: np.ndarray
     texts: list[bytes]
 
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, pa.int64(), mask=self.nulls)
+
 
 def build(docs: DataFrame, least: int = PACK) -> DataFrame:
     """Packs of the rows of ``docs`` (doc_id long, text), in the order of its partitions, each of ``least`` bytes."""
@@ -66,14 +73,17 @@ def build(docs: DataFrame, least: int = PACK) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             nonlocal ids, texts, size, n
-            cols = [[(part << 32) + n], [np.array(ids, "<i8").tobytes()], [np.array([len(t) for t in texts], "<i8").tobytes()], [squeeze(b"".join(texts))]]
+            nulls = np.array([i is None for i in ids], np.uint8)
+            numbers = np.array([i or 0 for i in ids], "<i8")
+            cols = [(part << 32) + n, size, numbers.tobytes(), nulls.tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), squeeze(b"".join(texts))]
             ids, texts, size, n = [], [], 0, n + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["pack", "ids", "sizes", "body"])
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, kinds, strict=True)], names=["pack", "n_bytes", "ids", "nulls", "sizes", "body"])
 
         for batch in batches:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 data = (t.as_py() or "").encode()
-                ids.append(NONE if i is None else i)
+                ids.append(i)
                 texts.append(data)
                 size += len(data)
                 if size >= least:
@@ -84,19 +94,31 @@ def build(docs: DataFrame, least: int = PACK) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(give_back(run), PACK_SCHEMA)
 
 
+def stored(docs: DataFrame, keep: Scratch, least: int = PACK) -> tuple[DataFrame, int]:
+    """The packs as a table, and the bytes of all texts."""
+    packs = keep.table(build(docs, least), "packs", FILE_PACKS)
+    return packs, packs.agg(F.sum("n_bytes")).first()[0] or 0
+
+
 def read(batch: pa.RecordBatch) -> Iterator[tuple[Pack, int]]:
     """The packs of a batch, each with its row's number."""
     for i in range(batch.num_rows):
         sizes = np.frombuffer(batch.column("sizes")[i].as_py(), "<i8")
         body, ends = unsqueeze(batch.column("body")[i].as_py()), np.cumsum(sizes)
         texts = [body[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-        yield Pack(batch.column("pack")[i].as_py(), np.frombuffer(batch.column("ids")[i].as_py(), "<i8"), texts), i
+        nulls = np.frombuffer(batch.column("nulls")[i].as_py(), np.uint8).astype(bool)
+        yield Pack(batch.column("pack")[i].as_py(), np.frombuffer(batch.column("ids")[i].as_py(), "<i8"), nulls, texts), i
+
 
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Which of n (below 2 ** 31) equal ranges of 64-bit keys each key is in."""
+    return (((keys >> U(32)) * U(n)) >> U(32)).astype(np.int64)
 
-def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where the keys of each of n buckets end in sorted 64-bit keys, from 0 up."""
-    tops = [-(-(b << 64) // n) for b in range(1, n)]
-    return np.concatenate(([0], np.searchsorted(keys, np.array(tops, np.uint64)), [len(keys)]))
+
+def cuts_of(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending bucket numbers: each number that occurs, and where its run begins (and the last one ends)."""
+    at = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else np.zeros(0, np.int64)
+    return buckets[at], np.append(at, len(buckets))
 
 
 def low40(keys: np.ndarray) -> bytes:
@@ -112,25 +134,26 @@ def from_low40(data: bytes) -> np.ndarray:
 def ask(packs: DataFrame, n: int, keys_of: Callable[[Pack], tuple[np.ndarray, np.ndarray]], answer: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """``packs`` with ``codes``: answers of one byte for each key of the pack, in the keys' order.
 
-    keys_of: a pack's distinct keys in order, and a byte for each.  answer: from the keys (40
-    bits of them) and bytes of all packs in one bucket, unordered, the code of each.
+    keys_of: a pack's distinct keys in order, and an unsigned 32-bit mark for each.  answer: from
+    the keys (40 bits of them) and marks of all packs in one of n buckets, unordered, the code of each.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, _ in read(batch):
                 keys, marks = keys_of(p)
-                ends = buckets_of(keys, n)
-                used = [b for b in range(n) if ends[b + 1] > ends[b]]
-                cut = [slice(ends[b], ends[b + 1]) for b in used]
+                used, at = cuts_of(bucket_of(keys, n))
+                marks = marks.astype("<u4")
+                low = low40(keys)
+                cut = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(used, pa.int32()), "pack": pa.array([p.pack] * len(used), pa.int64()),
-                    "keys": pa.array([low40(keys[c]) for c in cut], pa.binary()), "marks": pa.array([squeeze(marks[c].tobytes()) for c in cut], pa.binary()),
+                    "keys": pa.array([low[5 * a : 5 * b] for a, b in cut], pa.binary()), "marks": pa.array([squeeze(marks[a:b].tobytes()) for a, b in cut], pa.binary()),
                 })
 
     def reply(table: pa.Table) -> pa.Table:
         keys = [from_low40(x) for x in table.column("keys").to_pylist()]
-        marks = [np.frombuffer(unsqueeze(x), np.uint8) for x in table.column("marks").to_pylist()]
+        marks = [np.frombuffer(unsqueeze(x), "<u4") for x in table.column("marks").to_pylist()]
         codes = answer(np.concatenate(keys), np.concatenate(marks)).astype(np.uint8)
         ends = np.cumsum([len(k) for k in keys])
         out = [squeeze(codes[e - len(k) : e].tobytes()) for k, e in zip(keys, ends, strict=True)]
@@ -145,3 +168,18 @@ def ask(packs: DataFrame, n: int, keys_of: Callable[[Pack], tuple[np.ndarray, np
 def codes_of(batch: pa.RecordBatch, row: int) -> np.ndarray:
     got = batch.column("codes")[row].as_py() or []
     return np.frombuffer(b"".join(unsqueeze(x) for x in got), np.uint8)
+
+
+def totals(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys, where each distinct key begins in it, and the sum of its marks."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return order, at, np.add.reduceat(marks[order].astype(np.int64), at) if len(k) else at
+
+
+def spread(codes: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code of each distinct key (as in ``totals``) at every place of that key."""
+    out = np.empty(len(order), np.uint8)
+    out[order] = np.repeat(codes, np.diff(np.append(at, len(order))))
+    return out

@@ -3,34 +3,60 @@
 Every window of ``SPAN`` bytes is charged to its minimizer, the 16-byte string of least hash in
 it, so equal windows of any two documents are charged to equal minimizers.  All documents ask
 which minimizers stand in two documents or more (packs.ask); only the stretches of text around
-those meet.  Where they meet, the suffixes that begin windows are sorted: multikey quicksort,
-eight bytes at a step, to a shallow depth, and blind tries for the groups that still share that
-much.  Equal windows are then neighbours, and the smallest doc_id of each returns to the text.
+those meet.  Where they meet, the suffixes that begin windows are sorted (blindtrie): multikey
+quicksort to a shallow depth, and blind tries for the groups that still share that much.  Equal
+windows are then neighbours, and the smallest doc_id of each returns to the text.  Windows of a
+minimizer that stands in very many places meet by a hash of their own bytes, one by one, so no
+minimizer makes a meeting large.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import packs as pk
+from tallyforge.llm.blindtrie import deep_shallow
 from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
 SPAN, SEED = 50, 16
-#: Eight-byte words that multikey quicksort looks at before blind tries take over.
-SHALLOW = 2
-#: Bytes of a pack here, and buckets for each: what a task holds is some hundred times a pack.
-PACK, BUCKETS = 1 << 20, 1
-#: Windows that are sorted at a time, about.
-SORTED = 100_000
+#: Places from which the windows of a minimizer meet one by one.
+HOT = 50_000
+#: Bytes of all texts for each bucket of minimizers, and for each bucket of stretches.
+ASKED, MET = 32 << 20, 4 << 20
+#: Bytes in which minimizers are looked for at a time.
+SLICE = 1 << 20
 U = np.uint64
-_PLACE = U((1 << 30) - 1)
+#: Low bits of a hash that give way to the place within a slice.
+_PLACE = U((1 << 24) - 1)
+
+
+def _slices(p: pk.Pack) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Begin, bytes and ends of texts of parts of a pack; windows over the edge of a part are in the next, too."""
+    held, ends, begin, at = [], [], 0, 0
+    for t in p.texts:
+        if len(t) > SLICE:
+            if held:
+                yield begin, b"".join(held), np.array(ends)
+            for lo in range(0, len(t), SLICE):
+                part = t[lo : lo + SLICE + SPAN - 1]
+                yield at + lo, part, np.array([len(part)])
+            held, ends, begin = [], [], at + len(t)
+        else:
+            held.append(t)
+            ends.append(at + len(t) - begin)
+            if ends[-1] >= SLICE:
+                yield begin, b"".join(held), np.array(ends)
+                held, ends, begin = [], [], at + len(t)
+        at += len(t)
+    if held:
+        yield begin, b"".join(held), np.array(ends)
 
 
 def _minimizers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,71 +93,51 @@ def _minimizers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, np.flatnonzero(stop & valid), h[at[first]]
 
 
-def deep_shallow(rows: np.ndarray) -> np.ndarray:
-    """The order of equally long byte rows (n x width)."""
-    n, width = rows.shape
-    order, at, group = np.arange(n), np.arange(n), np.zeros(n, np.int64)
-    for k in range(min(SHALLOW, width // 8)):
-        key = np.ascontiguousarray(rows[order[at], 8 * k : 8 * k + 8]).view(">u8").ravel().astype(np.uint64)
-        by = np.lexsort((key, group))
-        order[at] = order[at][by]
-        key, group = key[by], group[by]
-        at, group = _regroup(at, np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1]))) if len(at) else np.zeros(0, bool), None)
-    # blind tries: each group's first row is its root path; the others branch off it at the
-    # first byte that differs, and those that branch off alike are a group again
-    while len(at):
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        pivot = order[at][first][np.cumsum(np.concatenate(([True], group[1:] != group[:-1]))) - 1]
-        own = order[at]
-        lcp, byte, side = np.full(len(at), width), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for lo in range(0, len(at), 1 << 18):
-            c = slice(lo, lo + (1 << 18))
-            differs = rows[own[c]] != rows[pivot[c]]
-            some = np.flatnonzero(differs.any(axis=1))
-            place = differs[some].argmax(axis=1)
-            lcp[lo + some] = place
-            byte[lo + some] = rows[own[c][some], place]
-            side[lo + some] = np.where(byte[lo + some] < rows[pivot[c][some], place], -1, 1)
-        by = np.lexsort((byte, np.where(side < 0, lcp, -lcp), side, group))
-        order[at] = own[by]
-        cols = [x[by] for x in (group, side, lcp, byte)]
-        new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in cols], axis=0)))
-        at, group = _regroup(at, new, cols[1] != 0)
-    return order
-
-
-def _regroup(at: np.ndarray, new: np.ndarray, open_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places and group numbers of groups of two and more (and still open)."""
-    if not len(at):
-        return at, at
-    group = np.cumsum(new) - 1
-    more = np.bincount(group)[group] > 1
-    if open_ is not None:
-        more &= open_
-    return at[more], group[more]
+def _runs(p: pk.Pack) -> tuple[np.ndarray, ...]:
+    """Of all runs of a pack: first and last start, the minimizer's hash and the text's number."""
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]]
+    for begin, part, ends in _slices(p):
+        first, last, key = _minimizers(np.frombuffer(part, np.uint8), ends)
+        for held, x in zip(found, (first + begin, last + begin, key), strict=True):
+            held.append(x)
+    first, last, key = (np.concatenate(x) for x in found)
+    ends = np.cumsum([len(t) for t in p.texts])
+    return first, last, key, np.searchsorted(ends, first, "right")
 
 
 def _keys(p: pk.Pack) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(t) for t in p.texts])
-    first, _, key = _minimizers(np.frombuffer(b"".join(p.texts), np.uint8), ends)
-    doc = p.ids[np.searchsorted(ends, first, "right")] if len(first) else first
+    """Minimizers, with the number of their places (up to 2 ** 30); the highest bit tells that two documents have it."""
+    _, _, key, text = _runs(p)
+    doc = _ranks(p.nulls, p.ids)[text]
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     if not len(key):
-        return key, np.zeros(0, np.uint8)
+        return key, np.zeros(0, np.uint32)
     new = np.concatenate(([True], key[1:] != key[:-1]))
     at = np.flatnonzero(new)
     others = np.add.reduceat(np.concatenate(([0], (doc[1:] != doc[:-1]) & ~new[1:])), at)
-    return key[at], np.minimum(others + 1, 2).astype(np.uint8)
+    places = np.diff(np.append(at, len(key)))
+    return key[at], (np.minimum(places, 1 << 30) | np.where(others > 0, 1 << 31, 0)).astype(np.uint32)
 
 
-def _shared(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, int)
-    out = np.empty(len(k), np.uint8)
-    many = np.add.reduceat(marks[order].astype(np.int64), at) > 1 if len(k) else np.zeros(0, bool)
-    out[order] = np.repeat(many, np.diff(np.append(at, len(k))))
+def _shared(hot: int):
+    """0 for a minimizer of one document, 2 for one of more than ``hot`` places, else 1."""
+
+    def run(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        order, at, places = pk.totals(keys, marks & 0x7FFFFFFF)
+        two = np.maximum.reduceat(marks[order] >> 31, at) > 0 if len(at) else np.zeros(0, bool)
+        packs = np.diff(np.append(at, len(keys)))
+        return pk.spread(np.where((packs > 1) | two, np.where(places > hot, 2, 1), 0), order, at)
+
+    return run
+
+
+def _ranks(nulls: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ranks of ids, equal for equal ones, null ids last."""
+    order = np.lexsort((ids, nulls))
+    n, i = nulls[order], ids[order]
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], (n[1:] != n[:-1]) | (i[1:] != i[:-1])))) if len(ids) else 0
     return out
 
 
@@ -139,37 +145,49 @@ class _Stretches:
     """A pack's stretches of text around shared minimizers, by bucket."""
 
     def __init__(self, p: pk.Pack, codes: np.ndarray, n: int):
-        self.body = b"".join(p.texts)
-        self.ends = np.cumsum([len(t) for t in p.texts])
-        first, last, key = _minimizers(np.frombuffer(self.body, np.uint8), self.ends)
-        keys = pk.sorted_unique(key)
-        use = codes[np.searchsorted(keys, key)] == 1 if len(key) else np.zeros(0, bool)
-        self.first, self.last, key = first[use], last[use], key[use]
-        self.doc = p.ids[np.searchsorted(self.ends, self.first, "right")] if len(self.first) else self.first
-        bucket = ((key >> U(32)) * U(n)) >> U(32)
-        order = np.lexsort((self.first, bucket))
-        self.first, self.last, self.doc, self.bucket = self.first[order], self.last[order], self.doc[order], bucket[order].astype(np.int64)
-        # each bucket's distinct strings, numbered as they come
+        self.body = body = b"".join(p.texts)
+        first, last, key, text = _runs(p)
+        code = codes[np.searchsorted(pk.sorted_unique(key), key)] if len(key) else np.zeros(0, np.uint8)
+        hot = code == 2
+        size = (last - first + 1)[hot]
+        each = np.repeat(first[hot], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        own = np.fromiter((xxhash.xxh3_64_intdigest(body[a : a + SPAN]) for a in each.tolist()), np.uint64, len(each))
+        first, last, key, text = (np.concatenate((x[code == 1], y)) for x, y in ((first, each), (last, each), (key, own), (text, np.repeat(text[hot], size))))
+        bucket = pk.bucket_of(key, n)
+        order = np.lexsort((first, bucket))
+        self.first, self.last, self.text, self.bucket = first[order], last[order], text[order], bucket[order]
+        rank = _ranks(p.nulls, p.ids)[self.text]
+        # each bucket's distinct strings, numbered as they come, and the text of smallest doc_id of each
         self.strings: dict[int, list[bytes]] = {}
         self.least: dict[int, list[int]] = {}
         self.number = np.zeros(len(self.first), np.int64)
-        at, known = -1, {}
-        body = self.body
-        for i, (a, b, d, k) in enumerate(zip(self.first.tolist(), self.last.tolist(), self.doc.tolist(), self.bucket.tolist(), strict=True)):
+        at, known, low = -1, {}, []
+        for i, (a, b, t, r, k) in enumerate(zip(self.first.tolist(), self.last.tolist(), self.text.tolist(), rank.tolist(), self.bucket.tolist(), strict=True)):
             if k != at:
-                at, known = k, {}
+                at, known, low = k, {}, []
                 strings, least = self.strings.setdefault(k, []), self.least.setdefault(k, [])
             s = body[a : b + SPAN]
             m = known.get(s)
             if m is None:
                 m = known[s] = len(strings)
                 strings.append(s)
-                least.append(d)
-            elif d < least[m]:
-                least[m] = d
+                least.append(t)
+                low.append(r)
+            elif r < low[m]:
+                least[m], low[m] = t, r
             self.number[i] = m
 
 
+def _ids(nulls: np.ndarray, ids: np.ndarray) -> bytes:
+    return pk.squeeze(ids.astype("<i8").tobytes() + nulls.astype(np.uint8).tobytes())
+
+
+def _from_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = pk.unsqueeze(data)
+    n = len(data) // 9
+    return np.frombuffer(data, np.uint8, offset=8 * n).astype(bool), np.frombuffer(data, "<i8", n)
+
+
 def _send(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +198,7 @@ def _send(n: int):
                     "bucket": pa.array(used, pa.int32()), "pack": pa.array([p.pack] * len(used), pa.int64()),
                     "sizes": pa.array([pk.squeeze(np.array([len(x) for x in s.strings[b]], np.uint8).tobytes()) for b in used], pa.binary()),
                     "body": pa.array([pk.squeeze(b"".join(s.strings[b])) for b in used], pa.binary()),
-                    "least": pa.array([pk.squeeze(np.array(s.least[b], "<i8").tobytes()) for b in used], pa.binary()),
+                    "least": pa.array([_ids(p.nulls[s.least[b]], p.ids[s.least[b]]) for b in used], pa.binary()),
                 })
 
     return run
@@ -191,41 +209,26 @@ def _meet(table: pa.Table) -> pa.Table:
     sizes = [np.frombuffer(pk.unsqueeze(x), np.uint8).astype(np.int64) for x in table.column("sizes").to_pylist()]
     size = np.concatenate(sizes)
     body = b"".join(pk.unsqueeze(x) for x in table.column("body").to_pylist())
-    least = np.concatenate([np.frombuffer(pk.unsqueeze(x), "<i8") for x in table.column("least").to_pylist()])
-    at = np.cumsum(size) - size
-    # equal strings of several packs are one string
-    known: dict[bytes, int] = {}
-    number = np.array([known.setdefault(body[a : a + s], len(known)) for a, s in zip(at.tolist(), size.tolist(), strict=True)], np.int64)
-    best = np.full(len(known), pk.NONE)
-    np.minimum.at(best, number, least)
-    first = np.zeros(len(known), np.int64)
-    first[number[::-1]] = np.arange(len(number))[::-1]
-    windows = size[first] - SPAN + 1
-    start = np.cumsum(windows) - windows
-    owner = np.repeat(np.arange(len(known)), windows)
-    where = at[first][owner] + np.arange(len(owner)) - start[owner]
+    nulls, ids = (np.concatenate(x) for x in zip(*map(_from_ids, table.column("least").to_pylist()), strict=True))
+    rank = _ranks(nulls, ids)
+    of_rank = np.zeros(len(rank), np.int64)
+    of_rank[rank] = np.arange(len(rank))
+    windows = size - SPAN + 1
+    owner = np.repeat(np.arange(len(size)), windows)
+    place = np.arange(len(owner)) + ((np.cumsum(size) - size) - (np.cumsum(windows) - windows))[owner]
+    order = deep_shallow(body, place, SPAN)
+    own = place[order]
     buf = np.frombuffer(body, np.uint8)
-    view = np.lib.stride_tricks.sliding_window_view(buf, SPAN)
-    # windows that begin alike are sorted together, so many at a time
-    parts = len(where) // SORTED + 1
-    part = sum(buf[where + k].astype(np.uint32) * np.uint32(c) for k, c in enumerate((7919, 104729, 1299709, 15485863))) % np.uint32(parts)
-    of = np.empty(len(where), np.int64)
-    for k in range(parts):
-        own = np.flatnonzero(part == k)
-        if len(own):
-            rows = view[where[own]]
-            order = deep_shallow(rows)
-            rows = rows[order]
-            starts = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1))))
-            low = np.minimum.reduceat(best[owner[own[order]]], starts)
-            of[own[order]] = np.repeat(low, np.diff(np.append(starts, len(order))))
-    out, i = [], 0
-    for s in sizes:
-        mine = number[i : i + len(s)]
-        k = windows[mine]
-        at_ = np.repeat(start[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        out.append(pk.squeeze(of[at_].astype("<i8").tobytes()))
-        i += len(s)
+    differs = np.ones(len(own), bool)
+    for lo in range(0, len(own) - 1, 1 << 17):
+        part = np.lib.stride_tricks.sliding_window_view(buf, SPAN)[own[lo : lo + (1 << 17) + 1]]
+        differs[lo + 1 : lo + len(part)] = (part[1:] != part[:-1]).any(axis=1)
+    starts = np.flatnonzero(differs)
+    low = np.empty(len(own), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(rank[owner[order]], starts), np.diff(np.append(starts, len(own))))
+    text = of_rank[low]
+    ends = np.cumsum([w.sum() - (SPAN - 1) * len(w) for w in sizes])
+    out = [_ids(nulls[text[a:b]], ids[text[a:b]]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
 
@@ -235,45 +238,51 @@ def _cut(n: int):
             for p, row in pk.read(batch):
                 s = _Stretches(p, pk.codes_of(batch, row), n)
                 body = np.frombuffer(s.body, np.uint8)
-                starts = [np.zeros(0, np.int64)]
+                edge = np.zeros(len(body) + 1, np.int32)
                 for bucket, answer in zip(batch.column("buckets")[row].as_py() or [], batch.column("answers")[row].as_py() or [], strict=True):
-                    low = np.frombuffer(pk.unsqueeze(answer), "<i8")
+                    low_null, low = _from_ids(answer)
                     size = np.array([len(x) - SPAN + 1 for x in s.strings[bucket]], np.int64)
                     mine = slice(*np.searchsorted(s.bucket, [bucket, bucket + 1]))
-                    number, k = s.number[mine], size[s.number[mine]]
+                    number = s.number[mine]
+                    k = size[number]
                     step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                    found = low[np.repeat((np.cumsum(size) - size)[number], k) + step] < np.repeat(s.doc[mine], k)
-                    starts.append((np.repeat(s.first[mine], k) + step)[found])
-                start = np.concatenate(starts)
-                edge = np.bincount(start, minlength=len(body) + 1) - np.bincount(start + SPAN, minlength=len(body) + 1)
+                    at = np.repeat((np.cumsum(size) - size)[number], k) + step
+                    text = np.repeat(s.text[mine], k)
+                    own_null, own = p.nulls[text], p.ids[text]
+                    earlier = np.where(low_null[at] == own_null, ~own_null & (low[at] < own), own_null)
+                    start = (np.repeat(s.first[mine], k) + step)[earlier]
+                    np.add.at(edge, start, 1)
+                    np.subtract.at(edge, start + SPAN, 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 cols = ([], [], [], [])
-                for a, e in zip((s.ends - [len(t) for t in p.texts]).tolist(), s.ends.tolist(), strict=True):
-                    g = gone[a:e]
-                    for c, v in zip(cols, (e - a, int(g.sum()), int((g[1:] & ~g[:-1]).sum() + (g[:1]).sum()), body[a:e][~g].tobytes()), strict=True):
+                ends = np.cumsum([len(t) for t in p.texts])
+                for t, e in zip(p.texts, ends.tolist(), strict=True):
+                    g = gone[e - len(t) : e]
+                    removed = int(g.sum())
+                    kept = body[e - len(t) : e][~g].tobytes() if removed else t
+                    for c, v in zip(cols, (len(t), removed, int((g[1:] & ~g[:-1]).sum() + (g[:1]).sum()) if removed else 0, kept), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([None if i == pk.NONE else i for i in p.ids.tolist()], pa.int64()), "n_bytes": pa.array(cols[0], pa.int64()),
+                    "doc_id": p.id_column(), "n_bytes": pa.array(cols[0], pa.int64()),
                     "n_removed": pa.array(cols[1], pa.int64()), "n_spans": pa.array(cols[2], pa.int64()), "kept": pa.array(cols[3], pa.binary()),
                 })
 
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, pack: int = pk.PACK, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) of each row of ``docs``.
 
     A byte goes if a string of ``SPAN`` bytes covers it that also begins in a document of smaller
-    doc_id (an integer; null is the largest).  Texts are UTF-8; null is empty; texts below SPAN
-    bytes stay whole.  Rows that share a doc_id remove nothing from each other.  Only doc_id and
-    text are read; an empty table gives no rows.
+    doc_id (an integer; null is larger than all).  Texts are UTF-8; null is empty; texts below SPAN
+    bytes stay whole.  Rows that share a doc_id, or have none, remove nothing from each other.  Only
+    doc_id and text are read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    keep = Scratch(spark, "substring-dedup")
-    packs = keep.table(pk.build(docs, PACK), "packs")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS * packs.count() + 1)
-    asked = keep.table(pk.ask(packs, n // (2 * BUCKETS) + 1, _keys, _shared), "asked")
+    keep = Scratch(docs.sparkSession, "substring-dedup")
+    packs, size = pk.stored(docs, keep, pack)
+    asked = keep.table(pk.ask(packs, size // ASKED + 1, _keys, _shared(hot)), "asked", pk.FILE_PACKS)
     keep.drop("packs")
+    n = size // MET + 1
     sent = asked.mapInArrow(give_back(_send(n)), "bucket int, pack long, sizes binary, body binary, least binary")
     got = sent.groupBy("bucket").applyInArrow(_meet, "pack long, bucket int, answer binary")
     got = got.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("got"))

@@ -37,8 +37,8 @@ TOKEN = re.compile(r"[\w+/\-]+|[^\w\s+/\-]")
 TRIGGER = re.compile(r"[0-9]+|(?:" + "|".join(TELLING) + r")|(?<![A-Za-z+/_-])[A-Za-z+/_-]{20,}", re.IGNORECASE | re.ASCII)
 #: Tokens that a telling word opens, the length from which a token is open, characters around a trigger.
 REACH, LONG, AROUND = 4, 20, 80
-#: Documents of the sample with and without a base span; rounds of the fit.
-SAMPLE, ROUNDS = 600, 400
+#: Texts of the sample with and without a base span, chains that the fit takes of one text at most, longest chain; rounds of the fit.
+SAMPLE, CHAINS, LONGEST, ROUNDS = 600, 200, 400, 400
 #: What stands between a telling word and its secret in the altered copies.
 FILLERS = (" ", " is ", " -> ", " was set to ")
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -260,23 +260,29 @@ def added_spans(text: str, field: Field, base: list[tuple[str, int, int]]) -> li
     return [s for s in out if not any(a < s[2] and s[1] < b for _, a, b in base)]
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` documents with a base span and as many without, chosen by hash of id."""
-    h = F.xxhash64("doc_id", F.lit(3))
-    chosen = docs.where("text is not null").groupBy(F.col("text").rlike(ANY_BASE).alias("b"), F.pmod(h, F.lit(sample)).alias("cell")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("least"))
-    chosen = chosen.select(F.col("least.doc_id").alias("doc_id")).distinct()
-    # at most 2 * sample ids
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
+def train(docs: DataFrame, sample: int = SAMPLE, chains: int = CHAINS, longest: int = LONGEST) -> Field:
+    """Fit on at most ``sample`` texts with a base span and as many without, chosen by a hash of the text.
+
+    Of each text the first ``chains`` chains of at most ``longest`` tokens count, so the sample is
+    bounded by rows and by their size; a text that stands in many rows counts once, and doc_id
+    is not read.  Without a base span in the sample the field is empty and adds nothing.
+    """
+    docs = docs.where("text is not null").select("text", F.xxhash64("text", F.lit(3)).alias("h"))
+    chosen = docs.groupBy(F.col("text").rlike(ANY_BASE).alias("b"), F.pmod("h", F.lit(sample)).alias("cell")).agg(F.min("h").alias("h"))
+    # at most 2 * sample hashes
+    rows = docs.join(F.broadcast(chosen.select("h").distinct()), "h", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [pickle.dumps(chains_of(t)) for t in batch.column("text").to_pylist() if t]
-            yield pa.RecordBatch.from_pydict({"chains": pa.array(got, pa.binary())})
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
+                got = [c for c in chains_of(text.as_py()) if len(c[1]) <= longest][:chains]
+                yield pa.RecordBatch.from_pydict({"h": pa.array([h], pa.int64()), "chains": pa.array([pickle.dumps(got)], pa.binary())})
 
-    chains = sorted((c for r in rows.mapInArrow(run, "chains binary").collect() for c in pickle.loads(bytes(r.chains))), key=str)
-    if not any(BEGIN in y for _, y in chains):
+    once = rows.mapInArrow(run, "h long, chains binary").groupBy("h").agg(F.min("chains").alias("chains"))
+    found = sorted((c for r in once.collect() for c in pickle.loads(bytes(r.chains))), key=str)
+    if not any(BEGIN in y for _, y in found):
         return Field()
-    return Field().fit(chains)
+    return Field().fit(found)
 
 
 def find_secrets(docs: DataFrame, field: Field) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Tokens that a task gathers before it packs them; a document may exceed it alone.
 POOL = 4 << 20
+#: Tokens of a shard.
+SHARD = 8 << 20
 SCHEMA = "shard int, row long, n_tokens int, n_segments int, doc_ids array<long>, offsets array<long>, cu_seqlens array<int>, ids binary, positions binary"
 
 
@@ -82,11 +84,11 @@ def pack(tokens: DataFrame, length: int = 2048, pad: int = 0, shards: int | None
     to cu_seqlens[k + 1].  Documents without tokens are in no row.  Rows that repeat are packed
     as often; a null doc_id stays null; an empty table gives no rows.  Documents are dealt by a
     hash of id and tokens (so a repeated id is no hot key unless its tokens repeat too) and
-    packed ``POOL`` tokens at a time in the order of ids, so for a given number of shards reruns
-    agree.
+    packed ``POOL`` tokens at a time in the order of ids.  ``shards``, one for every ``SHARD``
+    tokens if not given, depends on the tokens alone, so reruns agree and a task's share does not
+    grow with the table.  Without ``shards``, ``tokens`` is computed twice.
     """
-    spark = tokens.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or (tokens.agg(F.sum(F.length("token_ids"))).first()[0] or 0) // (4 * SHARD) + 1
     tokens = tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "token_ids").where("length(token_ids) > 0")
     tokens = tokens.withColumn("h", F.xxhash64("doc_id", "token_ids")).repartition(n, "h").sortWithinPartitions("doc_id", "h")
 

@@ -23,9 +23,9 @@ from tallyforge.llm.stages import give_back
 _OTHER = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]")
 #: Safe places in a text of any kind: before a space that follows a visible ASCII character.
 _SAFE = re.compile(r"(?<=[!-~])(?= )")
-#: Entries of the table of pieces, the longest piece that goes there, and the characters from
-#: which a text of any kind is cut at all.
-PIECES, LONGEST, LONG = 200_000, 32, 50_000
+#: Entries of the table of pieces, words after which its size is looked at, the longest piece that
+#: goes there, and the characters from which a text of any kind is cut at all.
+PIECES, PORTION, LONGEST, LONG = 200_000, 20_000, 32, 50_000
 #: Rows that are encoded and sent on at a time.
 SLICE = 500
 _codecs: dict[tuple[str, str], "Codec"] = {}
@@ -55,17 +55,21 @@ class Codec:
     def _spaced(self, text: str) -> bytes:
         """A text whose white space is single spaces and line feeds, no two side by side."""
         known = self.known
-        first, *rest = text.split(" ")
-        ids = list(map(known.get, rest))
-        if None in ids:
-            if len(known) > PIECES:
-                known.clear()
-            for i, x in enumerate(ids):
-                if x is None:
-                    ids[i] = known.get(rest[i]) or self._ids(" " + rest[i])
-                    if len(rest[i]) <= LONGEST:
-                        known[rest[i]] = ids[i]
-        return self._ids(first) + b"".join(ids)
+        first, *words = text.split(" ")
+        out = [self._ids(first)]
+        for at in range(0, len(words), PORTION):
+            rest = words[at : at + PORTION]
+            ids = list(map(known.get, rest))
+            if None in ids:
+                if len(known) > PIECES:
+                    known.clear()
+                for i, x in enumerate(ids):
+                    if x is None:
+                        ids[i] = known.get(rest[i]) or self._ids(" " + rest[i])
+                        if len(rest[i]) <= LONGEST:
+                            known[rest[i]] = ids[i]
+            out += ids
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if not ("  " in text or " \n" in text or "\n " in text or text[-1:] == " " or _OTHER.search(text)):
@@ -92,7 +96,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False)
 
     With ``decode`` also ``decoded``, the bytes that the ids stand for.  A null text is empty
     and has no tokens; rows that repeat give rows that repeat; other columns are not read.
-    ``ranks_path`` must exist on every executor.  Nothing is shuffled.
+    ``ranks_path`` must exist on every executor.  ``pattern`` must be one by which no match goes
+    over a space that follows something visible, other than at the match's beginning, and a match
+    doesn't depend on what stands before it, as with the patterns of the public byte-level
+    vocabularies; texts are cut at such places.  Nothing is shuffled.
     """
     key = docs.schema["doc_id"].dataType
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm.stages import free_name
+
 #: Fixed: a word is a run of anything but space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Fixed: 13 hex digits of MD5 are 52 bits, exact in a double.
@@ -62,17 +64,18 @@ def source_targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) ->
     )
 
 
-def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, key: Column | None = None) -> DataFrame:
-    """Every row of ``docs`` (needs doc_id, text, source) with its repetitions.
+def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, key: Column | None = None, size: str | None = None) -> DataFrame:
+    """Every row of ``docs`` (needs doc_id, source and text, or its size) with its repetitions.
 
     Adds ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``; other columns stay,
     save that earlier columns of these names are replaced.  Null text has size 0, a null
     source is a source of its own, sources of size 0 get target and rate 0, a null doc_id
     hashes as the word null, repeated rows get equal copies, an empty table gives no rows.
+    ``size`` names a column that has the words already; otherwise texts are counted twice over.
     Rows of equal ``key`` (doc_id, as the SQL has it, if none is given) share a draw.
     """
     docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
+    sized = docs.withColumn("mix_size", F.col(size).cast("long") if size else word_count(F.col("text")))
     targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), list(weights), cap)
     targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
@@ -84,5 +87,7 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, see
 
 def emit(mixed: DataFrame) -> DataFrame:
     """One row per copy of each document of ``mix``'s result, without the added columns."""
-    copies = mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return copies.drop("mix_copy", "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
+    columns = [c for c in mixed.columns if c not in added]
+    copy = F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias(free_name(mixed, "copy"))
+    return mixed.where("mix_copies > 0").select(*columns, copy).select(*columns)

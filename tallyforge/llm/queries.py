@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, packing, pii, secrets, spans, substring_dedup
+from tallyforge.storage import Scratch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,9 @@ def byte_bpe() -> tuple[str, str]:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    # words are counted once, and no text goes further
+    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(Scratch(spark, "mix").table(docs, "sizes"), size="size")
     return mixed.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").cast("long").alias("source_size"),
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"),
@@ -39,7 +42,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.pack(bpe.encode(documents(spark, sf_dir), *byte_bpe()), length=2048)
+    docs = documents(spark, sf_dir)
+    # a token stands for two bytes of text at the least in the long run, so a shard's share is bounded
+    shards = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * packing.SHARD) + 1
+    rows = packing.pack(bpe.encode(docs, *byte_bpe()), length=2048, shards=shards)
     return rows.select("shard", "row", "n_tokens", "n_segments", "doc_ids", "offsets", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 

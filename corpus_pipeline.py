@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm import bpe, langid, mixing, queries
 from tallyforge.llm.exact_dedup import exact_dedup, text_sha256
 from tallyforge.llm.ngram_join import ngram_join
-from tallyforge.llm.stages import keep_rows
+from tallyforge.llm.stages import free_name, keep_rows
 from tallyforge.storage import Scratch
 
 
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     there is no bound, and all text with a letter stays.
     """
     model = langid.train(docs.where(~langid.held_out("doc_id")), bound=True)
-    names = ("__lang_pred", "__score", "__ambiguous", "__near")
-    return langid.predict(docs, model, names).where(names[3]).drop(*names)
+    names = tuple(free_name(docs, x) for x in ("lang_pred", "score", "ambiguous", "near"))
+    return langid.predict(docs, model, names).where(names[3]).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a key of their own, written with them, so rows without a doc_id or
     with the same one go and stay by their texts.
     """
-    key = F.monotonically_increasing_id()
-    keyed = Scratch(spark, "near").table(docs.withColumns({"__key": key, "__hash": F.xxhash64("text")}), "keyed")
-    found = ngram_join(keyed.select(F.col("__key").alias("doc_id"), "text"), n=5, num=80, den=100)
-    ids = keyed.select("__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hash", "__key").alias("rank"))
-    ranked = found.select(F.col("doc_id").alias("__key"), "component_id").join(ids.hint("merge"), "__key")
-    stay = ranked.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.__key").alias("__key"))
-    return keyed.join(stay.hint("merge"), "__key", "left_semi").drop("__key", "__hash")
+    key = free_name(docs, "key")
+    keyed = Scratch(spark, "near").table(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = ngram_join(keyed.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100).withColumnRenamed("doc_id", key)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(key).alias("key"))
+    ranked = found.select(key, "component_id").join(keyed.select(key, rank.alias("rank")).hint("merge"), key)
+    stay = ranked.groupBy("component_id").agg(F.min("rank").alias("least")).select(F.col("least.key").alias(key))
+    return keyed.join(stay.hint("merge"), key, "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

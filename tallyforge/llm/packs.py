@@ -25,7 +25,7 @@ from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
 #: Bytes of text from which a pack is closed, and packs of a file (readers hold a file's packs at once).
-PACK, FILE_PACKS = 16 << 20, 4
+PACK, FILE_PACKS = 4 << 20, 8
 U = np.uint64
 PACK_SCHEMA = "pack long, n_bytes long, ids binary, nulls binary, sizes binary, body binary"
 

@@ -29,7 +29,7 @@ SPAN, SEED = 50, 16
 #: Places from which the windows of a minimizer meet one by one.
 HOT = 50_000
 #: Bytes of all texts for each bucket of minimizers, and for each bucket of stretches.
-ASKED, MET = 32 << 20, 4 << 20
+ASKED, MET = 32 << 20, 8 << 20
 #: Bytes in which minimizers are looked for at a time.
 SLICE = 1 << 20
 U = np.uint64

@@ -1,6 +1,7 @@
 """Deep-shallow sorting of suffixes.
 
-Suffixes are places in one buffer.  Multikey quicksort partitions them in three ways by a pivot,
+Suffixes are places in one buffer.  A bucket sort by the first two bytes comes first, and some
+buckets at a time go on, which bounds what is held.  Multikey quicksort partitions them in three ways by a pivot,
 eight bytes at a step, all groups of a round at once; groups that are still together at the
 shallow depth go to blind tries, which keep a place to branch at and the branching bytes only
 and look at one suffix's whole text for each insertion.
@@ -12,24 +13,18 @@ import numpy as np
 
 #: Bytes of a step of the quicksort, and steps before blind tries take over.
 STEP, SHALLOW = 8, 2
+#: Suffixes that are sorted at a time, unless more begin with the same two bytes.
+AT_ONCE = 100_000
 
 
-def words_of(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place, first byte highest; zeros stand behind the end."""
-    padded = np.concatenate((buf, np.zeros(STEP, np.uint8)))
-    out = np.zeros(len(buf), np.uint64)
-    for k in range(STEP):
-        out = (out << np.uint64(8)) | padded[k : k + len(buf)]
-    return out
-
-
-def quicksort(words: np.ndarray, places: np.ndarray, steps: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def quicksort(buf: np.ndarray, places: np.ndarray, steps: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of ``places`` by the ``steps`` words from each, and begin and end of the groups that are equal so far.
 
-    ``words`` reach far enough behind every place.  In a round each open group takes the middle
+    The words lie within ``buf``.  In a round each open group takes the middle
     of three of its words as pivot; what is smaller, equal or greater becomes a group, and equal
     ones go on at the next word.
     """
+    words = np.lib.stride_tricks.sliding_window_view(buf, STEP)
     order = np.arange(len(places))
     lo, hi, depth = (np.array([x]) for x in (0, len(places), 0))
     done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -41,7 +36,7 @@ def quicksort(words: np.ndarray, places: np.ndarray, steps: int = SHALLOW) -> tu
         group = np.repeat(np.arange(len(lo)), size)
         at = np.arange(len(group)) + (lo - first)[group]
         own = order[at]
-        key = words[places[own] + STEP * depth[group]]
+        key = words[places[own] + STEP * depth[group]].view(">u8").ravel().astype(np.uint64)
         a, b, c = key[first], key[first + size // 2], key[first + size - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
         side = (key >= pivot).astype(np.int64) + (key > pivot)
@@ -113,10 +108,9 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(body: bytes, places: np.ndarray, width: int) -> np.ndarray:
-    """The order of ``places`` by the ``width`` bytes from each, which lie within ``body``."""
+def _part(body: bytes, buf: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     steps = min(SHALLOW, width // STEP)
-    order, begins, ends = quicksort(words_of(np.frombuffer(body, np.uint8)), places, steps)
+    order, begins, ends = quicksort(buf, places, steps)
     skip = steps * STEP
     if skip == width:
         return order
@@ -128,3 +122,18 @@ def deep_shallow(body: bytes, places: np.ndarray, width: int) -> np.ndarray:
             trie.add(body[p + skip : p + width], m)
         order[lo:hi] = trie.in_order()
     return order
+
+
+def deep_shallow(body: bytes, places: np.ndarray, width: int) -> np.ndarray:
+    """The order of ``places`` by the ``width`` bytes (8 or more) from each, which lie within ``body``."""
+    buf = np.frombuffer(body, np.uint8)
+    first = (buf[places].astype(np.uint16) << 8) | buf[places + 1]
+    order = np.argsort(first, kind="stable").astype(np.int32)
+    sizes = np.bincount(first, minlength=1)
+    ends = np.cumsum(sizes)[sizes > 0].tolist()
+    lo = 0
+    for hi, following in zip(ends, [*ends[1:], None], strict=True):
+        if following is None or following - lo > AT_ONCE:
+            order[lo:hi] = order[lo:hi][_part(body, buf, places[order[lo:hi]].astype(np.int64), width)]
+            lo = hi
+    return order

@@ -29,7 +29,7 @@ SPAN, SEED = 50, 16
 #: Places from which the windows of a minimizer meet one by one.
 HOT = 50_000
 #: Bytes of all texts for each bucket of minimizers, and for each bucket of stretches.
-ASKED, MET = 32 << 20, 8 << 20
+ASKED, MET = 16 << 20, 4 << 20
 #: Bytes in which minimizers are looked for at a time.
 SLICE = 1 << 20
 U = np.uint64
@@ -214,8 +214,9 @@ def _meet(table: pa.Table) -> pa.Table:
     of_rank = np.zeros(len(rank), np.int64)
     of_rank[rank] = np.arange(len(rank))
     windows = size - SPAN + 1
-    owner = np.repeat(np.arange(len(size)), windows)
-    place = np.arange(len(owner)) + ((np.cumsum(size) - size) - (np.cumsum(windows) - windows))[owner]
+    # 32 bits, as a bucket's strings are some megabytes
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), windows)
+    place = np.arange(len(owner), dtype=np.int32) + ((np.cumsum(size) - size) - (np.cumsum(windows) - windows)).astype(np.int32)[owner]
     order = deep_shallow(body, place, SPAN)
     own = place[order]
     buf = np.frombuffer(body, np.uint8)
@@ -224,8 +225,9 @@ def _meet(table: pa.Table) -> pa.Table:
         part = np.lib.stride_tricks.sliding_window_view(buf, SPAN)[own[lo : lo + (1 << 17) + 1]]
         differs[lo + 1 : lo + len(part)] = (part[1:] != part[:-1]).any(axis=1)
     starts = np.flatnonzero(differs)
-    low = np.empty(len(own), np.int64)
-    low[order] = np.repeat(np.minimum.reduceat(rank[owner[order]], starts), np.diff(np.append(starts, len(own))))
+    del own, place
+    low = np.empty(len(order), np.int32)
+    low[order] = np.repeat(np.minimum.reduceat(rank[owner[order]], starts), np.diff(np.append(starts, len(order))))
     text = of_rank[low]
     ends = np.cumsum([w.sum() - (SPAN - 1) * len(w) for w in sizes])
     out = [_ids(nulls[text[a:b]], ids[text[a:b]]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]

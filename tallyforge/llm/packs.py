@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
-#: Bytes of text from which a pack is closed, and packs of a file (readers hold a file's packs at once).
-PACK, FILE_PACKS = 4 << 20, 8
+#: Bytes of text from which a pack is closed.
+PACK = 4 << 20
 U = np.uint64
 PACK_SCHEMA = "pack long, n_bytes long, ids binary, nulls binary, sizes binary, body binary"
 
@@ -96,7 +96,7 @@ def build(docs: DataFrame, least: int = PACK) -> DataFrame:
 
 def stored(docs: DataFrame, keep: Scratch, least: int = PACK) -> tuple[DataFrame, int]:
     """The packs as a table, and the bytes of all texts."""
-    packs = keep.table(build(docs, least), "packs", FILE_PACKS)
+    packs = keep.table(build(docs, least), "packs")
     return packs, packs.agg(F.sum("n_bytes")).first()[0] or 0
 
 

@@ -29,7 +29,9 @@ SPAN, SEED = 50, 16
 #: Places from which the windows of a minimizer meet one by one.
 HOT = 50_000
 #: Bytes of all texts for each bucket of minimizers, and for each bucket of stretches.
-ASKED, MET = 16 << 20, 4 << 20
+ASKED, MET = 16 << 20, 16 << 20
+#: Bytes of a pack: its row stays below half a megabyte, which the JVM's heap takes more easily than larger ones.
+PACK = 1 << 20
 #: Bytes in which minimizers are looked for at a time.
 SLICE = 1 << 20
 U = np.uint64
@@ -213,6 +215,16 @@ def _meet(table: pa.Table) -> pa.Table:
     rank = _ranks(nulls, ids)
     of_rank = np.zeros(len(rank), np.int64)
     of_rank[rank] = np.arange(len(rank))
+    # packs send what copies share alike: such a string is sorted once, for the least of its documents
+    sent_at = np.cumsum(size) - size
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(body[a : a + n], len(known)) for a, n in zip(sent_at.tolist(), size.tolist(), strict=True)], np.int64)
+    sent_windows = size - SPAN + 1
+    best = np.full(len(known), len(rank))
+    np.minimum.at(best, number, rank)
+    rank, body = best, b"".join(known)
+    size = np.fromiter(map(len, known), np.int64, len(known))
+    del known
     windows = size - SPAN + 1
     # 32 bits, as a bucket's strings are some megabytes
     owner = np.repeat(np.arange(len(size), dtype=np.int32), windows)
@@ -228,9 +240,13 @@ def _meet(table: pa.Table) -> pa.Table:
     del own, place
     low = np.empty(len(order), np.int32)
     low[order] = np.repeat(np.minimum.reduceat(rank[owner[order]], starts), np.diff(np.append(starts, len(order))))
-    text = of_rank[low]
-    ends = np.cumsum([w.sum() - (SPAN - 1) * len(w) for w in sizes])
-    out = [_ids(nulls[text[a:b]], ids[text[a:b]]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    text = of_rank[low].astype(np.int32)
+    begin, out, i = np.cumsum(windows) - windows, [], 0
+    for s in sizes:
+        mine, k = number[i : i + len(s)], sent_windows[i : i + len(s)]
+        at = text[np.repeat(begin[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        out.append(_ids(nulls[at], ids[at]))
+        i += len(s)
     return pa.table({"pack": table.column("pack"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
 
@@ -272,7 +288,7 @@ def _cut(n: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, pack: int = pk.PACK, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, pack: int = PACK, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay) of each row of ``docs``.
 
     A byte goes if a string of ``SPAN`` bytes covers it that also begins in a document of smaller
@@ -282,7 +298,7 @@ def remove_repeats(docs: DataFrame, pack: int = pk.PACK, hot: int = HOT) -> Data
     """
     keep = Scratch(docs.sparkSession, "substring-dedup")
     packs, size = pk.stored(docs, keep, pack)
-    asked = keep.table(pk.ask(packs, size // ASKED + 1, _keys, _shared(hot)), "asked", pk.FILE_PACKS)
+    asked = keep.table(pk.ask(packs, size // ASKED + 1, _keys, _shared(hot)), "asked")
     keep.drop("packs")
     n = size // MET + 1
     sent = asked.mapInArrow(give_back(_send(n)), "bucket int, pack long, sizes binary, body binary, least binary")

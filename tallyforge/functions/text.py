@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -16,16 +16,35 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(s: pd.Series) -> pd.Series:
+    """Unicode NFKC of each text of an array: one Arrow pass for all texts of a row."""
+    return s.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+
+
+def _folded(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+
+
+def _spaced(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\s+", " ")
+
+
 def normalize_text(c: Column, unicode_form: bool = True) -> Column:
     """Trimmed, lower case, NFKC, white space collapsed; null is the text none."""
-    c = F.lower(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("none")), r"(?U)^\s+|\s+$", ""))
-    return F.regexp_replace(nfkc(c) if unicode_form else c, r"(?U)\s+", " ")
+    c = _folded(F.coalesce(c.cast("string"), F.lit("none")))
+    return _spaced(nfkc(c) if unicode_form else c)
+
+
+def normalize_all(texts: Column) -> Column:
+    """``normalize_text`` of each text of an array."""
+    return F.transform(nfkc_all(F.transform(texts, lambda x: _folded(F.coalesce(x, F.lit("none"))))), _spaced)
 
 
 def tokens(c: Column) -> Column:
     """Words if there are two or more, else characters; none for an empty text."""
-    words = F.split(c, " ")
-    return F.when(c == "", F.array().cast("array<string>")).when(F.size(words) > 1, words).otherwise(F.split(c, ""))
+    words = F.split(F.trim(c), " ")
+    return F.when(F.trim(c) == "", F.array().cast("array<string>")).when(F.size(words) > 1, words).otherwise(F.split(c, ""))
 
 
 def multiset_f1(a: Column, b: Column) -> Column:
@@ -46,26 +65,48 @@ def set_f1(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2 * common / both)
 
 
+def number_of(t: Column) -> Column:
+    """The first number of a normalised text, ten thousands and thousands of yen scaled; null without one."""
+    t = F.regexp_replace(t, "[,¥]", "")
+    scale = F.when(F.contains(t, F.lit("千円")), 1000.0).when(F.contains(t, F.lit("万円")), 10000.0).otherwise(1.0)
+    return F.regexp_extract(F.regexp_replace(t, "[万千]?円", ""), r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double") * scale
+
+
 def normalize_number(c: Column) -> Column:
-    """The first number of a text, ten thousands and thousands of yen scaled; null without one."""
-    t = F.regexp_replace(F.lower(c), "[,¥]", "")
-    scale = F.when(F.contains(t, F.lit("万円")), 10000).when(F.contains(t, F.lit("千円")), 1000).otherwise(1)
-    return F.regexp_extract(t, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double") * scale
+    """``number_of`` a text of any form, full-width digits included; null for null."""
+    return F.when(c.isNotNull(), number_of(normalize_text(c)))
+
+
+def date_of(t: Column) -> Column:
+    """ISO date of a normalised text: an era date or one with kanji anywhere in it, or a whole ISO or slash date; else the text.
+
+    Dates with kanji are not checked against the calendar, the others are.
+    """
+    era, kanji, plain = r"令和([0-9]+)年([0-9]+)月([0-9]+)日", r"([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", r"^([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})$"
+
+    def padded(year: Column, month: Column, day: Column) -> Column:
+        return F.format_string("%04d-%02d-%02d", year, month, day)
+
+    def piece(pattern: str, k: int) -> Column:
+        return F.regexp_extract(t, pattern, k).try_cast("int")
+
+    whole = padded(piece(plain, 1), piece(plain, 3), piece(plain, 4))
+    valid = F.when(F.try_to_date(whole).isNotNull(), whole)
+    in_kanji = F.when(t.rlike(kanji), padded(*[piece(kanji, k) for k in (1, 2, 3)]))
+    return F.when(t.rlike(era), padded(piece(era, 1) + 2018, piece(era, 2), piece(era, 3))).otherwise(F.coalesce(F.when(t.rlike(plain), valid), in_kanji, t))
 
 
 def normalize_date(c: Column) -> Column:
-    """ISO date of an era date, a dated text with kanji, or a slash or dash date; other text as it is."""
-    era, kanji, plain = r"令和([0-9]+)年([0-9]+)月([0-9]+)日", r"([0-9]{4})年([0-9]+)月([0-9]+)日", r"^([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})$"
+    """``date_of`` a text of any form; null is the text none."""
+    return date_of(normalize_text(c))
 
-    def iso(pattern: str, shift: int) -> Column:
-        y, m, d = (F.regexp_extract(c, pattern, k) for k in (1, 2, 3))
-        return F.concat_ws("-", (y.try_cast("int") + shift).cast("string"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
 
-    valid = F.try_to_date(iso(plain, 0)).cast("string")
-    return F.when(c.rlike(era), iso(era, 2018)).when(c.rlike(kanji), iso(kanji, 0)).when(c.rlike(plain), F.coalesce(valid, c)).otherwise(c)
+def json_length(c: Column) -> Column:
+    """Code points of a text's JSON form: quotes, and escapes of quotes, backslashes and control characters."""
+    short, long = F.regexp_count(c, F.lit(r"[\"\\\x08\x09\x0a\x0c\x0d]")), F.regexp_count(c, F.lit(r"[\x00-\x07\x0b\x0e-\x1f]"))
+    return F.length(c) + 2 + short + 5 * long
 
 
 def estimate_tokens(c: Column) -> Column:
     """A quarter of the text's JSON form, at least 1."""
-    quoted = F.length(F.regexp_replace(F.regexp_replace(c, r"([\"\\\\])", "xx"), "\n", "xx")) + 2
-    return F.greatest(F.lit(1), F.floor((quoted + 3) / 4)).cast("long")
+    return F.greatest(F.lit(1), F.floor((json_length(c) + 3) / 4)).cast("long")

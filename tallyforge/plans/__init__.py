@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from tallyforge.plans import evaluation, texts, trajectories  # noqa: F401
+from tallyforge.plans import evaluation, scores, texts, trajectories  # noqa: F401
 from tallyforge.plans.registry import QUERIES, SQL  # noqa: F401

@@ -1,6 +1,6 @@
 """Deep-shallow sorting of suffixes.
 
-Suffixes are places in one buffer.  A bucket sort by the first two bytes comes first, and some
+Suffixes are places in one buffer.  A bucket sort by the first four bytes comes first, and some
 buckets at a time go on, which bounds what is held.  Multikey quicksort partitions them in three ways by a pivot,
 eight bytes at a step, all groups of a round at once; groups that are still together at the
 shallow depth go to blind tries, which keep a place to branch at and the branching bytes only
@@ -13,12 +13,12 @@ import numpy as np
 
 #: Bytes of a step of the quicksort, and steps before blind tries take over.
 STEP, SHALLOW = 8, 2
-#: Suffixes that are sorted at a time, unless more begin with the same two bytes.
+#: Suffixes that are sorted at a time, unless more begin with the same four bytes.
 AT_ONCE = 100_000
 
 
-def quicksort(buf: np.ndarray, places: np.ndarray, steps: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order of ``places`` by the ``steps`` words from each, and begin and end of the groups that are equal so far.
+def quicksort(buf: np.ndarray, places: np.ndarray, lo: np.ndarray, hi: np.ndarray, steps: int = SHALLOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of ``places`` within the groups from ``lo`` to ``hi``, and the groups that are equal by ``steps`` words then.
 
     The words lie within ``buf``.  In a round each open group takes the middle
     of three of its words as pivot; what is smaller, equal or greater becomes a group, and equal
@@ -26,10 +26,10 @@ def quicksort(buf: np.ndarray, places: np.ndarray, steps: int = SHALLOW) -> tupl
     """
     words = np.lib.stride_tricks.sliding_window_view(buf, STEP)
     order = np.arange(len(places))
-    lo, hi, depth = (np.array([x]) for x in (0, len(places), 0))
+    more = hi - lo > 1
+    lo, hi = lo[more], hi[more]
+    depth = np.zeros(len(lo), np.int64)
     done: list[tuple[np.ndarray, np.ndarray]] = []
-    if len(places) < 2:
-        lo = hi = depth = np.zeros(0, np.int64)
     while len(lo):
         size = hi - lo
         first = np.cumsum(size) - size
@@ -108,32 +108,41 @@ class BlindTrie:
         return out
 
 
-def _part(body: bytes, buf: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-    steps = min(SHALLOW, width // STEP)
-    order, begins, ends = quicksort(buf, places, steps)
-    skip = steps * STEP
-    if skip == width:
-        return order
+def _tries(body: bytes, places: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.ndarray, skip: int, width: int) -> None:
+    """Sort each group of ``order``, whose first ``skip`` bytes are equal, by a blind trie of the rest."""
+    where = places[order].tolist()
     for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
+        if hi - lo == 2:  # a trie of two leaves
+            a, b = where[lo], where[lo + 1]
+            if body[b + skip : b + width] < body[a + skip : a + width]:
+                order[lo], order[lo + 1] = order[lo + 1], order[lo]
+            continue
         members = order[lo:hi].tolist()
-        own = places[order[lo:hi]].tolist()
-        trie = BlindTrie(body[own[0] + skip : own[0] + width], members[0])
-        for p, m in zip(own[1:], members[1:], strict=True):
+        trie = BlindTrie(body[where[lo] + skip : where[lo] + width], members[0])
+        for p, m in zip(where[lo + 1 : hi], members[1:], strict=True):
             trie.add(body[p + skip : p + width], m)
         order[lo:hi] = trie.in_order()
-    return order
 
 
 def deep_shallow(body: bytes, places: np.ndarray, width: int) -> np.ndarray:
     """The order of ``places`` by the ``width`` bytes (8 or more) from each, which lie within ``body``."""
     buf = np.frombuffer(body, np.uint8)
-    first = (buf[places].astype(np.uint16) << 8) | buf[places + 1]
-    order = np.argsort(first, kind="stable").astype(np.int32)
-    sizes = np.bincount(first, minlength=1)
-    ends = np.cumsum(sizes)[sizes > 0].tolist()
-    lo = 0
-    for hi, following in zip(ends, [*ends[1:], None], strict=True):
-        if following is None or following - lo > AT_ONCE:
-            order[lo:hi] = order[lo:hi][_part(body, buf, places[order[lo:hi]].astype(np.int64), width)]
-            lo = hi
+    steps = min(SHALLOW, width // STEP)
+    low, high = ((buf[places + k].astype(np.uint16) << 8) | buf[places + k + 1] for k in (2, 0))
+    order = np.argsort(low, kind="stable").astype(np.int32)
+    order = order[np.argsort(high[order], kind="stable")]
+    low, high = low[order], high[order]
+    starts = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(order) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(order))
+    del low, high
+    i = 0
+    while i < len(starts):  # whole buckets, one at least
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + AT_ONCE, "right")))
+        part = slice(starts[i], ends[j - 1])
+        own = places[order[part]].astype(np.int64)
+        within, lo, hi = quicksort(buf, own, starts[i:j] - starts[i], ends[i:j] - starts[i], steps)
+        if steps * STEP < width:
+            _tries(body, own, within, lo, hi, steps * STEP, width)
+        order[part] = order[part][within]
+        i = j
     return order

@@ -1,6 +1,6 @@
 """Removal of byte strings that an earlier document holds, by sorting suffixes deep and shallow.
 
-Every window of ``SPAN`` bytes is charged to its minimizer, the 16-byte string of least hash in
+Every window of ``SPAN`` bytes is charged to its minimizer, the 24-byte string of least hash in
 it, so equal windows of any two documents are charged to equal minimizers.  All documents ask
 which minimizers stand in two documents or more (packs.ask); only the stretches of text around
 those meet.  Where they meet, the suffixes that begin windows are sorted (blindtrie): multikey
@@ -25,7 +25,7 @@ from tallyforge.llm.blindtrie import deep_shallow
 from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
-SPAN, SEED = 50, 16
+SPAN, SEED = 50, 24
 #: Places from which the windows of a minimizer meet one by one.
 HOT = 50_000
 #: Bytes of all texts for each bucket of minimizers, and for each bucket of stretches.
@@ -62,17 +62,20 @@ def _slices(p: pk.Pack) -> Iterator[tuple[int, bytes, np.ndarray]]:
 
 
 def _minimizers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts of one minimizer: first start, last start, the minimizer's hash."""
+    """Runs of window starts of one minimizer: first start, last start, the minimizer's key.
+
+    The key is another hash than the one that is least, as least ones crowd at the lower end.
+    """
     none = np.zeros(0, np.int64)
     if len(buf) < SPAN:
         return none, none, np.zeros(0, np.uint64)
     w = buf.astype(np.uint64)
     for k in (1, 2, 4):
         w = w[:-k] | (w[k:] << U(8 * k))
-    h = pk.mix(w[8:])
-    h += w[:-8] * U(0x9E3779B97F4A7C15)
+    h = np.zeros(len(buf) - SEED + 1, np.uint64)
+    for k in range(0, SEED, 8):  # the SEED bytes from each place, eight at a time
+        h = pk.mix(h * U(0x9E3779B97F4A7C15) + w[k : k + len(h)])
     del w
-    h = pk.mix(h)
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     size = SPAN - SEED + 1
     step = 1
@@ -92,7 +95,7 @@ def _minimizers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     stop = np.zeros(len(at), bool)
     stop[:-1] = (at[1:] != at[:-1]) | ~valid[1:]
     stop[-1] = True
-    return first, np.flatnonzero(stop & valid), h[at[first]]
+    return first, np.flatnonzero(stop & valid), pk.mix(h[at[first]] + U(0x632BE59BD9B4E019))
 
 
 def _runs(p: pk.Pack) -> tuple[np.ndarray, ...]:

@@ -9,6 +9,7 @@ where one digest stands for several texts, the texts themselves form the groups.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from tallyforge.llm.stages import give_back
 from tallyforge.storage import Scratch
 
 #: Fixed: the characters that are deleted before texts are compared.
+BLANK = b" \t\n\x0b\x0c\r"
 BLANK_PATTERN = "[\\x20\\x09-\\x0D]+"
 #: Entries of a memtable, runs that a shard gathers before it compacts, bits of filter per entry.
 MEMTABLE, FANOUT, FILTER_BITS = 65_536, 8, 10
@@ -121,6 +123,19 @@ def _flush(width: int, compact: bool):
     return run
 
 
+def _entries(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() or "" for x in batch.column("text")]
+            shas = [hashlib.sha256(x.encode().translate(None, BLANK)).digest() for x in texts]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n_chars": pa.array([len(x) for x in texts], pa.int64()),
+                "sha": pa.array(shas, pa.binary()), "digest": pa.array([x[:width] for x in shas], pa.binary()), "n_rows": pa.array([1] * len(texts), pa.int64()),
+            })
+
+    return run
+
+
 def text_sha256(text: str) -> Column:
     """The digest that ``exact_dedup`` returns, of a column of texts."""
     return F.sha2(plain_text(text), 256)
@@ -143,15 +158,14 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     spark = docs.sparkSession
     keep = Scratch(spark, "exact-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    hashed = docs.select("doc_id", size.alias("n_chars"), F.unhex(text_sha256("text")).alias("sha"))
-    entries = keep.table(hashed.withColumn("digest", F.substring("sha", 1, digest_bytes)).withColumn("n_rows", F.lit(1).cast("long")), "entries")
+    # the digest in Python costs less than a pattern and a digest in the JVM
+    entries = keep.table(docs.mapInArrow(give_back(_entries(digest_bytes)), "doc_id long, n_chars long, sha binary, digest binary, n_rows long"), "entries")
     runs = entries.select(*_COLS).mapInArrow(give_back(_flush(digest_bytes, False)), _RUN)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = runs.repartition(n, "digest").mapInArrow(give_back(_flush(digest_bytes, True)), _RUN).where("n_rows > 1")
     hits = keep.table(index.select("digest", F.col("doc_id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("n_rows").alias("group_size")), "hits")
 
-    texts = docs.select("doc_id", size.alias("n_chars"), plain_text("text").alias("plain"))
+    texts = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), plain_text("text").alias("plain"))
     texts = texts.withColumn("digest", F.expr(f"substring(unhex(sha2(plain, 256)), 1, {digest_bytes})"))
     # copies merge before the shuffle, so a text that fills a third of the rows is one row a task
     variants = texts.groupBy("digest", "plain").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts"))

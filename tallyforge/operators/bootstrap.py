@@ -1,17 +1,157 @@
-"""Bootstrap intervals with indexes that any engine can derive."""
+"""Bootstrap intervals of means: exact replays of a seeded generator, and a form for cohorts of any size."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a group up to which its resamples are replayed exactly, in one task.
+MOST = 2_000_000
+#: Draws held at a time.
+CHUNK = 1 << 22
+STATS = "n long, mean double, median double, std double, low double, high double"
+
+
+def ranks(rounds: int, confidence: float = 0.95) -> tuple[int, int]:
+    """Places, from 0 up, of an interval's ends among the sorted means of ``rounds`` resamples."""
+    tail = round((1 - confidence) / 2, 12)
+    return max(0, math.floor(tail * (rounds - 1))), min(rounds - 1, math.ceil(round((1 - tail) * (rounds - 1), 9)))
+
+
+def draws(n: int, total: int, seed: int) -> Iterator[np.ndarray]:
+    """``total`` indexes below n, the ones that ``random.Random(seed).randrange(n)`` gives, some at a time.
+
+    That generator is a Mersenne Twister seeded by the integer's 32-bit words; an index is the top bits of a
+    word, and words that give n or more are passed over.
+    """
+    words = [abs(seed) >> s & 0xFFFFFFFF for s in range(0, max(1, abs(seed).bit_length()), 32)]
+    raw = np.random.RandomState(words)._bit_generator
+    bits = n.bit_length()
+    if bits > 32:
+        raise ValueError("more rows than a word can tell apart")
+    left = total
+    while left:
+        got = (raw.random_raw(min(CHUNK, 2 * left + 64)) >> np.uint64(32 - bits)).astype(np.int64)
+        got = got[got < n][:left]
+        left -= len(got)
+        yield got
+
+
+def resampled_means(values: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """Means of ``rounds`` resamples, each of as many values, drawn one after the other."""
+    sums, at = np.zeros(rounds), 0
+    for index in draws(len(values), rounds * len(values), seed):
+        of = np.arange(at, at + len(index)) // len(values)
+        sums += np.bincount(of, weights=values[index], minlength=rounds)
+        at += len(index)
+    return sums / len(values)
+
+
+def summary(values: np.ndarray, rounds: int, confidence: float, seed: int) -> tuple:
+    """n, mean, median, sample deviation and interval; zeros for none, the mean as both ends for one value or no rounds."""
+    if not len(values):
+        return (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    mean, std = values.mean(), values.std(ddof=1) if len(values) > 1 else 0.0
+    if len(values) == 1 or rounds <= 0:
+        low = high = mean
+    else:
+        means = np.sort(resampled_means(values, rounds, seed))
+        low, high = means[list(ranks(rounds, confidence))]
+    return len(values), mean, float(np.median(values)), std, low, high
+
+
+def exact_summary(df: DataFrame, group: str, order: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """``group`` and n, mean, median, std, low, high of its values in the order of ``order``.
+
+    The resamples are those of Python's own generator, so any engine that has it agrees.  A group's values
+    are in one task, as the generator runs through them in turn: ``interval`` bounds that.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows.sort_values(order, kind="stable")[value].to_numpy(float)
+        return pd.DataFrame([(key[0], *summary(values, rounds, confidence, seed))])
+
+    kind = df.schema[group].dataType.simpleString()
+    return df.select(group, order, value).where(F.col(value).isNotNull()).groupBy(group).applyInPandas(run, f"{group} {kind}, {STATS}")
+
+
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def _multiplicities(keys: np.ndarray, b: int, seed: int) -> np.ndarray:
+    """How often resample b takes each row: Poisson of mean 1, by a hash of the row's key."""
+    x = keys ^ np.uint64((seed * 0x9E3779B97F4A7C15 + b * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return np.searchsorted(_POISSON, ((x ^ (x >> np.uint64(33))) >> np.uint64(11)).astype(float) / (1 << 53), "right")
+
+
+def poisson_summary(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """``group, n, mean, low, high`` for groups of any size: each row takes part in a resample as often as a hash of its key says.
+
+    A task folds its rows into one sum and one count for each group and resample, so what is shuffled does not
+    grow with the rows, and no group is in one task.  Rows of equal key take part alike.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            rows = batch.to_pandas()
+            for g, part in rows.groupby("g", dropna=False):
+                s = sums.setdefault(None if pd.isna(g) else g, [0, 0.0, np.zeros(rounds), np.zeros(rounds)])
+                x, k = part["x"].to_numpy(float), part["k"].to_numpy(np.int64).view(np.uint64)
+                s[0] += len(x)
+                s[1] += x.sum()
+                for b in range(rounds):
+                    m = _multiplicities(k, b, seed)
+                    s[2][b] += m @ x
+                    s[3][b] += m.sum()
+        if sums:
+            cols = [pa.array(list(sums), batch.schema.field("g").type), *(pa.array([s[i].tolist() if i > 1 else s[i] for s in sums.values()]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(cols, names=["g", "n", "total", "sums", "counts"])
+
+    kind = df.schema[group].dataType.simpleString()
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("x"))
+    parts = rows.mapInArrow(fold, f"g {kind}, n long, total double, sums array<double>, counts array<double>")
+    whole = parts.groupBy("g").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+    each = parts.select("g", F.posexplode(F.arrays_zip("sums", "counts")).alias("b", "s")).groupBy("g", "b").agg(F.try_divide(F.sum("s.sums"), F.sum("s.counts")).alias("m"))
+    low, high = ranks(rounds, confidence)
+    drawn = each.groupBy("g").agg(F.collect_list("m").alias("ms")).withColumnRenamed("g", "h")
+    # a resample that took no row at all has the group's mean
+    means = F.array_sort(F.concat("ms", F.array_repeat("mean", rounds - F.size("ms"))))
+    joined = whole.join(drawn, F.col("g").eqNullSafe(F.col("h"))).withColumn("ms", means)
+    return joined.select(F.col("g").alias(group), "n", "mean", F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"))
+
+
+def interval(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, most: int = MOST) -> DataFrame:
+    """``group, n, mean, low, high, method``: exact replays for groups of at most ``most`` rows, else Poisson resamples; ``method`` says which."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("__n"))
+    sized = df.join(sizes, group)
+    small = exact_summary(sized.where(F.col("__n") <= most), group, key, value, rounds, confidence, seed).select(group, "n", "mean", "low", "high", F.lit("exact").alias("method"))
+    large = poisson_summary(sized.where(F.col("__n") > most), group, key, value, rounds, confidence, seed).withColumn("method", F.lit("poisson"))
+    return small.unionByName(large)
+
+
+def paired(rows: DataFrame, group: str, example: str, baseline: str, contender: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """``group, common_n, baseline_mean, contender_mean, mean_difference, low, high`` of rows that have both values."""
+    both = rows.where(F.col(baseline).isNotNull() & F.col(contender).isNotNull()).withColumn("__d", F.col(contender) - F.col(baseline))
+    means = both.groupBy(group).agg(F.avg(baseline).alias("baseline_mean"), F.avg(contender).alias("contender_mean"))
+    ends = interval(both, group, example, "__d", rounds, confidence, seed)
+    return means.join(ends, group).select(group, F.col("n").alias("common_n"), "baseline_mean", "contender_mean", F.col("mean").alias("mean_difference"), "low", "high", "method")
+
 
 def paired_interval(deltas: DataFrame, group: str, order: str, value: str, rounds: int = 100, seed: int = 7) -> DataFrame:
-    """``group, low, high``: order statistics at 2.5 and 97.5 % of the means of ``rounds`` resamples.
+    """``group, low, high``: the ends of the means of ``rounds`` resamples by indexes that SQL can derive.
 
     Resample b takes, for j below n, the value at place md5(seed|b|j) mod n.  The table of
     indexes has rounds * n rows for each group, made from the rows themselves, and is joined by
-    group and place.
+    group and place: for parity on small cohorts; ``interval`` is for all else.
     """
     place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
     d = deltas.select(group, place.alias("pos"), value)
@@ -20,6 +160,6 @@ def paired_interval(deltas: DataFrame, group: str, order: str, value: str, round
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string")))
     idx = idx.select(group, "b", (F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % F.col("n")).alias("pos"))
     means = idx.join(d, [group, "pos"]).groupBy(group, "b").agg(F.avg(value).alias("m"))
-    k_low, k_high = int(rounds * 0.025) + 1, int(rounds * 0.975) + 1
-    sorted_ = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    return sorted_.select(group, F.round(F.element_at("ms", k_low), 6).alias("low"), F.round(F.element_at("ms", k_high), 6).alias("high"))
+    low, high = ranks(rounds)
+    ordered = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    return ordered.select(group, F.round(F.get("ms", F.lit(low)), 6).alias("low"), F.round(F.get("ms", F.lit(high)), 6).alias("high"))

@@ -156,3 +156,28 @@ def paired_delta_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = m.where("strategy = 1").select("example_id", F.col("task_score").alias("base"))
     deltas = m.where("strategy <> 1").join(base, "example_id").select("strategy", "example_id", (F.col("task_score") - F.col("base")).alias("delta"))
     return paired_interval(deltas, "strategy", "example_id", "delta", rounds=100, seed=7)
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.plans.bindings import metrics
+
+    m = metrics(spark, sf_dir).select("strategy", "example_id", "task_score")
+    base = m.where("strategy = 1").select("example_id", F.col("task_score").alias("base"))
+    return m.where("strategy <> 1").join(base, "example_id")
+
+
+@register("paired_bootstrap")
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The protocol's comparison of each strategy with the first: 1,000 exact resamples."""
+    from tallyforge.operators.bootstrap import paired
+
+    return paired(_deltas(spark, sf_dir), "strategy", "example_id", "base", "task_score", rounds=1000, seed=20261003)
+
+
+@register("score_intervals")
+def score_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, median, deviation and interval of each strategy's scores."""
+    from tallyforge.operators.bootstrap import exact_summary
+    from tallyforge.plans.bindings import metrics
+
+    return exact_summary(metrics(spark, sf_dir), "strategy", "example_id", "task_score", rounds=1000)

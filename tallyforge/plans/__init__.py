@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from tallyforge.plans import corpus, evaluation, ledgers, scores, store, texts, trajectories  # noqa: F401
+from tallyforge.plans import corpus, evaluation, ledgers, routers, scores, store, texts, trajectories  # noqa: F401
 from tallyforge.plans.registry import QUERIES, SQL  # noqa: F401

@@ -259,7 +259,7 @@ def _cut(n: int):
             for p, row in pk.read(batch):
                 s = _Stretches(p, pk.codes_of(batch, row), n)
                 body = np.frombuffer(s.body, np.uint8)
-                edge = np.zeros(len(body) + 1, np.int32)
+                starts = [np.zeros(0, np.int64)]
                 for bucket, answer in zip(batch.column("buckets")[row].as_py() or [], batch.column("answers")[row].as_py() or [], strict=True):
                     low_null, low = _from_ids(answer)
                     size = np.array([len(x) - SPAN + 1 for x in s.strings[bucket]], np.int64)
@@ -271,9 +271,9 @@ def _cut(n: int):
                     text = np.repeat(s.text[mine], k)
                     own_null, own = p.nulls[text], p.ids[text]
                     earlier = np.where(low_null[at] == own_null, ~own_null & (low[at] < own), own_null)
-                    start = (np.repeat(s.first[mine], k) + step)[earlier]
-                    np.add.at(edge, start, 1)
-                    np.subtract.at(edge, start + SPAN, 1)
+                    starts.append((np.repeat(s.first[mine], k) + step)[earlier])
+                start = np.concatenate(starts)
+                edge = np.bincount(start, minlength=len(body) + 1) - np.bincount(start + SPAN, minlength=len(body) + 1)
                 gone = np.cumsum(edge[:-1]) > 0
                 cols = ([], [], [], [])
                 ends = np.cumsum([len(t) for t in p.texts])

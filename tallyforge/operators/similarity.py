@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
 @F.pandas_udf(DoubleType())
@@ -15,23 +16,40 @@ def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(a, b, strict=True)])
 
 
-def near_pairs(texts: DataFrame, least: float, buckets: int = 64) -> DataFrame:
-    """``id_a, id_b, ratio`` of pairs with ratio >= least, for tables small enough to compare.
+#: Classes of characters whose counts bound a ratio from above.
+CLASSES = 64
 
-    The ratio is at most 2 * shorter / both and at most the overlap of the multisets of characters;
-    both are checked before Python sees a pair.  Texts are joined by bands of length, so a
-    pair meets once, in the shorter one's band or the next.
+
+@F.pandas_udf(ArrayType(LongType()))
+def _counts(text: pd.Series) -> pd.Series:
+    """How many characters of each class (code point modulo ``CLASSES``) a text has."""
+    return text.map(lambda x: np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES))
+
+
+def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: str | None = None) -> DataFrame:
+    """``id_a, id_b, ratio`` of pairs of rows (id, text) with ratio >= least, ids in order; null texts are in no pair.
+
+    ``block``: only rows of one value meet; ``side``: only rows of different values are pairs.  Before Python sees a pair it
+    must pass two exact upper bounds: 2 * shorter / both, and the overlap of the counts of characters by class.  Rows
+    meet by block and band of length, the shorter's or the next, so work grows with the square of a band's rows: for
+    splits of a benchmark, not for corpora.  Equal texts need no comparison.
     """
-    step = (1 / least) ** 2
-    band = F.floor(F.log(F.greatest(F.length("text"), F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")
-    x = texts.withColumn("n", F.length("text")).withColumn("band", band)
-    other = x.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"), F.col("n").alias("n_b"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    pairs = x.join(other, "band").where((F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") < F.col("id_b"))))
-    pairs = pairs.where(2 * F.col("n") / (F.col("n") + F.col("n_b")) >= least)
-    letters = F.aggregate(F.array_distinct(F.split("text", "")), F.lit(0), lambda acc, ch: acc + F.least(F.length("text") - F.length(F.replace(F.col("text"), ch, F.lit(""))), F.length("text_b") - F.length(F.replace(F.col("text_b"), ch, F.lit("")))))
-    pairs = pairs.where(2 * letters / (F.col("n") + F.col("n_b")) >= least)
-    pairs = pairs.withColumn("ratio", block_ratio("text", "text_b")).where(F.col("ratio") >= least)
-    return pairs.select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b"), "ratio").distinct()
+    step = (2 - least) / least + 1e-9
+    x = texts.where("text is not null").withColumn("n", F.length("text"))
+    x = x.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")).withColumn("counts", _counts("text"))
+    cols = {"id": "id", "text": "text", "n": "n", "counts": "counts", "b": block, "s": side}
+    a, b = (x.select("band", *[(F.col(c) if c else F.lit(None).cast("string")).alias(f"{k}_{end}") for k, c in cols.items()]) for end in "ab")
+    b = b.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)))
+    pairs = a.join(b, (a["band"] == b["band"]) & F.col("b_a").eqNullSafe(F.col("b_b")) & (F.col("id_a") < F.col("id_b")))
+    if side:
+        pairs = pairs.where("s_a <> s_b")
+    both = F.col("n_a") + F.col("n_b")
+    pairs = pairs.where((2 * F.least("n_a", "n_b") >= least * both) | (both == 0))
+    common = F.aggregate(F.zip_with("counts_a", "counts_b", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
+    pairs = pairs.where((2 * common >= least * both) | (both == 0)).select("id_a", "id_b", "text_a", "text_b")
+    equal = F.col("text_a") == F.col("text_b")
+    found = pairs.where(~equal).withColumn("ratio", block_ratio("text_a", "text_b")).where(F.col("ratio") >= least)
+    return found.unionByName(pairs.where(equal).withColumn("ratio", F.lit(1.0))).select("id_a", "id_b", "ratio")
 
 
 def holding_pairs(docs: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:

@@ -40,18 +40,17 @@ select strategy, count(*) as attempts, count(distinct example_id) as examples, c
   cast(sum(case when outcome = 'SUCCESS' then 1 else 0 end) as bigint) as successes, cast(sum(latency_ms) as bigint) as latency_ms
 from {attempts} group by strategy""")
 declare("usage_remaining", """
-select example_id, cast(sum(coalesce(tokens_in, 0) + coalesce(tokens_out, 0)) as bigint) as used, 4000 - cast(sum(coalesce(tokens_in, 0) + coalesce(tokens_out, 0)) as bigint) as remaining,
+select example_id, cast(sum(coalesce(tokens_in, 0) + coalesce(tokens_out, 0)) as bigint) as used, greatest(0, 4000 - cast(sum(coalesce(tokens_in, 0) + coalesce(tokens_out, 0)) as bigint)) as remaining,
   sum(coalesce(tokens_in, 0) + coalesce(tokens_out, 0)) > 4000 as overrun from {attempts} group by example_id""")
 declare("component_coverage", """
 select strategy, count(*) as expected, count(case when status = 'F' then task_score end) as available, count(*) - count(case when status = 'F' then task_score end) as unscorable,
-  round(avg(case when status = 'F' then task_score end), 6) as mean_available, round(sum(case when status = 'F' then task_score else 0 end) / count(*), 6) as mean_with_zeros
+  round(cast(sum(case when status = 'F' then cast(task_score as decimal(10, 2)) end) as double) / count(case when status = 'F' then task_score end), 6) as mean_available,
+  round(cast(sum(case when status = 'F' then cast(task_score as decimal(10, 2)) else 0 end) as double) / count(*), 6) as mean_with_zeros, cast(sum(case when status = 'O' and task_score <= 0 then 1 else 0 end) as bigint) as failed
 from {metrics} group by strategy""")
 declare("abstention_confusion", """
-select cast(sum(case when toxic = 1 and quality = 0 then 1 else 0 end) as bigint) as true_abstain, cast(sum(case when toxic = 1 and quality = 1 then 1 else 0 end) as bigint) as over_abstain,
-  cast(sum(case when toxic = 0 and quality = 0 then 1 else 0 end) as bigint) as under_abstain, cast(sum(case when toxic = 0 and quality = 1 then 1 else 0 end) as bigint) as true_answer,
-  round(sum(case when toxic = 1 and quality = 0 then 1 else 0 end) / nullif(sum(toxic), 0), 6) as abstain_precision,
-  round(sum(case when toxic = 1 and quality = 0 then 1 else 0 end) / nullif(sum(1 - quality), 0), 6) as abstain_recall
-from {labels}""")
+with c as (select sum(case when toxic = 1 and quality = 0 then 1 else 0 end) as tp, sum(case when toxic = 1 and quality = 1 then 1 else 0 end) as fp, sum(case when toxic = 0 and quality = 0 then 1 else 0 end) as fn, count(*) as n from {labels} where toxic is not null and quality is not null)
+select cast(tp as bigint) as true_abstain, cast(fp as bigint) as over_abstain, cast(fn as bigint) as under_abstain, cast(n - tp - fp - fn as bigint) as true_answer, round(coalesce(cast(tp as double) / nullif(tp + fp, 0), 0), 6) as abstain_precision,
+  round(coalesce(cast(tp as double) / nullif(tp + fn, 0), 0), 6) as abstain_recall, round(coalesce(cast(2 * tp as double) / nullif(2 * tp + fp + fn, 0), 0), 6) as abstain_f1, round(coalesce(cast(fp as double) / nullif(n, 0), 0), 6) as over_rate, round(coalesce(cast(fn as double) / nullif(n, 0), 0), 6) as under_rate from c""")
 _LABELS = """
 select example_id, strategy, 'SCHEMA_FAILURE' as label from {metrics} where status = 'O' and task_score < 0.2 union all
 select example_id, strategy, 'WRONG_CITATION' as label from {metrics} where cond = 'R' and task_score < 1 union all

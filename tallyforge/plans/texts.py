@@ -22,19 +22,23 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("exact_match_norm", f"with {_TURNS} select conv_id, turn, case when regexp_replace(a, '\\s+', ' ', 'g') = regexp_replace(b, '\\s+', ' ', 'g') then 1.0 else 0.0 end as em from turns".replace("1.0", "1.0::double").replace("0.0", "0.0::double"))
 def exact_match_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = F.regexp_replace("a", r"\s+", " ").eqNullSafe(F.regexp_replace("b", r"\s+", " "))
-    return _turns(spark, sf_dir).select("conv_id", "turn", same.cast("double").alias("em"))
+    turns = _turns(spark, sf_dir).select("conv_id", "turn", t.normalize_all(F.array("a", "b")).alias("n"))
+    return turns.select("conv_id", "turn", (F.get("n", F.lit(0)) == F.get("n", F.lit(1))).cast("double").alias("em"))
+
+
+_WORDS = "case when trim({0}) = '' then [] when contains(trim({0}), ' ') then regexp_split_to_array(trim({0}), '\\s+') else string_split(trim({0}), '') end"
 
 
 @register("token_f1", f"""
-with {_TURNS}, w as (select conv_id, turn, regexp_split_to_array(a, '\\s+') as x, regexp_split_to_array(b, '\\s+') as y from turns where contains(a, ' ') and contains(b, ' ')),
+with {_TURNS}, w as (select conv_id, turn, {_WORDS.format("a")} as x, {_WORDS.format("b")} as y from turns),
 xs as (select conv_id, turn, tok, count(*) as n from (select conv_id, turn, unnest(x) as tok from w) group by all),
 ys as (select conv_id, turn, tok, count(*) as n from (select conv_id, turn, unnest(y) as tok from w) group by all),
 c as (select xs.conv_id, xs.turn, sum(least(xs.n, ys.n)) as common from xs join ys on xs.conv_id = ys.conv_id and xs.turn = ys.turn and xs.tok = ys.tok group by xs.conv_id, xs.turn)
-select w.conv_id as conv_id, w.turn as turn, round(2 * coalesce(c.common, 0) / (len(x) + len(y)), 6) as f1 from w left join c on w.conv_id = c.conv_id and w.turn = c.turn""")
+select w.conv_id as conv_id, w.turn as turn, round(case when len(x) + len(y) = 0 then 1 else 2 * coalesce(c.common, 0) / (len(x) + len(y)) end, 6) as f1 from w left join c on w.conv_id = c.conv_id and w.turn = c.turn""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _turns(spark, sf_dir).where("contains(a, ' ') and contains(b, ' ')")
-    return w.select("conv_id", "turn", F.round(t.multiset_f1(F.split("a", r"\s+"), F.split("b", r"\s+")), 6).alias("f1"))
+    """Words where a text has several, else its characters; every pair of turns."""
+    turns = _turns(spark, sf_dir).select("conv_id", "turn", t.normalize_all(F.array("a", "b")).alias("n"))
+    return turns.select("conv_id", "turn", F.round(t.multiset_f1(t.tokens(F.get("n", F.lit(0))), t.tokens(F.get("n", F.lit(1)))), 6).alias("f1"))
 
 
 _CITED = """p as (select l_orderkey as example_id, list(distinct l_partkey) filter (where l_returnflag = 'N') as pred, list(distinct l_partkey) filter (where l_linestatus = 'F') as gold from {lineitem} group by l_orderkey),
@@ -92,8 +96,13 @@ def contamination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holding_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-declare("token_cost_estimate", """
-select doc_id, cast(floor((length(text) + 2 + 3) / 4) as bigint) as est_tokens, round(cast(floor((length(text) + 2 + 3) / 4) as double) * cast(0.0005 as double), 6) as cost from {documents}""")
+@register("token_cost_estimate", """
+select doc_id, greatest(1, (length(to_json(text)::varchar) + 3) // 4) as est_tokens, round((greatest(1, (length(to_json(text)::varchar) + 3) // 4) * 0.0005::double + n_chars // 10 * 0.0015::double) / 1000, 9) as cost from {documents}""")
+def token_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", t.estimate_tokens(F.col("text")).alias("est_tokens"), F.floor(F.col("n_chars") / 10).alias("out"))
+    return d.select("doc_id", "est_tokens", F.round((F.col("est_tokens") * 0.0005 + F.col("out") * 0.0015) / 1000, 9).alias("cost"))
+
+
 declare("json_schema_validation", """
 select event_id, get_json_object(props, '$.k') is null as missing_k, try_cast(get_json_object(props, '$.k') as bigint) is not null as k_is_integer,
   size(json_object_keys(props)) as n_keys, try_cast(get_json_object(props, '$.k') as bigint) between 0 and 50 as in_range from {events}""", """
@@ -128,9 +137,9 @@ declare("exact_duplicate_groups", "select md5(text) as digest, count(*) as n, mi
 
 @register("near_duplicate_pairs")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items alike by the matching-blocks ratio, blocked by nothing but exact upper bounds."""
-    b = table(spark, sf_dir, "benchmark")
-    return near_pairs(b.select(F.col("item_id").alias("id"), "text"), 0.9)
+    """Documents of one language on different sides (odd and even ids) that are alike by the matching-blocks ratio."""
+    d = table(spark, sf_dir, "documents")
+    return near_pairs(d.select(F.col("doc_id").alias("id"), "text", "lang", (F.col("doc_id") % 2).alias("side")), 0.97, "lang", "side")
 
 
 @register("learned_router_eval")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators.store import latest
@@ -25,3 +25,20 @@ def checkpoint_stream(stream: DataFrame, path: str, keys: list[str], seq: str, c
         latest(batch, keys, seq).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_checkpoints(spark: SparkSession, path: str, keys: list[str], seq: str) -> DataFrame:
+    """The latest row of each key over all batches that ``checkpoint_stream`` wrote."""
+    return latest(spark.read.parquet(path).drop("batch"), keys, seq)
+
+
+def distinct_attempts(stream: DataFrame, key: str, ts: str, late: str = "1 hour") -> DataFrame:
+    """Each attempt once: repeats within ``late`` of the first are dropped, and state older than that is forgotten."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+
+
+def accounting(attempts: DataFrame, key: str, ts: str, value: str, kind: str = "tumbling", width: str = "1 day", step: str | None = None, late: str = "1 hour") -> DataFrame:
+    """``key, start, end, attempts, value`` per tumbling, sliding (every ``step``) or session window (closed after ``width`` without a row)."""
+    frame = {"tumbling": lambda: F.window(ts, width), "sliding": lambda: F.window(ts, width, step), "session": lambda: F.session_window(ts, width)}[kind]()
+    grouped = attempts.withWatermark(ts, late).groupBy(key, frame.alias("w")).agg(F.count("*").alias("attempts"), F.sum(value).alias("value"))
+    return grouped.select(key, "w.start", "w.end", "attempts", "value")

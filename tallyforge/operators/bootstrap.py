@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a group up to which its resamples are replayed exactly, in one task.
@@ -149,17 +150,24 @@ def paired(rows: DataFrame, group: str, example: str, baseline: str, contender:
 def paired_interval(deltas: DataFrame, group: str, order: str, value: str, rounds: int = 100, seed: int = 7) -> DataFrame:
     """``group, low, high``: the ends of the means of ``rounds`` resamples by indexes that SQL can derive.
 
-    Resample b takes, for j below n, the value at place md5(seed|b|j) mod n.  The table of
-    indexes has rounds * n rows for each group, made from the rows themselves, and is joined by
-    group and place: for parity on small cohorts; ``interval`` is for all else.
+    Resample b takes, for j below n, the value at place md5(seed|b|j) mod n.  A group's values are in one task: this is for
+    parity with other engines on cohorts that fit there; ``interval`` is for all else.
     """
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    d = deltas.select(group, place.alias("pos"), value)
-    n = d.groupBy(group).agg(F.count("*").alias("n"))
-    idx = d.select(group, F.col("pos").cast("long").alias("j")).join(n, group).select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string")))
-    idx = idx.select(group, "b", (F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % F.col("n")).alias("pos"))
-    means = idx.join(d, [group, "pos"]).groupBy(group, "b").agg(F.avg(value).alias("m"))
-    low, high = ranks(rounds)
-    ordered = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    return ordered.select(group, F.round(F.get("ms", F.lit(low)), 6).alias("low"), F.round(F.get("ms", F.lit(high)), 6).alias("high"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows.sort_values(order, kind="stable")[value].to_numpy(float)
+        n, means = len(values), np.empty(rounds)
+        for b in range(rounds):
+            start = hashlib.md5(f"{seed}|{b}|".encode())
+            at = np.empty(n, np.int64)
+            for j in range(n):
+                h = start.copy()
+                h.update(b"%d" % j)
+                at[j] = int.from_bytes(h.digest()[:4]) >> 4
+            means[b] = values[at % n].mean()
+        low, high = np.sort(means)[list(ranks(rounds))]
+        return pd.DataFrame([(key[0], low, high)])
+
+    kind = deltas.schema[group].dataType.simpleString()
+    found = deltas.select(group, order, value).groupBy(group).applyInPandas(run, f"{group} {kind}, low double, high double")
+    return found.select(group, F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

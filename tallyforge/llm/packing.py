@@ -16,10 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.stages import give_back
+
 #: Tokens that a task gathers before it packs them; a document may exceed it alone.
 POOL = 4 << 20
-#: Tokens of a shard.
-SHARD = 8 << 20
+#: Tokens of a shard, and rows that a task sends on at a time.
+SHARD, SENT = 8 << 20, 128
 SCHEMA = "shard int, row long, n_tokens int, n_segments int, doc_ids array<long>, offsets array<long>, cu_seqlens array<int>, ids binary, positions binary"
 
 
@@ -98,23 +100,25 @@ def pack(tokens: DataFrame, length: int = 2048, pad: int = 0, shards: int | None
         ids: list[np.ndarray] = []
         held = 0
 
-        def close() -> pa.RecordBatch:
+        def close() -> Iterator[pa.RecordBatch]:
             nonlocal docs, ids, held, made
             rows = best_fit([len(x) for x in ids], length)
-            cols: list[list] = [[] for _ in range(9)]
-            for segments in rows:
-                flat, place = np.full(length, pad, "<u4"), np.zeros(length, "<u4")
-                ends = np.cumsum([0, *[s for _, _, s in segments]])
-                for (i, at, size), lo in zip(segments, ends.tolist(), strict=False):
-                    flat[lo : lo + size] = ids[i][at : at + size]
-                    place[lo : lo + size] = np.arange(size)
-                values = (shard, made, int(ends[-1]), len(segments), [docs[i] for i, _, _ in segments], [at for _, at, _ in segments], ends.tolist(), flat.tobytes(), place.tobytes())
-                made += 1
-                for c, v in zip(cols, values, strict=True):
-                    c.append(v)
-            docs, ids, held = [], [], 0
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "row", "n_tokens", "n_segments", "doc_ids", "offsets", "cu_seqlens", "ids", "positions"])
+            names = ["shard", "row", "n_tokens", "n_segments", "doc_ids", "offsets", "cu_seqlens", "ids", "positions"]
+            for first in range(0, len(rows), SENT):  # some rows at a time, so neither side holds a pool twice
+                cols: list[list] = [[] for _ in names]
+                for segments in rows[first : first + SENT]:
+                    flat, place = np.full(length, pad, "<u4"), np.zeros(length, "<u4")
+                    ends = np.cumsum([0, *[s for _, _, s in segments]])
+                    for (i, at, size), lo in zip(segments, ends.tolist(), strict=False):
+                        flat[lo : lo + size] = ids[i][at : at + size]
+                        place[lo : lo + size] = np.arange(size)
+                    values = (shard, made, int(ends[-1]), len(segments), [docs[i] for i, _, _ in segments], [at for _, at, _ in segments], ends.tolist(), flat.tobytes(), place.tobytes())
+                    made += 1
+                    for c, v in zip(cols, values, strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            docs, ids, held = [], [], 0
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("token_ids"), strict=True):
@@ -123,11 +127,11 @@ def pack(tokens: DataFrame, length: int = 2048, pad: int = 0, shards: int | None
                 ids.append(x)
                 held += len(x)
                 if held >= POOL:
-                    yield close()
+                    yield from close()
         if ids:
-            yield close()
+            yield from close()
 
-    return tokens.select("doc_id", "token_ids").mapInArrow(run, SCHEMA)
+    return tokens.select("doc_id", "token_ids").mapInArrow(give_back(run), SCHEMA)
 
 
 def save(packed: DataFrame, path: str) -> None:

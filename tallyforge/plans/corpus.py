@@ -9,21 +9,32 @@ from tallyforge.plans.registry import register
 
 _CORPUS = r"""
 select cast(k as string) as id, k, task_type, input, gold, concat('{', concat_ws(',',
-    '"source":"orders","split":"dev","split_policy":"heldout_template_family"', concat('"difficulty":"', case k % 3 when 0 then 'hard' when 1 then 'medium' else 'easy' end, '"'), concat('"template_family":"t', c % 12, '"'),
-    concat('"split":"', if(k % 2 = 0, 'dev', 'test'), '"'), '"scenario_family":"s","generator_version":"1","structural_signature":"x"', concat('"surface_form_family":"f', c % 5, '"'), concat('"reasoning_family":"r', c % 9, '"'),
-    concat('"document_type":"', if(k % 100 = 0, concat('t', c % 12), 'd'), '"'), concat('"tags":[', if(f = 8 and task_type = 'grounded_qa', '"Long Tag"', '"tag"'), ']'),
-    concat('"generator_operations":["', if(k % 3 = 0 and f <> 6, 'cross_sentence_composition', 'direct_lookup'), '"]'), concat('"difficulty_factors":["', if(f = 7, 'other', if(k % 3 = 0 and f <> 6, 'cross_sentence_composition', 'direct_lookup')), '"]'),
-    concat('"target_entity":"Customer ', c, '"'), if(f = 5 and k % 4 = 2, '"document_date":"2031-01-01"', null), if(f = 6 and k % 4 = 2, '"chronology":{"ordered_pairs":[{"label":"x","earlier":"2030-02-01","later":"2030-01-01"}]}', null)), '}') as metadata
+    '"source":"orders","split":"dev","split_policy":"heldout_template_family"', concat('"difficulty":"',
+    case k % 3 when 0 then 'hard' when 1 then 'medium' else 'easy' end, '"'), concat('"template_family":"t', c % 12, '"'),
+    concat('"split":"', if(k % 2 = 0, 'dev', 'test'), '"'), '"scenario_family":"s","generator_version":"1","structural_signature":"x"',
+    concat('"surface_form_family":"f', c % 5, '"'), concat('"reasoning_family":"r', c % 9, '"'),
+    concat('"document_type":"', if(k % 100 = 0, concat('t', c % 12), 'd'), '"'), concat('"tags":[', if(f = 8 and task_type = 'grounded_qa', '"Long Tag"',
+    '"tag"'), ']'),
+    concat('"generator_operations":["', if(k % 3 = 0 and f <> 6, 'cross_sentence_composition', 'direct_lookup'), '"]'), concat('"difficulty_factors":["',
+    if(f = 7, 'other', if(k % 3 = 0 and f <> 6, 'cross_sentence_composition', 'direct_lookup')), '"]'),
+    concat('"target_entity":"Customer ', c, '"'), if(f = 5 and k % 4 = 2, '"document_date":"2031-01-01"', null), if(f = 6 and k % 4 = 2,
+    '"chronology":{"ordered_pairs":[{"label":"x","earlier":"2030-02-01","later":"2030-01-01"}]}', null)), '}') as metadata
 from (select k, c, f, case when k % 4 in (0, 3) then 'grounded_qa' when k % 4 = 1 then 'structured_extraction' else 'business_summarization' end as task_type,
-  case when k % 4 in (0, 3) then concat('{"question":"who is ', if(f = 5, 'it', concat('Customer ', c)), '?",', if(f = 3, concat('"source_text":"Customer ', c, ' ordered"}'),
+  case when k % 4 in (0, 3) then concat('{"question":"who is ', if(f = 5, 'it', concat('Customer ', c)), '?",', if(f = 3, concat('"source_text":"Customer ', c,
+    ' ordered"}'),
         concat('"evidence_units":[{"id":"e1","text":"Customer ', c, ' ordered"},{"id":"', if(f = 1, 'e1', 'e2'), '","text":"status ', s, '"}]}')))
     when k % 4 = 1 then concat('{"text":"C', c, 'は', iso, 'に発行。金額は', c, '万円。期限は2030-01-01まで"}')
     else concat('{"text":"佐藤は出荷', c, 'を2030-02-01までに行う。支払を決定。遅延の恐れ。田中は確認を行う"}') end as input,
-  case when k % 4 in (0, 3) then concat('{"answerable":true,"answer":"', if(f = 0, ' ', concat('customer ', c)), '","evidence":["', case f when 2 then 'e9' when 4 then 'e2' else 'e1' end, '"]}')
-    when k % 4 = 1 then concat('{"expected":{"company":"', if(f = 3, 'ZZ', concat('C', c)), '","amount_jpy":', if(f = 6, concat('"', c, '万円"'), cast(c * 10000 as string)), ',"issue_date":"', iso, '","due_date":', case f when 1 then 'null' when 2 then '"1990-01-01"' else '"2030-01-01"' end,
-        '},"json_schema":{"type":"object","required":["company"', if(f = 4, ',"nope"', ''), '],"properties":{"company":{"type":"', if(f = 5, 'text', 'string'), '"},"amount_jpy":{"type":"integer"},"issue_date":{"type":"string","format":"date"},"due_date":{"type":["string","null"],"format":"date"}}}}')
-    else concat('{"summary":"ok","decisions":["', if(f = 3, '却下', '支払を決定'), '"],"risks":["遅延"],"action_items":[{"owner":"', if(f = 2, '鈴木', '佐藤'), '","action":"', if(f = 4, '廃棄', concat('出荷', c)), '","deadline":', if(f = 1, 'null', '"2030-02-01"'),
-        '},{"owner":"田中","action":"確認","deadline":null}],"supported_facts":["佐藤","出荷', c, '","2030-02-01","田中","確認",', if(f = 7, '', '"支払を決定",'), '"遅延"]}') end as gold
+  case when k % 4 in (0, 3) then concat('{"answerable":true,"answer":"', if(f = 0, ' ', concat('customer ', c)), '","evidence":["',
+    case f when 2 then 'e9' when 4 then 'e2' else 'e1' end, '"]}')
+    when k % 4 = 1 then concat('{"expected":{"company":"', if(f = 3, 'ZZ', concat('C', c)), '","amount_jpy":', if(f = 6, concat('"', c, '万円"'),
+    cast(c * 10000 as string)), ',"issue_date":"', iso, '","due_date":', case f when 1 then 'null' when 2 then '"1990-01-01"' else '"2030-01-01"' end,
+        '},"json_schema":{"type":"object","required":["company"', if(f = 4, ',"nope"', ''), '],"properties":{"company":{"type":"', if(f = 5, 'text', 'string'),
+    '"},"amount_jpy":{"type":"integer"},"issue_date":{"type":"string","format":"date"},"due_date":{"type":["string","null"],"format":"date"}}}}')
+    else concat('{"summary":"ok","decisions":["', if(f = 3, '却下', '支払を決定'), '"],"risks":["遅延"],"action_items":[{"owner":"', if(f = 2, '鈴木', '佐藤'),
+    '","action":"', if(f = 4, '廃棄', concat('出荷', c)), '","deadline":', if(f = 1, 'null', '"2030-02-01"'),
+        '},{"owner":"田中","action":"確認","deadline":null}],"supported_facts":["佐藤","出荷', c, '","2030-02-01","田中","確認",', if(f = 7, '', '"支払を決定",'),
+    '"遅延"]}') end as gold
   from (select o_orderkey as k, o_custkey as c, o_orderkey % 9 as f, o_orderstatus as s, date_format(o_orderdate, 'yyyy-MM-dd') as iso from {orders}))
 """
 

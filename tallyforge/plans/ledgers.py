@@ -25,23 +25,30 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLD = """
 with recursive c as (
   select example_id, attempt_id % 4 as lane, row_number() over (partition by example_id, attempt_id % 4 order by ts, attempt_id) as k, attempt_id % 90 as est,
-    case when attempt_id % 3 > 0 then (attempt_id % 7) * 50 end as most, tokens_in as tin, tokens_out as tout, latency_ms::double as ms, coalesce(tokens_in, 0)::double / 1000 as cost, outcome <> 'PARSE_ERROR_AFTER_RESPONSE' as rep from {attempts}),
+    case when attempt_id % 3 > 0 then (attempt_id % 7) * 50 end as most, tokens_in as tin, tokens_out as tout, latency_ms::double as ms, coalesce(tokens_in,
+    0)::double / 1000 as cost, outcome <> 'PARSE_ERROR_AFTER_RESPONSE' as rep from {attempts}),
 f as (
-  select example_id, lane, 0::bigint as k, 0::bigint as n, 0::bigint as ui, 0::bigint as uo, 0.0::double as ul, 0.0::double as uc, false as unk, true as exact, false as over, 0::bigint as rej, ''::varchar as why from (select distinct example_id, lane from c) d
+  select example_id, lane, 0::bigint as k, 0::bigint as n, 0::bigint as ui, 0::bigint as uo, 0.0::double as ul, 0.0::double as uc, false as unk, true as exact,
+    false as over, 0::bigint as rej, ''::varchar as why from (select distinct example_id, lane from c) d
   union all
-  select example_id, lane, k, n + go, ui + go * coalesce(tin, 0), uo + go * coalesce(tout, 0), ul + go * ms, uc + go * cost, unk or (go = 1 and tin is null), exact and (go = 0 or (rep and tin is not null)),
-    over or (go = 1 and (n + 1 > 9 or ui + coalesce(tin, 0) > 2500 or uo + coalesce(tout, 0) > 600 or ui + uo + coalesce(tin, 0) + coalesce(tout, 0) > 2900 or ul + ms > 9000 or uc + cost > 3)), rej + 1 - go, coalesce(reason, '')
+  select example_id, lane, k, n + go, ui + go * coalesce(tin, 0), uo + go * coalesce(tout, 0), ul + go * ms, uc + go * cost, unk or (go = 1 and tin is null),
+    exact and (go = 0 or (rep and tin is not null)),
+    over or (go = 1 and (n + 1 > 9 or ui + coalesce(tin, 0) > 2500 or uo + coalesce(tout, 0) > 600 or ui + uo + coalesce(tin, 0) + coalesce(tout,
+    0) > 2900 or ul + ms > 9000 or uc + cost > 3)), rej + 1 - go, coalesce(reason, '')
   from (select *, case when reason is null then 1 else 0 end as go from (
     select f.example_id, f.lane, c.k, f.n, f.ui, f.uo, f.ul, f.uc, f.unk, f.exact, f.over, f.rej, c.tin, c.tout, c.ms, c.cost, c.rep,
-      case when f.unk then 'unknown_usage' when f.n + 1 > 9 then 'calls' when f.over then 'overrun' when f.ui + c.est > 2500 then 'input' when 2900 - f.ui - f.uo - c.est <= 0 then 'total'
+      case when f.unk then 'unknown_usage' when f.n + 1 > 9 then 'calls' when f.over then 'overrun' when f.ui + c.est > 2500 then 'input'
+    when 2900 - f.ui - f.uo - c.est <= 0 then 'total'
         when 600 - f.uo <= 0 then 'output' when f.ul >= 9000 then 'latency' when f.uc > 3 then 'cost' when c.most <= 0 then 'output' end as reason
     from f join c on c.example_id = f.example_id and c.lane = f.lane and c.k = f.k + 1) x) y)
 """
 
 
 @register("ledger_totals", _FOLD + """
-select example_id, lane, arg_max(n, k) as attempts, arg_max(ui, k) as used_input, arg_max(uo, k) as used_output, case when arg_max(exact, k) then arg_max(ui + uo, k) end as exact_total, arg_max(rej, k) as rejected,
-  arg_max(unk, k) as unknown_usage, arg_max(over, k) as overrun, greatest(0, 2900 - arg_max(ui + uo, k))::double as left_total, not arg_max(unk, k) and not arg_max(over, k) and arg_max(n, k) < 9 and arg_max(ui + uo, k) < 2900 and arg_max(uo, k) < 600 as may_call
+select example_id, lane, arg_max(n, k) as attempts, arg_max(ui, k) as used_input, arg_max(uo, k) as used_output, case when arg_max(exact,
+    k) then arg_max(ui + uo, k) end as exact_total, arg_max(rej, k) as rejected,
+  arg_max(unk, k) as unknown_usage, arg_max(over, k) as overrun, greatest(0, 2900 - arg_max(ui + uo, k))::double as left_total, not arg_max(unk,
+    k) and not arg_max(over, k) and arg_max(n, k) < 9 and arg_max(ui + uo, k) < 2900 and arg_max(uo, k) < 600 as may_call
 from f group by example_id, lane""")
 def ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ledger.replay(calls(spark, sf_dir), ["example_id", "lane"], ["ts", "attempt_id"], LIMITS)

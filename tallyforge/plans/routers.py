@@ -16,9 +16,12 @@ def _initial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIGNALS = f"""{ORDERS_CTE}, s as (select k, case when k % 4 = 0 then 1 else 0 end as qa, case when k % 4 in (0, 3) then case k % 5 when 0 then 1 when 1 then 2 when 4 then 1 else 0 end else 0 end as cites,
-    case when k % 4 not in (0, 3) then 0.5 else case k % 5 when 0 then 0.9 when 1 then case when k % 11 = 1 then 1.0 else 0.4 end when 2 then 1.0 when 3 then 0.2 else 0.3 end end::double as conf,
-    case when k % 4 in (0, 3) then case when k % 5 = 1 and k % 11 = 1 then 1 else 0 end when k % 4 = 1 then case when k % 3 = 0 then 1 else 0 end + case when k % 5 = 1 then 1 else 0 end + case when k % 5 = 3 then 1 else 0 end else 0 end as issues,
-    case when k % 4 in (0, 3) and k % 5 = 3 then 1 else 0 end as abstain, case when k % 3 = 0 then 1 else 0 end as hard, case when k % 4 = 1 then 0.5 else 0 end::double as dis from o),
+    case when k % 4 not in (0, 3) then 0.5 else case k % 5 when 0 then 0.9 when 1 then case when k % 11 = 1 then 1.0 else 0.4 end when 2 then 1.0 when 3
+    then 0.2 else 0.3 end end::double as conf,
+    case when k % 4 in (0, 3) then case when k % 5 = 1 and k % 11 = 1 then 1 else 0 end when k % 4 = 1 then case when k % 3 = 0 then 1 else 0 end + case
+    when k % 5 = 1 then 1 else 0 end + case when k % 5 = 3 then 1 else 0 end else 0 end as issues,
+    case when k % 4 in (0, 3) and k % 5 = 3 then 1 else 0 end as abstain, case when k % 3 = 0 then 1 else 0 end as hard,
+    case when k % 4 = 1 then 0.5 else 0 end::double as dis from o),
 u as (select *, case when k % 4 in (0, 3) then least(1, cites / 2.0) else 0 end::double as cover from s),
 v as (select *, least(1.0::double, case when issues > 0 then 0.35 else 0 end + 0.25 * case when qa = 1 and cites = 0 then 1 else 0 end + 0.2 * (1 - cover) + 0.3 * (1 - conf) + case when abstain = 1 and conf < 0.7 then 0.1 else 0 end + 0.15 * hard + 0.1 * least(3, issues) + 0.3 * dis) as score from u)"""
 
@@ -33,8 +36,10 @@ def uncertainty_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("router_features", f"""
-with {_SIGNALS} select 'citation_count' as feature, sum(cites)::double as total from v union all select 'schema_valid', count(*) filter (where issues = 0) from v union all select 'abstain_flag', sum(abstain) from v union all
-select 'validator_failures', sum(issues) from v union all select 'difficulty_hard', sum(hard) from v union all select 'model_is_weak_or_cheap', count(*) filter (where k % 2 = 0) from v union all
+with {_SIGNALS} select 'citation_count' as feature, sum(cites)::double as total from v union all select 'schema_valid', count(*) filter (where issues = 0)
+    from v union all select 'abstain_flag', sum(abstain) from v union all
+select 'validator_failures', sum(issues) from v union all select 'difficulty_hard', sum(hard) from v
+    union all select 'model_is_weak_or_cheap', count(*) filter (where k % 2 = 0) from v union all
 select 'citation_coverage', round(sum(cover), 6) from v union all select 'citations_present', count(*) filter (where cites > 0) from v union all select 'task_grounded_qa', sum(qa) from v""")
 def router_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = routing.signals(_initial(spark, sf_dir)).select(F.explode("features").alias("feature", "value"))
@@ -52,7 +57,8 @@ _PAIRS = """p as (select a.example_id, a.task_score as iq, c.task_score as eq, a
 
 
 @register("router_targets", f"""
-with {_PAIRS} select example_id, round(eq - iq, 6) as quality_gain, et - it as extra_tokens, 1 as extra_calls, round((eq - iq) - 0.1 * ((et - it) / 1000.0::double) - 0.02 - 0.5 * (ec - ic), 6) as utility_gain,
+with {_PAIRS} select example_id, round(eq - iq, 6) as quality_gain, et - it as extra_tokens, 1 as extra_calls,
+    round((eq - iq) - 0.1 * ((et - it) / 1000.0::double) - 0.02 - 0.5 * (ec - ic), 6) as utility_gain,
   case when round((eq - iq) - 0.1 * ((et - it) / 1000.0::double) - 0.02 - 0.5 * (ec - ic), 6) > 0.05 then 1 else 0 end as label from p""")
 def router_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = routing.utility(_pairs(spark, sf_dir), tokens=0.1, calls=0.02, cost=0.5, least=0.05)
@@ -62,7 +68,8 @@ def router_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("router_confusion", f"""
 with {_PAIRS}, x as (select it > 500 as predicted, eq > iq as actual from p),
-c as (select count(*) filter (where predicted and actual) as tp, count(*) filter (where predicted and not actual) as fp, count(*) filter (where not predicted and not actual) as tn, count(*) filter (where not predicted and actual) as fn, count(*) as n from x)
+c as (select count(*) filter (where predicted and actual) as tp, count(*) filter (where predicted and not actual) as fp,
+    count(*) filter (where not predicted and not actual) as tn, count(*) filter (where not predicted and actual) as fn, count(*) as n from x)
 select tp, fp, tn, fn, n, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1, round((tp + fp) / n, 6) as rate, round(fp / n, 6) as needless_rate, round(fn / n, 6) as missed_rate from c""")
 def router_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = routing.confusion(_pairs(spark, sf_dir).select((F.col("initial_tokens") > 500).alias("p"), (F.col("escalated_quality") > F.col("initial_quality")).alias("a")), "p", "a")

@@ -10,14 +10,17 @@ from tallyforge.plans.registry import register
 
 # what an answer scores: answerable, k % 5, exact match, token F1, citation precision, recall and F1, unsupported, abstains, task score
 _QA = """answers(answerable, r, em, f1, cp, cr, cf, un, ab, score) as (values
-  (true, 0, 1, 1, 1, 1, 1, 0, 0, 1.0::double), (true, 1, 1, 1, 0.5, 1, 2.0::double / 3, 0, 0, 11.0::double / 12), (true, 2, 1, 1, 0, 0, 0, 0, 0, 0.75), (true, 3, 0, 0, 0, 0, 0, 0, 1, 0), (true, 4, 0, 0, 0, 0, 0, 1, 0, 0),
-  (false, 0, 0, 0, 0, 0, 0, 0, 0, 0), (false, 1, 0, 0, 0, 0, 0, 0, 0, 0), (false, 2, 0, 0, 1, 1, 1, 1, 0, 0), (false, 3, 1, 1, 1, 1, 1, 0, 1, 1), (false, 4, 0, 0, 0, 0, 0, 1, 0, 0)),
+  (true, 0, 1, 1, 1, 1, 1, 0, 0, 1.0::double), (true, 1, 1, 1, 0.5, 1, 2.0::double / 3, 0, 0, 11.0::double / 12), (true, 2, 1, 1, 0, 0, 0, 0, 0, 0.75), (true,
+    3, 0, 0, 0, 0, 0, 0, 1, 0), (true, 4, 0, 0, 0, 0, 0, 1, 0, 0),
+  (false, 0, 0, 0, 0, 0, 0, 0, 0, 0), (false, 1, 0, 0, 0, 0, 0, 0, 0, 0), (false, 2, 0, 0, 1, 1, 1, 1, 0, 0), (false, 3, 1, 1, 1, 1, 1, 0, 1, 1), (false, 4, 0,
+    0, 0, 0, 0, 1, 0, 0)),
 qa as (select o.*, a.*, case when k % 5 = 1 and k % 11 = 1 then 0 else 1 end as valid from o join answers a on a.answerable = (k % 7 <> 0) and a.r = k % 5 where k % 4 in (0, 3))"""
 _EX = """ex as (select *, (valid + (2.0::double + amt + ren) / 4 + amt + 1) / 4 as score from (select *, case when k % 3 = 2 then 0 else 1 end as amt, case when k % 5 = 2 then 0 else 1 end as ren,
   case when k % 3 <> 0 and k % 5 not in (1, 3) then 1 else 0 end as valid, case when k % 3 = 1 and k % 5 = 4 then 1 else 0 end as em, case when k % 5 = 3 then 1 else 0 end as extra from o where k % 4 = 1))"""
 _SU = """su as (select *, (2.0::double + dec + act + cov) / 5 as score from (select *, case k % 3 when 0 then 1.0::double when 1 then 2.0::double / 3 else 0 end as dec,
   2.0::double * (case when k % 3 <> 1 then 1 else 0 end + case when k % 5 = 1 then 1 else 0 end) / (3 + case when k % 5 = 1 then 1 else 0 end) as act,
-  case when k % 5 = 1 then 1.0::double else 2.0::double / 3 end as own, (1.0::double + case when k % 3 <> 2 or k % 5 = 1 then 1 else 0 end + case when k % 3 = 0 and k % 7 <> 0 then 1 else 0 end) / 3 as cov,
+  case when k % 5 = 1 then 1.0::double else 2.0::double / 3 end as own,
+    (1.0::double + case when k % 3 <> 2 or k % 5 = 1 then 1 else 0 end + case when k % 3 = 0 and k % 7 <> 0 then 1 else 0 end) / 3 as cov,
   case when k % 5 = 0 then 1 else 0 end as em from o where k % 4 = 2))"""
 _ALL = f"{ORDERS_CTE}, {_QA}, {_EX}, {_SU}"
 
@@ -76,7 +79,9 @@ def failed_output_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("component_names", """
 select t as task_type, list_sort(list_distinct(m)) as names from (values
-  ('grounded_qa', ['exact_match', 'token_f1', 'citation_precision', 'citation_recall', 'citation_f1', 'citation_correctness', 'evidence_coverage', 'unsupported_answer_claims_heuristic', 'unsupported_claim_rate_heuristic', 'predicted_abstain', 'should_abstain', 'abstention_correct', 'over_abstention_rate', 'under_abstention_rate']),
+  ('grounded_qa', ['exact_match', 'token_f1', 'citation_precision', 'citation_recall', 'citation_f1', 'citation_correctness', 'evidence_coverage',
+    'unsupported_answer_claims_heuristic', 'unsupported_claim_rate_heuristic', 'predicted_abstain', 'should_abstain', 'abstention_correct',
+    'over_abstention_rate', 'under_abstention_rate']),
   ('structured_extraction', ['field_exact_match_mean', 'numeric_field_accuracy', 'date_field_accuracy', 'hallucinated_field_count', 'exact_match']),
   ('business_summarization', ['decision_extraction_correctness', 'action_item_correctness', 'owner_correctness', 'deadline_correctness', 'risk_extraction_correctness', 'supported_fact_coverage', 'exact_match', 'token_f1'])) x(t, m)""")
 def component_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +97,8 @@ _LABELS = """labels as (
   select k, 'WRONG_CITATION' from qa where cp < 1 union all select k, 'MISSED_EVIDENCE' from qa where answerable and ab = 0 and cr < 1 union all
   select k, 'HALLUCINATION' from qa where answerable and ab = 0 and score < 1 union all
   select k, 'NUMERIC_ERROR' from ex where score < 1 and (k % 3 <> 1 or ren = 0) union all
-  select k, 'NEGATION_ERROR' from scored where score < 1 and k % 3 = 0 union all select k, 'DATE_NORMALIZATION_ERROR' from scored where score < 1 and k % 3 = 1 union all
+  select k, 'NEGATION_ERROR' from scored where score < 1 and k % 3 = 0 union all select k, 'DATE_NORMALIZATION_ERROR' from scored
+    where score < 1 and k % 3 = 1 union all
   select k, 'MAJORITY_WRONG' from facts where strategy = 'multi_agent_debate' and score < 1 and best >= 1 union all
   select k, 'PEER_ERROR_PROPAGATION' from facts where strategy = 'multi_agent_debate' and score < 1 and k % 4 = 2 union all
   select k, 'CRITIC_REGRESSION' from facts where strategy = 'critic_reviser' and score < first union all

@@ -33,7 +33,8 @@ _WORDS = "case when trim({0}) = '' then [] when contains(trim({0}), ' ') then re
 with {_TURNS}, w as (select conv_id, turn, {_WORDS.format("a")} as x, {_WORDS.format("b")} as y from turns),
 xs as (select conv_id, turn, tok, count(*) as n from (select conv_id, turn, unnest(x) as tok from w) group by all),
 ys as (select conv_id, turn, tok, count(*) as n from (select conv_id, turn, unnest(y) as tok from w) group by all),
-c as (select xs.conv_id, xs.turn, sum(least(xs.n, ys.n)) as common from xs join ys on xs.conv_id = ys.conv_id and xs.turn = ys.turn and xs.tok = ys.tok group by xs.conv_id, xs.turn)
+c as (select xs.conv_id, xs.turn, sum(least(xs.n, ys.n)) as common from xs join ys on xs.conv_id = ys.conv_id and xs.turn = ys.turn and xs.tok = ys.tok
+    group by xs.conv_id, xs.turn)
 select w.conv_id as conv_id, w.turn as turn, round(case when len(x) + len(y) = 0 then 1 else 2 * coalesce(c.common, 0) / (len(x) + len(y)) end, 6) as f1 from w left join c on w.conv_id = c.conv_id and w.turn = c.turn""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words where a text has several, else its characters; every pair of turns."""
@@ -109,8 +110,10 @@ select event_id, get_json_object(props, '$.k') is null as missing_k, try_cast(ge
 select event_id, json_extract_string(props, '$.k') is null as missing_k, try_cast(json_extract_string(props, '$.k') as bigint) is not null as k_is_integer,
   len(json_keys(props)) as n_keys, try_cast(json_extract_string(props, '$.k') as bigint) between 0 and 50 as in_range from {events}""")
 declare("parse_repair_status", """
-with r as (select event_id, case event_id % 3 when 0 then props when 1 then concat('```json ', props, ' ```') else substr(props, 1, 3) end as raw from {events}),
-p as (select event_id, try_parse_json(raw) is not null as strict_ok, try_parse_json(nullif(regexp_extract(raw, '(?s)[{{].*[}}]', 0), '')) is not null as repaired_ok from r)
+with r as (select event_id, case event_id % 3 when 0 then props when 1 then concat('```json ', props, ' ```') else substr(props, 1, 3) end as raw
+    from {events}),
+p as (select event_id, try_parse_json(raw) is not null as strict_ok, try_parse_json(nullif(regexp_extract(raw, '(?s)[{{].*[}}]', 0),
+    '')) is not null as repaired_ok from r)
 select event_id, case when strict_ok then 'OK' when repaired_ok then 'REPAIRED' else 'PARSE_ERROR' end as status from p""", """
 with r as (select event_id, case event_id % 3 when 0 then props when 1 then concat('```json ', props, ' ```') else substr(props, 1, 3) end as raw from {events})
 select event_id, case event_id % 3 when 0 then 'OK' when 1 then 'REPAIRED' else 'PARSE_ERROR' end as status from r""")
@@ -118,13 +121,16 @@ declare("hash_split", """
 select doc_id, sha2(concat('{{"example_id":"', cast(doc_id as string), '"}}'), 256) as digest, case when conv(substr(sha2(concat('{{"example_id":"', cast(doc_id as string), '"}}'), 256), 1, 8), 16, 10) % 10 >= 7 then 'validation' else 'train' end as split from {documents}""", """
 select doc_id, sha256('{{"example_id":"' || doc_id || '"}}') as digest, case when ('0x' || substr(sha256('{{"example_id":"' || doc_id || '"}}'), 1, 8))::bigint % 10 >= 7 then 'validation' else 'train' end as split from {documents}""")
 declare("stratified_selection", """
-select lang, quality, doc_id from (select d.lang as lang, l.quality as quality, d.doc_id as doc_id, row_number() over (partition by d.lang, l.quality order by md5(cast(d.doc_id as string)), d.doc_id) as rn
+select lang, quality, doc_id from (select d.lang as lang, l.quality as quality, d.doc_id as doc_id, row_number() over (partition by d.lang, l.quality
+    order by md5(cast(d.doc_id as string)), d.doc_id) as rn
   from {documents} d join {labels} l on d.doc_id = l.doc_id) x where rn <= 10""", """
-select lang, quality, doc_id from (select d.lang as lang, l.quality as quality, d.doc_id as doc_id, row_number() over (partition by d.lang, l.quality order by md5(d.doc_id::varchar), d.doc_id) as rn
+select lang, quality, doc_id from (select d.lang as lang, l.quality as quality, d.doc_id as doc_id, row_number() over (partition by d.lang, l.quality
+    order by md5(d.doc_id::varchar), d.doc_id) as rn
   from {documents} d join {labels} l on d.doc_id = l.doc_id) x where rn <= 10""")
 _SCORE = """least(1.0, case when l.quality = 0 then 0.35 else 0 end + case when d.n_chars > 2000 then 0.10 else 0 end + case when d.lang <> 'en' then 0.15 else 0 end + case when l.toxic = 1 then 0.30 else 0 end)"""
 declare("heuristic_route", f"""
-select d.doc_id as doc_id, round(cast({_SCORE} as double), 4) as uncertainty, case when {_SCORE} >= 0.75 then 'debate' when {_SCORE} >= 0.45 then 'critic' else 'accept' end as route
+select d.doc_id as doc_id, round(cast({_SCORE} as double), 4) as uncertainty,
+    case when {_SCORE} >= 0.75 then 'debate' when {_SCORE} >= 0.45 then 'critic' else 'accept' end as route
 from {{documents}} d join {{labels}} l on d.doc_id = l.doc_id""")
 declare("router_policy_comparison", f"""
 with r as (select l.quality as quality, {_SCORE} >= 0.45 as escalate from {{documents}} d join {{labels}} l on d.doc_id = l.doc_id)
@@ -151,9 +157,11 @@ def learned_router_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("paired_delta_interval", """
 with b0 as (select example_id, task_score from {metrics} where strategy = 1),
-d as (select m.strategy, row_number() over (partition by m.strategy order by m.example_id) - 1 as pos, m.task_score - b0.task_score as delta from {metrics} m join b0 on m.example_id = b0.example_id where m.strategy <> 1),
+d as (select m.strategy, row_number() over (partition by m.strategy order by m.example_id) - 1 as pos, m.task_score - b0.task_score as delta from {metrics} m
+    join b0 on m.example_id = b0.example_id where m.strategy <> 1),
 n as (select strategy, count(*) as n from d group by strategy),
-idx as (select n.strategy, bb.b, j.j, ('0x' || substr(md5('7|' || bb.b || '|' || j.j), 1, 7))::bigint % n.n as pos from n, range(0, 100) bb(b), range(0, (select max(n) from n)) j(j) where j.j < n.n),
+idx as (select n.strategy, bb.b, j.j, ('0x' || substr(md5('7|' || bb.b || '|' || j.j), 1, 7))::bigint % n.n as pos
+    from n, range(0, 100) bb(b), range(0, (select max(n) from n)) j(j) where j.j < n.n),
 boots as (select i.strategy, i.b, avg(d.delta) as m from idx i join d on d.strategy = i.strategy and d.pos = i.pos group by i.strategy, i.b),
 r as (select strategy, round(m, 6) as m, row_number() over (partition by strategy order by m) as k from boots)
 select strategy, max(case when k = 3 then m end) as low, max(case when k = 98 then m end) as high from r group by strategy""")

@@ -15,15 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names that a fingerprint keeps of the levels from 3 up, and of levels 1 and 2.
 UPPER, LOWER = 48, 16
 #: Code points that are parsed at a time, at least one text.
 CHUNK = 1 << 17
-#: Partitions of the order by doc_id, at most.
-MOST_PARTS = 4096
+#: Partitions of the order by doc_id, at most, and cuts that are looked at one by one.
+MOST_PARTS, STRIDE = 16_384, 128
 
 U = np.uint64
 _rng = np.random.default_rng(20)
@@ -189,6 +189,16 @@ def _answer(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _cuts_up_to(cuts: list[int], x: Column, stride: int = STRIDE) -> Column:
+    """How many of the ascending cuts are at most x: first by every ``stride``-th one, then within its stretch."""
+    longs = lambda xs: F.lit(xs).cast("array<long>") if xs else F.array().cast("array<long>")
+    before = lambda xs: F.size(F.filter(xs, lambda c: c <= x))
+    if len(cuts) <= stride:
+        return before(longs(cuts))
+    skipped = F.greatest(before(longs(cuts[::stride])) - 1, F.lit(0)) * stride
+    return skipped + before(F.slice(longs(cuts), skipped + 1, F.lit(stride)))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness to each other and to the next.
 
@@ -207,8 +217,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     parts = max(1, min(MOST_PARTS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 20_000), rows))
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
     # bucket 0 holds null ids, bucket k + 1 the ids from the k-th cut up
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(1 + _cuts_up_to(cuts, F.col("doc_id")))
     first = {r[0]: r[1] for r in ids.groupBy(bucket.alias("b")).agg(F.max("doc_id")).collect()}
     full = sorted(first)
     n = len(cuts) + 2

@@ -93,6 +93,12 @@ def test_fingerprints(hard, empty):
     assert fingerprint.likeness(fa, fc) > 0.4 > 0.1 > fingerprint.likeness(fa, fb)
 
 
+def test_cuts(spark):
+    cuts = list(range(-50, 400, 7))
+    df = spark.range(-60, 420).select(F.col("id"), *[fingerprint._cuts_up_to(cuts, F.col("id"), k).alias(f"n{k}") for k in (2, 10, 1000)], fingerprint._cuts_up_to([], F.col("id")).alias("none"))
+    assert all(r.n2 == r.n10 == r.n1000 == sum(c <= r.id for c in cuts) and r.none == 0 for r in df.collect())
+
+
 @pytest.mark.parametrize("n, num, den, block, leaders, pack", [(3, 90, 100, 512, 64, 1 << 24), (5, 80, 100, 512, 64, 1 << 24), (2, 60, 100, 3, 2, 500), (1, 50, 100, 4, 3, 4000)])
 def test_ngram_join(hard, empty, n, num, den, block, leaders, pack):
     rows = texts(hard)

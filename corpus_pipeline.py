@@ -9,7 +9,7 @@ from tallyforge.llm import bpe, langid, mixing, queries
 from tallyforge.llm.exact_dedup import exact_dedup, text_sha256
 from tallyforge.llm.ngram_join import ngram_join
 from tallyforge.llm.stages import free_name, keep_rows
-from tallyforge.storage import Scratch
+from tallyforge.storage import Scratch, begun, sweep
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  What a stage wrote on its way goes once its result is written, and a result once the next one is."""
     docs = queries.documents(spark, sf_dir)
-    keep = Scratch(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = keep.table(docs, name)
-    return docs
+    keep, last = Scratch(spark, "pipeline"), None
+    for name, stage in STAGES[:-1]:
+        since = begun(spark)
+        docs = keep.table(stage(spark, docs, sf_dir), name)
+        sweep(spark, since)
+        if last:
+            keep.drop(last)
+        last = name
+    return STAGES[-1][1](spark, docs, sf_dir)

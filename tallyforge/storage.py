@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders of the calls of each application, in the order in which they began.
+_begun: dict[str, list["Scratch"]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,10 +41,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _begun.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def _path(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,3 +58,16 @@ class Scratch:
     def drop(self, name: str) -> None:
         path, fs = self._path(name)
         fs.delete(path, True)
+
+
+def begun(spark: SparkSession) -> int:
+    """How many calls have begun so far, for ``sweep``."""
+    return len(_begun.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the tables of calls that began after ``begun`` gave ``since``; their results must have been written elsewhere."""
+    calls = _begun.get(spark.sparkContext.applicationId, [])
+    for call in calls[since:]:
+        call.drop("")
+    del calls[since:]

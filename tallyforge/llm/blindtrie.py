@@ -24,8 +24,9 @@ def quicksort(buf: np.ndarray, places: np.ndarray, lo: np.ndarray, hi: np.ndarra
     of three of its words as pivot; what is smaller, equal or greater becomes a group, and equal
     ones go on at the next word.
     """
-    words = np.lib.stride_tricks.sliding_window_view(buf, STEP)
     order = np.arange(len(places))
+    view = np.lib.stride_tricks.sliding_window_view(buf, STEP)
+    words = np.concatenate([view[places + STEP * d].view(">u8").ravel().astype(np.uint64) for d in range(steps)])
     more = hi - lo > 1
     lo, hi = lo[more], hi[more]
     depth = np.zeros(len(lo), np.int64)
@@ -36,10 +37,10 @@ def quicksort(buf: np.ndarray, places: np.ndarray, lo: np.ndarray, hi: np.ndarra
         group = np.repeat(np.arange(len(lo)), size)
         at = np.arange(len(group)) + (lo - first)[group]
         own = order[at]
-        key = words[places[own] + STEP * depth[group]].view(">u8").ravel().astype(np.uint64)
+        key = words[own + (len(places) * depth)[group]]
         a, b, c = key[first], key[first + size // 2], key[first + size - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
-        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        side = (key >= pivot).view(np.int8) + (key > pivot).view(np.int8)
         # stable partition: a suffix's rank among those of its group and side, behind the sides before
         count = np.zeros((len(lo), 3), np.int64)
         rank = np.empty(len(group), np.int64)

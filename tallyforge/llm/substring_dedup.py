@@ -12,6 +12,7 @@ minimizer makes a meeting large.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,11 @@ SLICE = 1 << 20
 U = np.uint64
 #: Low bits of a hash that give way to the place within a slice.
 _PLACE = U((1 << 24) - 1)
+#: Multipliers and values of bytes that hashes are made of.
+_BASE = U(0x9FB21C651E98DF25)
+_BYTES = np.random.default_rng(8).integers(0, 1 << 64, 256, dtype=np.uint64)
+_kept: list[np.ndarray] = []
+_COEF = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
 
 def _slices(p: pk.Pack) -> Iterator[tuple[int, bytes, np.ndarray]]:
@@ -73,9 +79,10 @@ def _minimizers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for k in (1, 2, 4):
         w = w[:-k] | (w[k:] << U(8 * k))
     h = np.zeros(len(buf) - SEED + 1, np.uint64)
-    for k in range(0, SEED, 8):  # the SEED bytes from each place, eight at a time
-        h = pk.mix(h * U(0x9E3779B97F4A7C15) + w[k : k + len(h)])
+    for k, by in zip(range(0, SEED, 8), _COEF, strict=False):  # the SEED bytes from each place, eight at a time
+        h += w[k : k + len(h)] * by
     del w
+    h = pk.mix(h)
     low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     size = SPAN - SEED + 1
     step = 1
@@ -114,15 +121,14 @@ def _keys(p: pk.Pack) -> tuple[np.ndarray, np.ndarray]:
     """Minimizers, with the number of their places (up to 2 ** 30); the highest bit tells that two documents have it."""
     _, _, key, text = _runs(p)
     doc = _ranks(p.nulls, p.ids)[text]
-    order = np.lexsort((doc, key))
+    order = np.argsort(key)
     key, doc = key[order], doc[order]
     if not len(key):
         return key, np.zeros(0, np.uint32)
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    at = np.flatnonzero(new)
-    others = np.add.reduceat(np.concatenate(([0], (doc[1:] != doc[:-1]) & ~new[1:])), at)
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
     places = np.diff(np.append(at, len(key)))
-    return key[at], (np.minimum(places, 1 << 30) | np.where(others > 0, 1 << 31, 0)).astype(np.uint32)
+    return key[at], (np.minimum(places, 1 << 30) | np.where(several, 1 << 31, 0)).astype(np.uint32)
 
 
 def _shared(hot: int):
@@ -147,40 +153,77 @@ def _ranks(nulls: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 class _Stretches:
-    """A pack's stretches of text around shared minimizers, by bucket."""
+    """A pack's stretches of text around shared minimizers, in the order of their buckets, and the distinct strings among them.
+
+    ``number`` tells which of its bucket's strings a stretch is; ``buckets`` has, for each bucket, where its stretches, its
+    strings and its strings' bytes begin and end.  ``least`` is the text of smallest doc_id of each string.
+    """
 
     def __init__(self, p: pk.Pack, codes: np.ndarray, n: int):
         self.body = body = b"".join(p.texts)
         first, last, key, text = _runs(p)
-        code = codes[np.searchsorted(pk.sorted_unique(key), key)] if len(key) else np.zeros(0, np.uint8)
+        order = np.argsort(key)
+        code = np.empty(len(key), np.uint8)
+        code[order] = codes[np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))] if len(key) else 0
         hot = code == 2
         size = (last - first + 1)[hot]
         each = np.repeat(first[hot], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         own = np.fromiter((xxhash.xxh3_64_intdigest(body[a : a + SPAN]) for a in each.tolist()), np.uint64, len(each))
         first, last, key, text = (np.concatenate((x[code == 1], y)) for x, y in ((first, each), (last, each), (key, own), (text, np.repeat(text[hot], size))))
         bucket = pk.bucket_of(key, n)
-        order = np.lexsort((first, bucket))
-        self.first, self.last, self.text, self.bucket = first[order], last[order], text[order], bucket[order]
+        buf, length = np.frombuffer(body, np.uint8), last - first + SPAN
+        digest = _digests(buf, first, length)
+        order = np.lexsort((digest, bucket))
+        self.first, self.last, self.text, bucket, digest, length = (x[order] for x in (first, last, text, bucket, digest, length))
+        new = np.ones(len(order), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (digest[1:] != digest[:-1])
+        of = np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else order
+        new |= _differ(buf, self.first, length, of)  # one digest, another string: a string of its own
+        index = np.cumsum(new) - 1
+        string = np.where(new, index, index[of])
         rank = _ranks(p.nulls, p.ids)[self.text]
-        # each bucket's distinct strings, numbered as they come, and the text of smallest doc_id of each
-        self.strings: dict[int, list[bytes]] = {}
-        self.least: dict[int, list[int]] = {}
-        self.number = np.zeros(len(self.first), np.int64)
-        at, known, low = -1, {}, []
-        for i, (a, b, t, r, k) in enumerate(zip(self.first.tolist(), self.last.tolist(), self.text.tolist(), rank.tolist(), self.bucket.tolist(), strict=True)):
-            if k != at:
-                at, known, low = k, {}, []
-                strings, least = self.strings.setdefault(k, []), self.least.setdefault(k, [])
-            s = body[a : b + SPAN]
-            m = known.get(s)
-            if m is None:
-                m = known[s] = len(strings)
-                strings.append(s)
-                least.append(t)
-                low.append(r)
-            elif r < low[m]:
-                least[m], low[m] = t, r
-            self.number[i] = m
+        by = np.lexsort((rank, string))
+        where = np.flatnonzero(new)
+        self.least = self.text[by][np.searchsorted(string[by], np.arange(len(where)))]
+        self.sizes = length[where]
+        at = np.repeat(self.first[where], self.sizes) + np.arange(self.sizes.sum()) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.bytes = buf[at].tobytes()
+        used, runs = pk.cuts_of(bucket)
+        strings = np.searchsorted(where, runs)
+        ends = np.concatenate(([0], np.cumsum(self.sizes)))[strings]
+        self.number = string - np.repeat(strings[:-1], np.diff(runs))
+        cut = lambda x: [slice(*c) for c in itertools.pairwise(x.tolist())]
+        self.buckets = dict(zip(used.tolist(), zip(cut(runs), cut(strings), cut(ends), strict=True), strict=True))
+
+
+def _powers(n: int) -> np.ndarray:
+    """``_BASE`` to the powers from 1 up; a worker keeps those that a usual pack needs."""
+    if n > 4 * PACK:
+        return np.cumprod(np.full(n, _BASE))
+    if not _kept:
+        _kept.append(np.cumprod(np.full(4 * PACK, _BASE)))
+    return _kept[0][:n]
+
+
+def _digests(buf: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string, from sums over the buffer that all strings share."""
+    power = _powers(len(buf) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * power[:-1])))
+    # all strings as if they began where the last one does
+    return pk.mix((total[first + length] - total[first]) * power[len(buf) - first] + length.astype(np.uint64))
+
+
+def _differ(buf: np.ndarray, first: np.ndarray, length: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each string is another than the one at ``of``, byte for byte."""
+    out = length != length[of]
+    width = 2 * SPAN
+    padded = np.concatenate((buf, np.zeros(width, np.uint8)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, width)
+    check = np.flatnonzero(~out & (of != np.arange(len(of))))
+    for lo in range(0, len(check), 1 << 14):
+        c = check[lo : lo + (1 << 14)]
+        out[c] = ((view[first[c]] != view[first[of[c]]]) & (np.arange(width) < length[c][:, None])).any(axis=1)
+    return out
 
 
 def _ids(nulls: np.ndarray, ids: np.ndarray) -> bytes:
@@ -198,12 +241,11 @@ def _send(n: int):
         for batch in batches:
             for p, row in pk.read(batch):
                 s = _Stretches(p, pk.codes_of(batch, row), n)
-                used = list(s.strings)
+                sizes, cuts = s.sizes.astype(np.uint8), list(s.buckets.values())
                 yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(used, pa.int32()), "pack": pa.array([p.pack] * len(used), pa.int64()),
-                    "sizes": pa.array([pk.squeeze(np.array([len(x) for x in s.strings[b]], np.uint8).tobytes()) for b in used], pa.binary()),
-                    "body": pa.array([pk.squeeze(b"".join(s.strings[b])) for b in used], pa.binary()),
-                    "least": pa.array([_ids(p.nulls[s.least[b]], p.ids[s.least[b]]) for b in used], pa.binary()),
+                    "bucket": pa.array(list(s.buckets), pa.int32()), "pack": pa.array([p.pack] * len(cuts), pa.int64()),
+                    "sizes": pa.array([pk.squeeze(sizes[c].tobytes()) for _, c, _ in cuts], pa.binary()), "body": pa.array([pk.squeeze(s.bytes[c]) for *_, c in cuts], pa.binary()),
+                    "least": pa.array([_ids(p.nulls[s.least[c]], p.ids[s.least[c]]) for _, c, _ in cuts], pa.binary()),
                 })
 
     return run
@@ -262,9 +304,8 @@ def _cut(n: int):
                 starts = [np.zeros(0, np.int64)]
                 for bucket, answer in zip(batch.column("buckets")[row].as_py() or [], batch.column("answers")[row].as_py() or [], strict=True):
                     low_null, low = _from_ids(answer)
-                    size = np.array([len(x) - SPAN + 1 for x in s.strings[bucket]], np.int64)
-                    mine = slice(*np.searchsorted(s.bucket, [bucket, bucket + 1]))
-                    number = s.number[mine]
+                    mine, strings, _ = s.buckets[bucket]
+                    size, number = s.sizes[strings] - SPAN + 1, s.number[mine]
                     k = size[number]
                     step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                     at = np.repeat((np.cumsum(size) - size)[number], k) + step

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 from collections import defaultdict
@@ -13,6 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge import storage
 from tallyforge.llm import blindtrie, bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, packing, packs, pii, queries, secrets, spans, substring_dedup
 
 DIR = "/root/testdata/sf0.001"
@@ -120,6 +122,25 @@ def test_ngram_join(hard, empty, n, num, den, block, leaders, pack):
     assert ngram_join.ngram_join(empty).isEmpty()
 
 
+def test_ngram_join_of_texts_made_of_the_same_passages(spark):
+    # every text shares most of its shingles with others, few texts link: one block, cut by leaders and sizes
+    rng = random.Random(12)
+    passages = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(14)]
+    rows = [(i, " ".join(rng.sample(passages, rng.choice((4, 5, 8))))) for i in range(70)]
+    rows += [(100 + i, x + f" end{i % 2}") for i, x in rows[:20]]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, x in rows for w in [x.split()]}
+    low = {i: i for i in sets}
+    for _ in range(8):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.ngram_join(df, 3, 90, 100, block=8, leaders=3, pack=2000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), low[i]) for i in sets}
+    assert 20 <= sum(i != g for i, g in low.items()) < len(rows) - 20
+
+
 def test_size_classes():
     for num, den in ((90, 100), (80, 100), (60, 100), (1, 2)):
         band = ngram_join._size_class(np.arange(1, 3000), num, den)
@@ -431,7 +452,10 @@ def test_pipeline(spark):
         if name in ("exact_dedup", "ngram_join"):
             found = exact_dedup.exact_dedup(before).where("kept") if name == "exact_dedup" else ngram_join.ngram_join(before).where("doc_id = component_id")
             assert sorted(r[0] for r in df.select("doc_id").collect()) == sorted(r[0] for r in found.select("doc_id").collect())
+    folder = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
     whole = corpus_pipeline.run(spark, DIR)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"pipeline"}
     assert sorted(map(str, whole.collect())) == sorted(map(str, df.collect())) and whole.where(F.col("n_tokens") > 0).count()
 
 

@@ -133,7 +133,9 @@ def test_config(tmp_path):
     assert cfg.calls_per_example({"strategy": {"type": "debate"}, "budget": {"max_calls": 4}}) == 4 and cfg.check_strategy({"strategy": {"type": "debate", "agents": 5, "rounds": 2}}) == ["agents must be 2 to 4"]
     assert cfg.providers({"model": {"provider": "a"}, "strategy": {"cheap_model": {}, "models": [{"provider": "b"}]}}) == {"a", "b", "mock"}
     assert cfg.safe_name("a/b é-1_") == "a_b_é-1_" and cfg.placeholder({"type": ["null", "integer"]}) == 0 and cfg.empty_output("robustness")["abstain"]
-    assert cfg.safe({"a": 1, "thinking": 2, "b": [{"scratchpad": 1, "c": 3}]}) == {"a": 1, "b": [{"c": 3}]}
+    schema = {"required": ["n", "t"], "properties": {"n": {"type": ["null", "number"]}, "t": {"type": "string"}, "x": {"type": "object"}}}
+    assert cfg.empty_output("structured_extraction", {"json_schema": schema}) == {"n": 0.0, "t": ""} and cfg.placeholder("string") is None
+    assert cfg.safe({"a": 1, "thoughts": 2, "b": [{"raw_output": 1, "c": 3}]}) == {"a": 1, "b": [{"c": 3}]}
     assert cfg.diff({"a": 1, "b": [1, 2]}, {"a": True, "b": [1], "c": None}) == [("$.a", "int", "1", "bool", "true"), ("$.b[1]", "int", "2", "missing", ""), ("$.c", "missing", "", "NoneType", "null")]
 
 

@@ -27,6 +27,20 @@ def _object(text: str | None) -> dict:
     return value if isinstance(value, dict) else {}
 
 
+class Parsed:
+    """Objects of JSON texts; a text that follows itself, as an example's do for each of its candidates, is parsed once."""
+
+    def __init__(self):
+        self.last: dict[str, dict] = {}
+
+    def __call__(self, text: str | None) -> dict:
+        if text not in self.last:
+            if len(self.last) > 16:
+                self.last.clear()
+            self.last[text] = _object(text)
+        return self.last[text]
+
+
 @F.pandas_udf(_SCORED)
 def _score(task: pd.Series, given: pd.Series, gold: pd.Series, meta: pd.Series, output: pd.Series, failed: pd.Series) -> pd.DataFrame:
     rows = []
@@ -49,9 +63,16 @@ def score(df: DataFrame) -> DataFrame:
     return found.select(*df.columns, "__found.scores", "__found.issues", "__found.parsed")
 
 
+@F.pandas_udf(T.DoubleType())
+def _task_score(task: pd.Series, given: pd.Series, gold: pd.Series, meta: pd.Series, output: pd.Series, failed: pd.Series) -> pd.Series:
+    parsed = Parsed()
+    return pd.Series([o.evaluate(t, parsed(i), parsed(g), parsed(m), raw, bool(bad))["task_score"] for t, i, g, m, raw, bad in _rows(task, given, gold, meta, output, failed)], dtype=float)
+
+
 def task_scores(df: DataFrame) -> DataFrame:
-    """``df`` and ``task_score`` alone."""
-    return score(df).select(*df.columns, F.element_at("scores", F.lit("task_score")).alias("task_score"))
+    """``df`` and ``task_score`` alone, as ``score`` has it."""
+    failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in df.columns else F.lit(False)
+    return df.withColumn("task_score", _task_score("task_type", "input", "gold", "metadata", "output", failed))
 
 
 def long_metrics(scored: DataFrame, *keys: str) -> DataFrame:

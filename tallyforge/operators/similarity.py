@@ -27,7 +27,7 @@ def _counts(text: pd.Series) -> pd.Series:
 
 
 def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: str | None = None) -> DataFrame:
-    """``id_a, id_b, ratio`` of pairs of rows (id, text) with ratio >= least, ids in order; null texts are in no pair.
+    """``id_a, id_b, ratio`` of pairs of rows (id, text) with ratio >= least, ids in order; ids are unique, null texts are in no pair.
 
     ``block``: only rows of one value meet; ``side``: only rows of different values are pairs.  Before Python sees a pair it
     must pass two exact upper bounds: 2 * shorter / both, and the overlap of the counts of characters by class.  Rows
@@ -37,7 +37,7 @@ def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: s
     step = (2 - least) / least + 1e-9
     x = texts.where("text is not null").withColumn("n", F.length("text"))
     x = x.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")).withColumn("counts", _counts("text"))
-    cols = {"id": "id", "text": "text", "n": "n", "counts": "counts", "b": block, "s": side}
+    cols = {"id": "id", "n": "n", "counts": "counts", "b": block, "s": side}
     a, b = (x.select("band", *[(F.col(c) if c else F.lit(None).cast("string")).alias(f"{k}_{end}") for k, c in cols.items()]) for end in "ab")
     b = b.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)))
     pairs = a.join(b, (a["band"] == b["band"]) & F.col("b_a").eqNullSafe(F.col("b_b")) & (F.col("id_a") < F.col("id_b")))
@@ -46,7 +46,10 @@ def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: s
     both = F.col("n_a") + F.col("n_b")
     pairs = pairs.where((2 * F.least("n_a", "n_b") >= least * both) | (both == 0))
     common = F.aggregate(F.zip_with("counts_a", "counts_b", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
-    pairs = pairs.where((2 * common >= least * both) | (both == 0)).select("id_a", "id_b", "text_a", "text_b")
+    pairs = pairs.where((2 * common >= least * both) | (both == 0)).select("id_a", "id_b")
+    # the texts themselves go to the pairs that are left
+    for end in "ab":
+        pairs = pairs.join(texts.select(F.col("id").alias(f"id_{end}"), F.col("text").alias(f"text_{end}")), f"id_{end}")
     equal = F.col("text_a") == F.col("text_b")
     found = pairs.where(~equal).withColumn("ratio", block_ratio("text_a", "text_b")).where(F.col("ratio") >= least)
     return found.unionByName(pairs.where(equal).withColumn("ratio", F.lit(1.0))).select("id_a", "id_b", "ratio")

@@ -21,10 +21,12 @@ declare("attempt_policy_audit", "select run_id, code, count(*) as n from (select
     " union all ".join(f"select run_id, '{code}' as code, count(*) as n from {{trials}} where {rule} group by run_id" for code, rule in _RULES.items()))
 declare("attempt_links", """
 with d as (select attempt_id, count(*) as n, count(distinct logical_call_id) as links from {trials} group by attempt_id)
-select t.run_id as run_id, count(*) as attempts, cast(sum(case when d.n > 1 then 1 else 0 end) as bigint) as repeated_ids, cast(sum(case when d.links > 1 then 1 else 0 end) as bigint) as split_links
+select t.run_id as run_id, count(*) as attempts, cast(sum(case when d.n > 1 then 1 else 0 end) as bigint) as repeated_ids,
+    cast(sum(case when d.links > 1 then 1 else 0 end) as bigint) as split_links
 from {trials} t join d on t.attempt_id = d.attempt_id group by t.run_id""")
 declare("experiment_reports", """
-select e.experiment_id as experiment_id, e.name as name, e.config_hash as config_hash, count(distinct r.run_id) as runs, count(distinct case when r.status = 'COMPLETED' then r.run_id end) as completed,
+select e.experiment_id as experiment_id, e.name as name, e.config_hash as config_hash, count(distinct r.run_id) as runs,
+    count(distinct case when r.status = 'COMPLETED' then r.run_id end) as completed,
   count(p.example_id) as predictions, round(avg(p.task_score), 6) as mean_score, round(avg(p.tokens), 6) as mean_tokens
 from {experiments} e left join {runs} r on r.experiment_id = e.experiment_id left join {preds} p on p.run_id = r.run_id group by e.experiment_id, e.name, e.config_hash""")
 declare("reproduction_plans", """
@@ -39,15 +41,20 @@ select 'missing' as side, example_id from (select example_id from a except selec
 declare("dev_and_test", """
 select split, count(*) as n, count(distinct family) as families from (select split, family from {dims} where split = 'O' union all select split, family from {dims} where split = 'F') x group by split""")
 declare("aligned_calls", """
-with x as (select logical_call_id, attempt_id, row_number() over (partition by logical_call_id order by attempt_id, seq, latency_ms) as i from {trials} where attempt_index = 0),
-y as (select logical_call_id, attempt_id, row_number() over (partition by logical_call_id order by attempt_id, seq, latency_ms) as i from {trials} where attempt_index = 1)
+with x as (select logical_call_id, attempt_id, row_number() over (partition by logical_call_id order by attempt_id, seq, latency_ms) as i from {trials}
+    where attempt_index = 0),
+y as (select logical_call_id, attempt_id, row_number() over (partition by logical_call_id order by attempt_id, seq, latency_ms) as i from {trials}
+    where attempt_index = 1)
 select coalesce(x.logical_call_id, y.logical_call_id) as logical_call_id, coalesce(x.i, y.i) as i, x.attempt_id as first_attempt, y.attempt_id as second_attempt from x full outer join y on x.logical_call_id = y.logical_call_id and x.i = y.i""")
 declare("pair_diversity", """
-with g as (select user_id, day, count(*) as n, count(distinct answer) as answers, max(confidence) - min(confidence) as spread from {candidates} group by user_id, day)
+with g as (select user_id, day, count(*) as n, count(distinct answer) as answers, max(confidence) - min(confidence) as spread from {candidates}
+    group by user_id, day)
 select count(*) as pairs, round(avg(case when answers = 1 then 1.0 else 0.0 end), 6) + cast(0 as double) as agreement, round(avg(spread), 6) as mean_spread from g where n = 2""")
 declare("router_summary", """
-with r as (select run_id, example_id, case when max(case when role like 'agent%' then 1 else 0 end) = 1 then 'debate' else 'critic' end as route, count(*) as calls, cast(sum(latency_ms) as bigint) as ms from {trials} group by run_id, example_id)
-select r.route as route, d.difficulty as difficulty, count(*) as n, round(avg(p.task_score), 6) as mean_score, round(avg(r.calls), 6) as mean_calls, round(avg(r.ms), 4) as mean_ms, cast(sum(case when p.task_score < 1 then 1 else 0 end) as bigint) as imperfect
+with r as (select run_id, example_id, case when max(case when role like 'agent%' then 1 else 0 end) = 1 then 'debate' else 'critic' end as route,
+    count(*) as calls, cast(sum(latency_ms) as bigint) as ms from {trials} group by run_id, example_id)
+select r.route as route, d.difficulty as difficulty, count(*) as n, round(avg(p.task_score), 6) as mean_score, round(avg(r.calls), 6) as mean_calls,
+    round(avg(r.ms), 4) as mean_ms, cast(sum(case when p.task_score < 1 then 1 else 0 end) as bigint) as imperfect
 from r join {preds} p on r.run_id = p.run_id and r.example_id = p.example_id join {dims} d on d.example_id = r.example_id join {runs} u on u.run_id = r.run_id group by r.route, d.difficulty""")
 declare("selection_audit", """
 select task, difficulty, count(*) as n, count(distinct family) as families, count(distinct scenario) as scenarios, slice(array_sort(collect_list(example_id)), 1, 20) as first_ids from {dims} group by task, difficulty""", """
@@ -71,7 +78,8 @@ def quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("candidate_scores", f"""
 with {_ALL}, j(j) as (values (0), (1), (2))
-select k as example_id, j.j as pos, case when k % 4 = 2 then 0.2::double when k % 4 = 1 then case when (k + j.j) % 2 = 0 then 1.0::double else 0.6875::double end when k % 7 = 0 then 0.0::double when (k + j.j) % 3 = 0 then 1.0::double else 0.25::double end as task_score
+select k as example_id, j.j as pos, case when k % 4 = 2 then 0.2::double when k % 4 = 1 then case when (k + j.j) % 2 = 0 then 1.0::double
+    else 0.6875::double end when k % 7 = 0 then 0.0::double when (k + j.j) % 3 = 0 then 1.0::double else 0.25::double end as task_score
 from o join j on true""")
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = examples(spark, sf_dir).select("example_id", *failures.EXAMPLE, F.posexplode("candidates").alias("pos", "output"))
@@ -79,7 +87,8 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("failed_annotations", """
-with f as (select run_id, example_id, string_agg(attempt_id::varchar, ',' order by attempt_id) as ids from {trials} where outcome = 'PARSE_ERROR_AFTER_RESPONSE' group by run_id, example_id)
+with f as (select run_id, example_id, string_agg(attempt_id::varchar, ',' order by attempt_id) as ids from {trials}
+    where outcome = 'PARSE_ERROR_AFTER_RESPONSE' group by run_id, example_id)
 select run_id, example_id, 'SCHEMA_FAILURE' as failure_type, 'Returned output failed validation; no replay or field repair.' as rationale, '{{"normalized_error":"PARSE_ERROR","attempt_ids":[' || ids || ']}}' as metadata from f""")
 def failed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = b.VIEWS["trials"](spark, sf_dir).where("outcome = 'PARSE_ERROR_AFTER_RESPONSE'").groupBy("run_id", "example_id").agg(F.array_sort(F.collect_list("attempt_id")).alias("attempt_ids"))
@@ -87,7 +96,9 @@ def failed_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("failed_predictions", """
-select run_id, example_id, list(attempt_id order by attempt_id) filter (where outcome = 'PARSE_ERROR_AFTER_RESPONSE') as attempt_ids, min(attempt_id) filter (where outcome = 'PARSE_ERROR_AFTER_RESPONSE') as "primary",
+select run_id, example_id, list(attempt_id
+    order by attempt_id) filter (where outcome = 'PARSE_ERROR_AFTER_RESPONSE') as attempt_ids,
+    min(attempt_id) filter (where outcome = 'PARSE_ERROR_AFTER_RESPONSE') as "primary",
   bool_and(usage_status = 'PROVIDER_REPORTED') and count(*) = count(distinct logical_call_id) as valid from {trials} group by run_id, example_id having count(*) filter (where outcome = 'PARSE_ERROR_AFTER_RESPONSE') > 0""")
 def failed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = b.VIEWS["trials"](spark, sf_dir).withColumn("error", F.col("outcome"))
@@ -95,12 +106,15 @@ def failed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("resume_gates", """
-with used as (select run_id, bool_or(outcome = 'STARTED') as unfinished, bool_or(usage_status = 'UNKNOWN_NOT_RETURNED') as unknown from {trials} group by run_id),
+with used as (select run_id, bool_or(outcome = 'STARTED') as unfinished, bool_or(usage_status = 'UNKNOWN_NOT_RETURNED') as unknown from {trials}
+    group by run_id),
 cohort as (select example_id, row_number() over (order by example_id) as place from (select distinct example_id from {preds}) d),
 done as (select run_id, example_id, row_number() over (partition by run_id order by example_id) as place from {preds}),
 ord as (select d.run_id, bool_and(d.place = c.place) as prefix from done d join cohort c on d.example_id = c.example_id group by d.run_id),
-x as (select r.run_id, 'RUN_COMPLETED' as problem from {runs} r where status = 'COMPLETED' union all select r.run_id, 'UNFINISHED_ATTEMPTS' from {runs} r join used u on u.run_id = r.run_id where u.unfinished union all
-  select r.run_id, 'UNKNOWN_USAGE' from {runs} r join used u on u.run_id = r.run_id where u.unknown union all select r.run_id, 'CHECKPOINTS_OUT_OF_ORDER' from {runs} r join ord o on o.run_id = r.run_id where not o.prefix)
+x as (select r.run_id, 'RUN_COMPLETED' as problem from {runs} r where status = 'COMPLETED' union all select r.run_id, 'UNFINISHED_ATTEMPTS' from {runs} r
+    join used u on u.run_id = r.run_id where u.unfinished union all
+  select r.run_id, 'UNKNOWN_USAGE' from {runs} r join used u on u.run_id = r.run_id where u.unknown union all select r.run_id, 'CHECKPOINTS_OUT_OF_ORDER'
+    from {runs} r join ord o on o.run_id = r.run_id where not o.prefix)
 select run_id, problem from x""")
 def resume_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.VIEWS["preds"](spark, sf_dir).select("run_id", "example_id")
@@ -112,7 +126,8 @@ def resume_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("router_training_rows", f"""
-with {_SIGNALS} select v.k as example_id, cites::double as citation_count, round(cover, 6) as citation_coverage, conf as initial_confidence, issues::double as validator_failures, case when round(score, 9) >= 0.45 then 1 else 0 end as heuristic_escalates, 'train' as split
+with {_SIGNALS} select v.k as example_id, cites::double as citation_count, round(cover, 6) as citation_coverage, conf as initial_confidence,
+    issues::double as validator_failures, case when round(score, 9) >= 0.45 then 1 else 0 end as heuristic_escalates, 'train' as split
 from v where ('0x' || substr(sha256('{{{{"example_id":"' || v.k || '"}}}}'), 1, 8))::bigint % 10 < 7""")
 def router_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the training split (by digest of the id), and what the transparent router would do."""

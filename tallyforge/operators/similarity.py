@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -11,9 +13,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 
-@F.pandas_udf(DoubleType())
-def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(a, b, strict=True)])
+#: Characters of a gram, and counters of the grams of a text.
+GRAM, COUNTERS = 4, 4096
+
+
+@functools.lru_cache(1024)
+def _grams(text: str) -> np.ndarray:
+    """How often the grams of a text fall on each counter."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    g = np.zeros(max(0, len(c) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(g)]
+    return np.bincount((g >> np.uint64(52)).astype(np.int64), minlength=COUNTERS)
+
+
+def _may_reach(a: str, b: str, least: float) -> bool:
+    """Whether the ratio can be ``least``: so many characters match that the rest, each of which spoils ``GRAM`` grams at most, leaves enough grams in common."""
+    apart = math.floor((1 - least + 1e-4) * (len(a) + len(b)))
+    needed = max(len(a), len(b)) - GRAM + 1 - GRAM * apart
+    return needed <= 0 or int(np.minimum(_grams(a), _grams(b)).sum()) >= needed
+
+
+def block_ratio(least: float):
+    """The ratio of matching blocks as a UDF of two texts; 0 where a bound tells that it is below ``least``."""
+
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 4) if _may_reach(x, y, least) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return F.pandas_udf(ratio, DoubleType())
 
 
 #: Classes of characters whose counts bound a ratio from above.
@@ -30,7 +57,8 @@ def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: s
     """``id_a, id_b, ratio`` of pairs of rows (id, text) with ratio >= least, ids in order; ids are unique, null texts are in no pair.
 
     ``block``: only rows of one value meet; ``side``: only rows of different values are pairs.  Before Python sees a pair it
-    must pass two exact upper bounds: 2 * shorter / both, and the overlap of the counts of characters by class.  Rows
+    must pass two exact upper bounds, 2 * shorter / both and the overlap of the counts of characters by class; there a third one,
+    by grams of characters, comes before the comparison.  Rows
     meet by block and band of length, the shorter's or the next, so work grows with the square of a band's rows: for
     splits of a benchmark, not for corpora.  Equal texts need no comparison.
     """
@@ -51,7 +79,7 @@ def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: s
     for end in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(f"id_{end}"), F.col("text").alias(f"text_{end}")), f"id_{end}")
     equal = F.col("text_a") == F.col("text_b")
-    found = pairs.where(~equal).withColumn("ratio", block_ratio("text_a", "text_b")).where(F.col("ratio") >= least)
+    found = pairs.where(~equal).withColumn("ratio", block_ratio(least)("text_a", "text_b")).where(F.col("ratio") >= least)
     return found.unionByName(pairs.where(equal).withColumn("ratio", F.lit(1.0))).select("id_a", "id_b", "ratio")
 
 

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows of a table in fewer parts than there are cores, dealt out before Python works on them; a table of many parts stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest checkpoint wins: one aggregate with partial combination, no window sort."""
     raw = table(spark, sf_dir, "lineitem")

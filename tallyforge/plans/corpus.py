@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import quality
-from tallyforge.plans.bindings import table
+from tallyforge.plans.bindings import spread, table
 from tallyforge.plans.registry import register
 
 _CORPUS = r"""
@@ -42,7 +42,7 @@ from (select k, c, f, case when k % 4 in (0, 3) then 'grounded_qa' when k % 4 =
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, k, task_type, input, gold, metadata``."""
     text = _CORPUS.replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}").replace('"split":"dev",', "")
-    return spark.sql(text, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(text, orders=spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
 
 
 def _flaws(where: str, *flaws: tuple[str, str, str]) -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.plans.bindings import table
+from tallyforge.plans.bindings import spread, table
 
 _EXAMPLES = r"""
 select k as example_id, task_type, strategy, output, input, gold, metadata, candidates, result_metadata from (
@@ -57,7 +57,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``example_id, task_type, strategy, output, input, gold, metadata, candidates, result_metadata``."""
     # the JSON's braces are no parameters
     text = _EXAMPLES.replace("{", "{{").replace("}", "}}").replace("{{orders}}", "{orders}")
-    return spark.sql(text, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(text, orders=spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")))
 
 
 def failed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:

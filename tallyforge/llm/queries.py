@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, exact_dedup, fingerprint, langid, mixing, ngram_join, packing, pii, secrets, spans, substring_dedup
+from tallyforge.llm import balance, bpe, exact_dedup, fingerprint, infill, langid, mixing, negatives, ngram_join, packing, pii, secrets, spans, substring_dedup
 from tallyforge.storage import Scratch
 
 
@@ -77,7 +77,32 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *spans.digest_columns("spans", pii.KINDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op5_packed_tokens, op6_secret_scan, op7_language_id, op8_substring_dedup, op9_byte_bpe, op10_pii)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(documents(spark, sf_dir))
+    digests = (F.sha2(F.col(x).cast("binary"), 256).alias(f"{x}_sha256") for x in ("output", "restored"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = balance.pack_balanced(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "sequence_cost")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.select("vec_id", "embedding", turned.alias("label")), anchor=F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_fingerprints, op3_ngram_join, op4_exact_dedup, op5_packed_tokens, op6_secret_scan, op7_language_id, op8_substring_dedup,
+        op9_byte_bpe, op10_pii, op11_fill_in_middle, op12_balanced_packing, op13_hard_negatives,
+    )
+}
 
 SQL = {
     "op1_mix_sources": r"""
@@ -114,5 +139,42 @@ g as (
     first_value(doc_id) over w as keep_id, first_value(n_chars) over w as keep_chars, count(*) over (partition by plain)::bigint as group_size
   from d window w as (partition by plain order by n_chars desc, doc_id asc nulls last rows between unbounded preceding and unbounded following))
 select doc_id, keep_id, group_size, (doc_id is not distinct from keep_id and n_chars = keep_chars) as kept, text_sha256 from g
+""",
+    "op11_fill_in_middle": r"""
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u,
+    sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+n as (
+  select doc_id, t, u, len(u)::bigint as n, ('0x' || substr(h, 1, 8))::bigint as h1, ('0x' || substr(h, 9, 8))::bigint as h2,
+    ('0x' || substr(h, 17, 8))::bigint as h3, ('0x' || substr(h, 25, 8))::bigint as h4 from d),
+f as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain'
+      when h4 % 100 < 80 then 'spm' else 'psm' end as form from n),
+p as (
+  select *, coalesce(array_to_string(u[1:lo], ''), '') as pre, coalesce(array_to_string(u[lo + 1:hi], ''), '') as mid,
+    coalesce(array_to_string(u[hi + 1:n], ''), '') as suf from f)
+select doc_id, n, form, case when form <> 'plain' then length(pre)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(case form when 'plain' then t else pre || mid || suf end) as restored_sha256
+from p
+""",
+    "op13_hard_negatives": r"""
+with v as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+m as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from m where rank <= 3
 """,
 }

@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bpe import Codec
+from tallyforge.llm.bpe import LONGEST, PORTION, Codec
 from tallyforge.llm.stages import give_back
 
 LENGTH = 2048
 #: Cost of a token by itself and of a pair of tokens, as in a layer 1,024 wide (24 d^2 against 4 d).
 LINEAR, QUADRATIC = 6 * 1024, 1
-#: Tokens that a task gathers before it packs them, rows encoded and pieces sent at a time.
-POOL, SLICE, SENT = 2 << 20, 500, 4000
+#: Tokens that a task gathers before it packs them, rows encoded and pieces sent at a time, words of a table.
+POOL, SLICE, SENT, PIECES = 2 << 20, 500, 4000, 500_000
 SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, sequence_cost long"
 
 
@@ -105,18 +105,57 @@ def balanced(sizes: list[int], length: int = LENGTH) -> list[list[tuple[int, int
 
 
 class JsonCodec(Codec):
-    """Ids by a tokenizer file of the ``tokenizers`` library; special tokens in a text are ordinary text."""
+    """Ids by a byte-level file of the ``tokenizers`` library; special tokens in a text are ordinary text.
+
+    Words of a text that are not in the table are encoded together, as one text, and told apart
+    by the bytes that their tokens stand for.  When the table is full, the last full one serves
+    as a second, from which words come back.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(x) for x in vocabulary]  # a character stands for a byte
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each word behind a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + w for w in words])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) + 1 for w in words]), side="left") + 1
+        raw, at, out = ids.tobytes(), 0, {}
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            out[w] = raw[at:end]
+            at = end
+        return out
+
+    def _spaced(self, text: str) -> bytes:
+        first, *words = text.split(" ")
+        out = [self._ids(first)]
+        for at in range(0, len(words), PORTION):
+            rest = words[at : at + PORTION]
+            ids = list(map(self.known.get, rest))
+            if None in ids:
+                if len(self.known) > PIECES:
+                    self.known, self.old = {}, self.known
+                new = set(rest).difference(self.known)
+                self.known.update((w, self.old[w]) for w in new if w in self.old)
+                if unknown := sorted(new.difference(self.old)):
+                    self.known.update(self._learn(unknown))
+                ids = list(map(self.known.__getitem__, rest))
+                for w in unknown:
+                    if len(w) > LONGEST:
+                        del self.known[w]
+            out += ids
+        return b"".join(out)
+
     def decode(self, ids: bytes) -> bytes:
         return self.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False).encode()
 

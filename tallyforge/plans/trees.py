@@ -1,9 +1,9 @@
-"""Differences of two versions of a table of JSON documents."""
+"""Differences of two versions of a table, of JSON documents or of rows, and relations of intervals."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import trees
+from tallyforge.operators import digests, intervals, trees
 from tallyforge.plans import bindings as b
 from tallyforge.plans.registry import register
 
@@ -50,3 +50,46 @@ def representation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 """ + _NAMES)
 def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.diff(*versions(spark, sf_dir), ["example_id"], "tree", deep=True)
+
+
+def _edited(df: DataFrame) -> DataFrame:
+    """Line items with some changed, some gone and some twice, all in a few stretches of orders."""
+    near = "l_orderkey % 9001 between 100 and 140"
+    kept = df.where(f"not ({near} and l_linenumber = 2 and l_orderkey % 3 = 0)")
+    changed = kept.withColumn("l_comment_rank", F.lit(0)).withColumn("l_quantity", F.when(F.expr(f"{near} and l_linenumber = 1"), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    twice = df.where(f"{near} and l_linenumber = 3").withColumn("l_comment_rank", F.lit(1))
+    return changed.unionByName(twice).drop("l_comment_rank")
+
+
+@register("digest_tree_diff", """
+with a as (select l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate from {lineitem}),
+near as (select *, l_orderkey % 9001 between 100 and 140 as near from a),
+e as (
+  select l_orderkey, l_linenumber, l_partkey, case when near and l_linenumber = 1 then l_quantity + 1 else l_quantity end as l_quantity, l_shipdate from near
+    where not (near and l_linenumber = 2 and l_orderkey % 3 = 0)
+  union all select l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate from near where near and l_linenumber = 3)
+select 'left' as side, * from (select * from a except all select * from e) x union all select 'right', * from (select * from e except all select * from a) y""")
+def digest_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
+    return digests.compare(a, _edited(a), "l_orderkey")
+
+
+_SESSIONS = """
+with s as (select example_id, attempt_id, {start} as s, {start} + latency_ms * 1000 as e, case when lag(ts) over w >= ts - interval 30 minutes then 0 else 1 end as opens from {{attempts}}
+    window w as (partition by example_id order by ts, attempt_id)),
+n as (select *, sum(opens) over (partition by example_id order by s, attempt_id rows between unbounded preceding and current row) as session from s)
+"""
+
+
+@register("interval_relations", _SESSIONS.format(start="epoch_us(ts)").replace("{{", "{").replace("}}", "}") + """,
+c as (select example_id, session, min(s) as s, max(e) as e from n group by example_id, session)
+select c.example_id as example_id, case when n.s = c.s and n.e = c.e then 'equal' when n.s >= c.s and n.e <= c.e then 'inside' when c.s >= n.s and c.e <= n.e then 'around'
+  else 'overlap' end as relation, count(*) as pairs, cast(sum(n.attempt_id % 1000) as bigint) as marks
+from n join c on n.example_id = c.example_id and n.s <= c.e and c.s <= n.e group by 1, 2""")
+def interval_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts against sessions of the same example: a session runs till its longest attempt ends, so it may reach into the next."""
+    n = spark.sql(_SESSIONS.format(start="unix_micros(cast(ts as timestamp))").replace("{{", "{").replace("}}", "}") + "select example_id, attempt_id, s, e, session from n", attempts=b.attempts(spark, sf_dir))
+    calls = n.select("example_id", "attempt_id", "s", "e")
+    sessions = n.groupBy("example_id", "session").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    met = intervals.overlaps(calls, sessions, ["example_id"], ("s", "e"), ("s", "e"))
+    return met.groupBy("example_id", "relation").agg(F.count("*").alias("pairs"), F.sum(F.col("l.attempt_id") % 1000).cast("long").alias("marks"))

@@ -32,14 +32,18 @@ def candidate_facts(df: DataFrame, keys: list[str]) -> DataFrame:
     Candidates are scored as rows of their own and meet again by an aggregate of four values.
     """
     rows = df.select(*keys, *EXAMPLE, F.posexplode("candidates").alias("pos", "output"))
-    answer = F.coalesce(F.get_json_object("output", "$.answer"), F.col("output"))
+    # an answer of null is an answer; only where there is none the whole output stands for it
+    given = "try_variant_get(try_parse_json(output), '$.answer', 'variant')"
+    answer = F.expr(f"if(is_variant_null({given}), 'None', coalesce(cast({given} as string), output))")
     facts = (F.max("task_score").alias("best"), F.min_by("task_score", "pos").alias("first"), F.count_distinct(answer).alias("answers"), F.count("*").alias("n_candidates"))
     return task_scores(rows).groupBy(*keys).agg(*facts)
 
 
 def _flag(column: str, path: str, missing: bool) -> F.Column:
-    """The truth of a JSON field."""
-    return F.coalesce(~F.get_json_object(column, path).isin("false", "0", "", "null"), F.lit(missing))
+    """The truth of a JSON field: zeros of any form, empty texts, lists and objects and null are false."""
+    text = F.to_json(F.expr(f"try_variant_get(try_parse_json({column}), '{path}', 'variant')"))
+    false = text.isin("false", "null", '""', "[]", "{}") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    return F.coalesce(~false, F.lit(missing))
 
 
 def annotate(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ EQUAL = {
     "DATASET_HASH_MISMATCH": "dataset_hash", "BENCHMARK_VERSION_MISMATCH": "version", "BUDGET_MODE_MISMATCH": "mode", "TOKEN_BUDGET_MISMATCH": "max_total_tokens",
     "CALL_BUDGET_MISMATCH": "max_calls", "COST_BUDGET_MISMATCH": "max_cost",
 }
-#: What a critic's prompt version carries behind the task's.
+#: What a critic's prompt version carries behind the task's; other roles' versions stay as they are.
 CRITIC = r"\.critic-contract\.v1$"
 
 
@@ -20,9 +20,15 @@ def _differ(c: str) -> Column:
 
 
 def _set_digest(c: Column) -> Column:
+    """Of a few values."""
     return F.md5(F.to_json(F.array_sort(F.collect_set(c))))
 
 
+def _many_digest(c: Column) -> Column:
+    """Of any number of values: their hashes add up in any order, and nothing is gathered."""
+    return F.sum_distinct(F.xxhash64(c).cast("decimal(20,0)")).cast("string")
+
+
 def compatibility(runs: DataFrame, experiments: DataFrame, attempts: DataFrame, predictions: DataFrame, examples: DataFrame, group: str) -> DataFrame:
     """``group, ok, codes`` for each set of runs to be compared (runs of one ``group``).
 
@@ -34,10 +40,10 @@ def compatibility(runs: DataFrame, experiments: DataFrame, attempts: DataFrame,
     used = attempts.groupBy("run_id").agg(
         F.bool_or((F.col("usage_status") == "UNKNOWN_NOT_RETURNED") | F.col("input_tokens").isNull() | F.col("output_tokens").isNull()).alias("unknown"),
         (F.bool_or(F.col("retry_count") > 0) if "retry_count" in attempts.columns else F.lit(False)).alias("legacy"),
-        _set_digest(F.regexp_replace("prompt_version", CRITIC, "")).alias("prompts"),
+        _set_digest(F.when(F.col("role") == "critic", F.regexp_replace("prompt_version", CRITIC, "")).otherwise(F.col("prompt_version"))).alias("prompts"),
     )
     done = predictions.select("run_id", "example_id").join(examples.select("example_id", "split", "task"), "example_id")
-    seen = done.groupBy("run_id").agg(_set_digest(F.col("example_id")).alias("examples"), _set_digest(F.col("split")).alias("splits"), _set_digest(F.col("task")).alias("tasks"))
+    seen = done.groupBy("run_id").agg(_many_digest(F.col("example_id")).alias("examples"), _set_digest(F.col("split")).alias("splits"), _set_digest(F.col("task")).alias("tasks"))
     known = experiments.withColumn("known", F.lit(True))
     rows = runs.join(known, "experiment_id", "left").join(used, "run_id", "left").join(seen, "run_id", "left")
     missing = F.bool_or(F.col("known").isNull())

@@ -60,7 +60,18 @@ def smoke(examples: DataFrame) -> DataFrame:
 
 
 def review(examples: DataFrame, most: int = 48) -> DataFrame:
-    """``id, hard`` of at most ``most`` examples to be read: the first of every task, difficulty and reasoning, hard ones first."""
-    first = examples.groupBy("task", "difficulty", "reasoning").agg(F.min("id").alias("id"))
-    hard = (F.col("difficulty") == "hard").alias("hard")
-    return first.select("id", hard, "task", "difficulty", "reasoning").orderBy(F.col("hard").desc(), "task", "difficulty", "reasoning", "id").limit(most).select("id", "hard")
+    """``id, hard`` of at most ``most`` examples (id, difficulty, reasoning, surface) to be read.
+
+    First comes one of every reasoning family, then one of every surface family (the smallest id among the hard ones,
+    or among all where none is hard; families in the order of their first id), then hard ones and others by id.
+    """
+    hard = F.col("difficulty") == "hard"
+    rank = F.struct((~hard).alias("soft"), "id")
+    parts = [
+        examples.groupBy(family).agg(F.min(rank).alias("r"), F.min("id").alias("first")).select("r.id", (~F.col("r.soft")).alias("hard"), F.struct(F.lit(turn).alias("turn"), F.lit(False).alias("soft"), F.col("first")).alias("place"))
+        for turn, family in enumerate(("reasoning", "surface"))
+    ]
+    rest = examples.select("id", hard.alias("hard")).orderBy(F.desc("hard"), "id").limit(most)
+    parts.append(rest.select("id", "hard", F.struct(F.lit(2).alias("turn"), (~F.col("hard")).alias("soft"), F.col("id").alias("first")).alias("place")))
+    chosen = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id", "hard").agg(F.min("place").alias("place"))
+    return chosen.orderBy("place").limit(most).select("id", "hard")

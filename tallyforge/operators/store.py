@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources.commits import Log
+
 
 def latest(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """Last writer wins: one aggregate with partial combination; a missing value replaces too."""
@@ -63,15 +65,13 @@ def insert_unique(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFr
     return stored.unionByName(rows)
 
 
-def checkpoint(predictions: DataFrame, metrics: DataFrame, failures: DataFrame, path: str, batch: int) -> None:
-    """Write an example batch's predictions, metrics (with their status) and failures below its number.
+def checkpoint(predictions: DataFrame, metrics: DataFrame, failures: DataFrame, path: str, batch: int) -> int:
+    """Commit an example batch's predictions, metrics (with their status) and failures as one; the store's version.
 
-    The predictions come last: a reader that goes by them never sees a batch whose other tables are missing, and a
-    batch that is written again overwrites itself.
+    Readers (``commits.Log(spark, path).read("metrics")``) see all three or none, and a batch that is written again changes nothing.
     """
-    failures.write.mode("overwrite").parquet(f"{path}/failures/batch={batch}")
-    metrics.withColumn("metric_status", metric_status("metric_value")).write.mode("overwrite").parquet(f"{path}/metrics/batch={batch}")
-    predictions.write.mode("overwrite").parquet(f"{path}/predictions/batch={batch}")
+    tables = {"predictions": predictions, "metrics": metrics.withColumn("metric_status", metric_status("metric_value")), "failures": failures}
+    return Log(predictions.sparkSession, path).commit(tables, token=str(batch))
 
 
 def evaluate_pending(predictions: DataFrame, evaluated: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,7 @@ select coalesce(x.logical_call_id, y.logical_call_id) as logical_call_id, coales
 declare("pair_diversity", """
 with g as (select user_id, day, count(*) as n, count(distinct answer) as answers, max(confidence) - min(confidence) as spread from {candidates}
     group by user_id, day)
-select count(*) as pairs, round(avg(case when answers = 1 then 1.0 else 0.0 end), 6) + cast(0 as double) as agreement, round(avg(spread), 6) as mean_spread from g where n = 2""")
+select count(*) as pairs, round(avg(cast(case when answers = 1 then 1 else 0 end as double)), 6) as agreement, round(avg(spread), 6) as mean_spread from g where n = 2""")
 declare("router_summary", """
 with r as (select run_id, example_id, case when max(case when role like 'agent%' then 1 else 0 end) = 1 then 'debate' else 'critic' end as route,
     count(*) as calls, cast(sum(latency_ms) as bigint) as ms from {trials} group by run_id, example_id)

@@ -112,8 +112,13 @@ declare("smoke_selection", f"with x as ({_EXAMPLES.replace('starts_with', 'start
 
 
 @register("review_sample", f"""
-with x as ({_EXAMPLES}), f as (select task, difficulty, reasoning, min(id) as id from x group by task, difficulty, reasoning)
-select id, difficulty = 'hard' as hard from f order by difficulty = 'hard' desc, task, difficulty, reasoning, id limit 48""")
+with x as ({_EXAMPLES}),
+r as (select id, difficulty, row_number() over (partition by reasoning order by difficulty <> 'hard', id) as rn, min(id) over (partition by reasoning) as f from x),
+s as (select id, difficulty, row_number() over (partition by surface order by difficulty <> 'hard', id) as rn, min(id) over (partition by surface) as f from x),
+a as (select id, difficulty, 0 as t, 0 as soft, f from r where rn = 1 union all select id, difficulty, 1, 0, f from s where rn = 1
+  union all select id, difficulty, 2, case when difficulty = 'hard' then 0 else 1 end, id from x),
+p as (select id, difficulty, row_number() over (partition by id order by t, soft, f) as rn, t, soft, f from a)
+select id, difficulty = 'hard' as hard from p where rn = 1 order by t, soft, f limit 48""")
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.review(_examples(spark, sf_dir))
 

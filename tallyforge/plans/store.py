@@ -71,8 +71,8 @@ select p.run_id as run_id, count(*) as n, list_sort(list_distinct(list(d.task)))
     md5(array_to_string(list_sort(list(p.example_id::varchar)), ',')) as example_set
 from {preds} p join {dims} d on p.example_id = d.example_id group by p.run_id""")
 declare("run_aggregates", """
-select run_id, metric, round(value, 6) as value from (select run_id, stack(3, 'mean_score', avg(task_score), 'mean_tokens', avg(tokens), 'n', cast(count(*) as double)) as (metric, value) from {preds} group by run_id) x where run_id in (1, 2, 3, 5)""", """
-with a as (select run_id, avg(task_score) as m, avg(tokens) as t, count(*)::double as n from {preds} where run_id in (1, 2, 3, 5) group by run_id)
+select run_id, metric, round(value, 6) as value from (select run_id, stack(3, 'mean_score', avg(task_score), 'mean_tokens', avg(tokens), 'n', cast(count(*) as double)) as (metric, value) from {preds} group by run_id) x""", """
+with a as (select run_id, avg(task_score) as m, avg(tokens) as t, count(*)::double as n from {preds} group by run_id)
 select run_id, 'mean_score' as metric, round(m, 6) as value from a union all select run_id, 'mean_tokens', round(t, 6) from a union all select run_id, 'n', n from a""")
 declare("migrated_metrics", "select run_id, example_id, 'task_score' as metric_name, task_score as metric_value, case when task_score is null then 'UNSCORABLE_FAILED_OUTPUT' else 'SCORED' end as metric_status from {preds}")
 declare("store_integrity", """
@@ -80,7 +80,7 @@ select 'runs' as relation, count(*) as n, count(distinct run_id) as n_keys from
     from {experiments} union all
 select 'attempts', count(*), count(distinct attempt_id) from {trials} union all select 'predictions', count(*), count(distinct concat(cast(run_id as string), '/', cast(example_id as string))) from {preds}""")
 declare("metric_counts", "select run_id, example_id, count(*) as n from {trials} group by run_id, example_id having count(*) > 1")
-declare("example_tasks", "select p.run_id as run_id, p.example_id as example_id, d.task as task, d.split as split, d.difficulty as difficulty from {preds} p join {dims} d on p.example_id = d.example_id where p.run_id <= 20")
+declare("example_tasks", "select p.run_id as run_id, p.example_id as example_id, d.task as task, d.split as split, d.difficulty as difficulty from {preds} p join {dims} d on p.example_id = d.example_id")
 declare("example_calls", """
 select run_id, example_id, logical_call_id, count(*) as attempts, max(attempt_index) as last_index, min(started_at) as started_at, max(ended_at) as ended_at,
     max_by(outcome, struct(attempt_index, outcome)) as outcome
@@ -248,7 +248,7 @@ with {_JOINED}, broken as (select g from x where missing group by g),
 sets as (select p.run_id, list_sort(list(p.example_id)) as ids, list_sort(list_distinct(list(d.split))) as splits,
     list_sort(list_distinct(list(d.task))) as tasks from {{preds}} p join {{dims}} d on p.example_id = d.example_id group by p.run_id),
 y as (select x.g, x.run_id, s.ids, s.splits, s.tasks from x left join sets s on s.run_id = x.run_id),
-prompts as (select x.g, x.run_id, list_sort(list_distinct(list(replace(t.prompt_version, '.critic-contract.v1', '')))) as versions from x left
+prompts as (select x.g, x.run_id, list_sort(list_distinct(list(case when t.role = 'critic' then replace(t.prompt_version, '.critic-contract.v1', '') else t.prompt_version end))) as versions from x left
     join {{trials}} t on t.run_id = x.run_id group by x.g, x.run_id),
 codes as (
   select g, 'UNKNOWN_USAGE_ACCOUNTING' as code from x join {{trials}} t on t.run_id = x.run_id

@@ -101,9 +101,11 @@ def write_progress(spark: SparkSession, path: str, state: dict) -> None:
     out = fs.create(draft, True)
     out.write(bytearray(canonical(state).encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(draft, target):
-        raise OSError(f"could not rename onto {path}")
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(draft, target, how)
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, rows_per_task: int = 100_000) -> DataFrame:

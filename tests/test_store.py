@@ -1,9 +1,13 @@
 """Writes of the store, streams of attempts and the generated corpus."""
 
+import json
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import quality, scoring, store
+from tallyforge.sources.commits import Conflict, Log
 from tallyforge.sources import corpus, files
 from tallyforge.streaming import windows
 
@@ -22,10 +26,11 @@ def test_writes(spark, tmp_path):
         with pytest.raises(ValueError):
             store.insert_unique(runs.limit(0) if bad is not runs else runs, bad, ["id"])
     m = spark.createDataFrame([(1, "f1", None), (1, "em", 1.0)], "example_id int, metric string, metric_value double")
+    stored = Log(spark, str(tmp_path / "cp"))
     for _ in range(2):
         store.checkpoint(runs, m, runs.limit(0), str(tmp_path / "cp"), 3)
-    assert spark.read.parquet(str(tmp_path / "cp/predictions")).count() == 2
-    assert rows(spark.read.parquet(str(tmp_path / "cp/metrics")).select("metric", "metric_status")) == [("em", "SCORED"), ("f1", "UNSCORABLE_FAILED_OUTPUT")]
+    assert stored.read("predictions").count() == 2 and stored.read("failures").isEmpty() and stored.version() == 1
+    assert rows(stored.read("metrics").select("metric", "metric_status")) == [("em", "SCORED"), ("f1", "UNSCORABLE_FAILED_OUTPUT")]
     p = spark.createDataFrame([(1, "PENDING", "x"), (2, "PENDING", "y"), (3, "EVALUATED", "z")], "id int, status string, payload string")
     e = spark.createDataFrame([(1, "x", [("f1", 1.0)]), (2, "other", [("f1", 1.0)]), (3, "z", [("f1", 1.0)])], "id int, payload string, metrics array<struct<metric:string,value:double>>")
     after, new = store.evaluate_pending(p, e, ["id"])
@@ -87,3 +92,59 @@ def test_generated_corpus_is_clean(spark):
     right = c.withColumn("output", F.when(F.col("task_type") == "structured_extraction", F.get_json_object("gold", "$.expected")).when(F.col("task_type") == "business_summarization", F.col("gold")).otherwise(
         F.to_json(F.struct(F.get_json_object("gold", "$.answer").alias("answer"), F.array(F.lit("e1"), F.lit("e2")).alias("citations"), F.lit(False).alias("abstain"), F.lit(0.9).alias("confidence")))))
     assert {r.task_score for r in scoring.task_scores(right).select("task_score").distinct().collect()} == {1.0}
+
+
+def test_a_commit_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    log = Log(spark, str(tmp_path / "log"))
+    one, two = spark.createDataFrame([(1, "a")], "id int, x string"), spark.createDataFrame([(1, 0.5)], "id int, v double")
+    assert log.version() == 0 and log.commit({"p": one, "m": two}, token="b1") == 1
+
+    def broken(*_):
+        raise OSError("lost")
+
+    bad = two.withColumn("v", F.raise_error(F.lit("lost")))
+    for tables in ({"p": one, "m": bad}, {"m": bad, "p": one}):
+        with pytest.raises(Exception, match="lost"):
+            log.commit(tables, token="b2")
+    with monkeypatch.context() as m:
+        m.setattr(Log, "_publish", broken)
+        with pytest.raises(OSError):
+            log.commit({"p": one, "m": two}, token="b2")
+    assert log.version() == 1 and log.read("p").count() == log.read("m").count() == 1
+    assert log.commit({"p": one, "m": two}, token="b2") == 2 == log.commit({"p": one, "m": two}, token="b2") and log.read("p").count() == 2
+    assert log.read("p", 1).count() == 1
+    assert log.commit(replace={"p": one.limit(0)}) == 3 and log.read("p").isEmpty() and log.read("m").count() == 2
+    with pytest.raises(Conflict):
+        log.commit(replace={"p": one}, base=2)
+    with pytest.raises(ValueError):
+        log.commit({"p": two})
+    log.compact("m")
+    assert log.read("m").count() == 2 and len(log.state()["m"]["batches"]) == 1 and log.commit({"m": two}, token="b1") == 4
+    assert len(log.vacuum(0, 1)) > 0 and log.read("m").count() == 2 and log.versions() == [4]
+
+
+def test_concurrent_writers(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    one = spark.createDataFrame([(1,)], "id int")
+    base = log.commit({"p": one})
+
+    def add(_):
+        return log.commit({"p": one})
+
+    def swap(k):
+        try:
+            return log.commit(replace={"p": one.withColumn("id", F.lit(k))}, base=base + 6)
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        assert sorted(pool.map(add, range(6))) == list(range(base + 1, base + 7)) and log.read("p").count() == 7
+        won = [x for x in pool.map(swap, range(6)) if x]
+    assert won == [base + 7] and log.read("p").count() == 1
+
+
+def test_progress_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "state.json")
+    for k in range(3):
+        files.write_progress(spark, path, {"k": k})
+        assert json.loads(open(path).read()) == {"k": k}

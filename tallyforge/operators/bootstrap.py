@@ -1,4 +1,4 @@
-"""Bootstrap intervals of means: exact replays of a seeded generator, and a form for cohorts of any size."""
+"""Bootstrap intervals of means: exact replays of a seeded generator by one task or many, and an estimate in one pass."""
 
 from __future__ import annotations
 
@@ -9,11 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of a group up to which its resamples are replayed exactly, in one task.
-MOST = 2_000_000
+from tallyforge.functions import twister
+from tallyforge.storage import Scratch
+
+#: Rows of a group up to which one task replays its resamples; words of a stretch and values of a block beyond.
+ALONE, STRETCH, BLOCK = 50_000, 1 << 24, 1 << 20
 #: Draws held at a time.
 CHUNK = 1 << 22
 STATS = "n long, mean double, median double, std double, low double, high double"
@@ -71,7 +75,7 @@ def exact_summary(df: DataFrame, group: str, order: str, value: str, rounds: int
     """``group`` and n, mean, median, std, low, high of its values in the order of ``order``.
 
     The resamples are those of Python's own generator, so any engine that has it agrees.  A group's values
-    are in one task, as the generator runs through them in turn: ``interval`` bounds that.
+    are in one task, as the generator runs through them in turn: ``interval`` gives it small groups only.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,13 +134,116 @@ def poisson_summary(df: DataFrame, group: str, key: str, value: str, rounds: int
     return joined.select(F.col("g").alias(group), "n", "mean", F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"))
 
 
-def interval(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, most: int = MOST) -> DataFrame:
-    """``group, n, mean, low, high, method``: exact replays for groups of at most ``most`` rows, else Poisson resamples; ``method`` says which."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("__n"))
-    sized = df.join(sizes, group)
-    small = exact_summary(sized.where(F.col("__n") <= most), group, key, value, rounds, confidence, seed).select(group, "n", "mean", "low", "high", F.lit("exact").alias("method"))
-    large = poisson_summary(sized.where(F.col("__n") > most), group, key, value, rounds, confidence, seed).withColumn("method", F.lit("poisson"))
-    return small.unionByName(large)
+def _indexes(state: np.ndarray, at: int, words: int, n: int) -> Iterator[np.ndarray]:
+    """What of ``words`` words from place ``at`` on are indexes below n, some at a time."""
+    raw, bits = twister.generator(twister.jumped(state, at) if at else state), n.bit_length()
+    for done in range(0, words, CHUNK):
+        got = (raw.random_raw(min(CHUNK, words - done)) >> np.uint64(32 - bits)).astype(np.int64)
+        yield got[got < n]
+
+
+def _stretches(n: int, rounds: int, length: int) -> int:
+    """Stretches of words that hold ``rounds * n`` indexes, but for a chance below 1e-14."""
+    hit, total = n / (1 << n.bit_length()), n * rounds
+    return math.ceil((total / hit + 8 * math.sqrt(total * (1 - hit)) / hit + 64) / length)
+
+
+def _placed(keep: Scratch, df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """``g, i, x``: values with their place in the order of their group, from 0, without a window over a group."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(parts, F.col("g"), F.col("o")).sortWithinPartitions("g", "o", "x")
+    ranged = keep.table(ranged.select("g", "x", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "sorted")
+    before = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("g", "p").agg(F.count("*").alias("k"), F.min("m").alias("first")).select("g", "p", "first", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    starts = starts.withColumnsRenamed({"g": "h", "p": "q"})
+    return ranged.join(starts, F.col("g").eqNullSafe(F.col("h")) & (F.col("p") == F.col("q"))).select("g", (F.col("m") - F.col("first") + F.col("start")).alias("i"), "x")
+
+
+def stretched_interval(df: DataFrame, group: str, order: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, length: int = STRETCH, block: int = BLOCK) -> DataFrame:
+    """``group, n, mean, low, high``, the ends as ``exact_summary`` has them, by many tasks for a group of any size.
+
+    The generator's words are cut into stretches; a task jumps to its own.  A first pass counts which of its words
+    are indexes, so prefix sums tell every stretch with which draw of which resample it begins.  A second pass folds each stretch
+    over each block of the values to one sum for a resample.  A task holds a block, and what is
+    shuffled are blocks, once for each stretch, and sums.  Sums may differ in the last bits from those of one task.
+    Ties in ``order`` go by value.
+    """
+    spark, keep = df.sparkSession, Scratch(df.sparkSession, "bootstrap")
+    placed = keep.table(_placed(keep, df, group, order, value), "placed")
+    state, kind = twister.seeded(seed), df.schema[group].dataType
+    arrow = to_arrow_type(kind)
+    sizes = keep.table(placed.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean")), "sizes")
+
+    def pack(table: pa.Table) -> pa.Table:
+        t = table.sort_by("i")
+        return pa.table({"g": t["g"][:1].cast(arrow), "block": t["block"][:1], "values": pa.array([t["x"].to_numpy().astype("<f8").tobytes()])})
+
+    packed = placed.withColumn("block", F.expr(f"i div {block}")).groupBy("g", "block").applyInArrow(pack, f"g {kind.simpleString()}, block long, values binary")
+    need = F.udf(lambda n: _stretches(n, rounds, length), "long")
+    # one value, or none drawn, has its mean as both ends
+    drawn = sizes.where("n > 1") if rounds > 0 else sizes.limit(0)
+    lots = drawn.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), need("n") - 1)).alias("s"))
+    tasks = 4 * max(1, spark.sparkContext.defaultParallelism)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sum(len(x) for x in _indexes(state, s * length, length, n)) for n, s in zip(batch.column("n").to_pylist(), batch.column("s").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["g", "n", "s", "hits"])
+
+    counted = keep.table(lots.repartition(tasks, F.col("s"), F.col("g")).mapInArrow(count, f"g {kind.simpleString()}, n long, s long, hits long"), "counted")
+    before = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    begun = counted.select("g", "n", "s", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("start"))
+    lacking = counted.groupBy("g").agg(F.sum("hits").alias("hits"), F.first("n").alias("n")).where(F.col("hits") < F.col("n") * rounds)
+    if not lacking.isEmpty():
+        raise ValueError("the stretches hold too few draws: pass another length")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                values, n, at, lo = np.frombuffer(row["values"], "<f8"), row["n"], row["start"], row["block"] * block
+                sums: dict[int, float] = {}
+                for got in _indexes(state, row["s"] * length, length, n):
+                    got = got[: max(0, n * rounds - at)]
+                    of = np.arange(at, at + len(got)) // n
+                    here = (got >= lo) & (got < lo + len(values))
+                    if len(got):
+                        part = np.bincount(of[here] - of[0], weights=values[got[here] - lo], minlength=of[-1] - of[0] + 1)
+                        for b, x in enumerate(part.tolist(), int(of[0])):
+                            sums[b] = sums.get(b, 0.0) + x
+                    at += len(got)
+                yield pa.RecordBatch.from_arrays([pa.array([row["g"]] * len(sums), arrow), pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())], names=["g", "b", "sum"])
+
+    blocks = packed.withColumnRenamed("g", "h")
+    met = begun.join(blocks, F.col("g").eqNullSafe(F.col("h"))).drop("h").repartition(tasks, F.col("s"), F.col("g"), F.col("block"))
+    sums = met.mapInArrow(fold, f"g {kind.simpleString()}, b long, sum double").groupBy("g", "b").agg(F.sum("sum").alias("sum"))
+    means = sums.groupBy("g").agg(F.array_sort(F.collect_list("sum")).alias("sums")).withColumnRenamed("g", "h")
+    low, high = ranks(max(rounds, 1), confidence)
+    ends = {name: F.coalesce(F.get("sums", F.lit(at)) / F.col("n"), F.col("mean")).alias(name) for name, at in (("low", low), ("high", high))}
+    return sizes.join(means, F.col("g").eqNullSafe(F.col("h")), "left").select(F.col("g").alias(group), "n", "mean", *ends.values())
+
+
+def interval(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, alone: int = ALONE) -> DataFrame:
+    """``group, n, mean, low, high``: the exact replay for groups of any size.
+
+    Groups of at most ``alone`` rows are folded in one task each, larger ones by stretches of the generator's words;
+    either way the draws are the same.  For an estimate that needs one pass over the rows, see ``poisson_summary``.
+    """
+    sizes = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
+    sized = Scratch(df.sparkSession, "interval").table(df.select(group, key, value).join(sizes, F.col(group).eqNullSafe(F.col("__g"))).drop("__g"), "sized")
+    small = exact_summary(sized.where(F.col("__n") <= alone), group, key, value, rounds, confidence, seed).select(group, "n", "mean", "low", "high")
+    large = sized.where(F.col("__n") > alone)
+    return small if large.isEmpty() else small.unionByName(stretched_interval(large, group, key, value, rounds, confidence, seed))
+
+
+def statistics(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
+    """``group, n, mean, median, std, low, high`` as ``exact_summary`` has them, for groups of any size.
+
+    The median counts distinct values, of which scores have few.
+    """
+    known = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
+    ends = interval(df, group, key, value, rounds, confidence, seed).withColumnRenamed(group, "__g")
+    return known.join(ends, F.col(group).eqNullSafe(F.col("__g"))).select(group, "n", "mean", "median", "std", "low", "high")
 
 
 def paired(rows: DataFrame, group: str, example: str, baseline: str, contender: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
@@ -144,7 +251,7 @@ def paired(rows: DataFrame, group: str, example: str, baseline: str, contender:
     both = rows.where(F.col(baseline).isNotNull() & F.col(contender).isNotNull()).withColumn("__d", F.col(contender) - F.col(baseline))
     means = both.groupBy(group).agg(F.avg(baseline).alias("baseline_mean"), F.avg(contender).alias("contender_mean"))
     ends = interval(both, group, example, "__d", rounds, confidence, seed)
-    return means.join(ends, group).select(group, F.col("n").alias("common_n"), "baseline_mean", "contender_mean", F.col("mean").alias("mean_difference"), "low", "high", "method")
+    return means.join(ends, group).select(group, F.col("n").alias("common_n"), "baseline_mean", "contender_mean", F.col("mean").alias("mean_difference"), "low", "high")
 
 
 def paired_interval(deltas: DataFrame, group: str, order: str, value: str, rounds: int = 100, seed: int = 7) -> DataFrame:

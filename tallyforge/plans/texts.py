@@ -194,7 +194,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("score_intervals")
 def score_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median, deviation and interval of each strategy's scores."""
-    from tallyforge.operators.bootstrap import exact_summary
+    from tallyforge.operators.bootstrap import statistics
     from tallyforge.plans.bindings import metrics
 
-    return exact_summary(metrics(spark, sf_dir), "strategy", "example_id", "task_score", rounds=1000)
+    return statistics(metrics(spark, sf_dir), "strategy", "example_id", "task_score", rounds=1000)

@@ -6,6 +6,7 @@ import statistics
 import numpy as np
 import pytest
 
+from tallyforge.functions import twister
 from tallyforge.operators import bootstrap as bs
 
 
@@ -53,8 +54,34 @@ def test_poisson_summary_is_a_plain_fold_and_agrees_with_the_exact_one(spark):
     assert (got["a"].n, got["a"].mean, got["a"].low, got["a"].high) == pytest.approx((2000, sum(xs) / 2000, means[low], means[high])) and got[None].mean == 4.0
     exact = plain(xs, 300, 4)
     assert abs(got["a"].low - exact[4]) < 0.02 and abs(got["a"].high - exact[5]) < 0.02
-    both = {r.g: r.method for r in bs.interval(df.where("g is not null").unionByName(spark.createDataFrame([("s", 1, 1.0)], df.schema)), "g", "i", "x", rounds=50, most=100).collect()}
-    assert both == {"a": "poisson", "s": "exact"}
+
+
+def test_the_generator_at_any_place():
+    for seed in (0, 7, 2**40 + 5):
+        r = random.Random(seed)
+        words = [r.getrandbits(32) for _ in range(60_000)]
+        for at in (0, 1, 623, 624, 625, 5000, 59_000):
+            assert twister.generator(twister.jumped(twister.seeded(seed), at)).random_raw(1000).tolist() == words[at : at + 1000]
+    far = twister.jumped(twister.jumped(twister.seeded(3), 10**12 - 999), 999)
+    assert twister.generator(far).random_raw(5).tolist() == twister.generator(twister.jumped(twister.seeded(3), 10**12)).random_raw(5).tolist()
+
+
+def test_many_tasks_replay_one_generator(spark, monkeypatch):
+    """100,000 values in eight stretches and more, small groups, one value, nulls; as Python's own generator has it."""
+    rng = random.Random(9)
+    groups = {"big": [rng.gauss(1, 2) for _ in range(100_000)], "small": [rng.random() for _ in range(500)], "two": [1.0, 5.0], "one": [3.0], None: [rng.random() for _ in range(64)]}
+    rows = [(g, i, x) for g, xs in groups.items() for i, x in enumerate(xs)] + [("two", 9, None), ("none", 1, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i int, x double").repartition(5)
+    want = {g: (len(xs), pytest.approx(sum(xs) / len(xs)), *(pytest.approx(x, rel=1e-12) for x in plain(xs, 15, 3)[4:])) for g, xs in groups.items()}
+    got = bs.stretched_interval(df, "g", "i", "x", rounds=15, seed=3, length=1 << 17, block=1 << 15)
+    assert {r.g: tuple(r)[1:] for r in got.collect()} == want
+    assert bs._stretches(100_000, 15, 1 << 17) >= 8
+    monkeypatch.setattr(bs, "STRETCH", 1 << 19)
+    mixed = bs.interval(df, "g", "i", "x", rounds=15, seed=3, alone=1000)
+    assert {r.g: tuple(r)[1:] for r in mixed.collect()} == want
+    assert bs.stretched_interval(df.limit(0), "g", "i", "x", rounds=15).isEmpty()
+    assert {r.g: (r.low, r.high) for r in bs.stretched_interval(df.where("g = 'two'"), "g", "i", "x", rounds=0).collect()} == {"two": (3.0, 3.0)}
 
 
 def test_paired(spark):

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators import digests, intervals, trees
+from tallyforge.operators import digests, intervals, sketches, skyline, trees
 from tallyforge.plans import bindings as b
 from tallyforge.plans.registry import register
+from tallyforge.streaming import attempts
 
 _TREE = """concat('{{"id":', k, ',"cost":{{"per.unit":', {per}, ',"cap":', c, {places}, '}},"steps":[{{"role":"', {role}, '","n":', k % 5, '}},{{"role":"b","n":', {n}, '}}', {more}, '],"flag":', {flag}, {note}, '}}')"""
 _FROZEN = _TREE.format(per="'0.000001'", places="''", role="'a/b'", n="2", more="''", flag="'true'", note="',\"note\":null'")
@@ -93,3 +94,57 @@ def interval_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = n.groupBy("example_id", "session").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     met = intervals.overlaps(calls, sessions, ["example_id"], ("s", "e"), ("s", "e"))
     return met.groupBy("example_id", "relation").agg(F.count("*").alias("pairs"), F.sum(F.col("l.attempt_id") % 1000).cast("long").alias("marks"))
+
+
+@register("nondominated_examples", """
+with x as (select d.task as task, m.example_id, m.strategy, m.task_score, m.tokens from {metrics} m join {dims} d on d.example_id = m.example_id),
+c as (select task, tokens, max(task_score) as top from x group by task, tokens),
+p as (select *, max(top) over (partition by task order by tokens rows between unbounded preceding and 1 preceding) as before from c)
+select x.task as task, example_id, strategy, task_score, x.tokens as tokens from x join p on p.task = x.task and p.tokens = x.tokens and x.task_score = p.top where before is null or top > before""")
+def nondominated_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each task's examples and strategies those that no other beats in score and tokens."""
+    m = b.metrics(spark, sf_dir).select("example_id", "strategy", "task_score", "tokens")
+    rows = m.join(b.dims(spark, sf_dir).select("example_id", "task"), "example_id")
+    return skyline.nondominated(rows, ["task"], "task_score", "tokens")
+
+
+@register("sketch_rollups", """
+with e as (select event_type as kind, user_id, value from {events}),
+k as (select kind, count(*) as n, count(distinct user_id) as users, median(value) as m from e group by kind)
+select kind, n, users, true as users_near, true as median_near, true as same_as_direct,
+  (select count(*) from (select user_id from e where e.kind = k.kind intersect select user_id from e where e.kind = 'error') x)::bigint as shared, true as shared_near from k""")
+def sketch_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by day and kind, rolled up to kinds, held against exact counts: distinct users and users shared with another kind
+    within five percent, the median's rank within three, merged sketches as good as direct ones."""
+    e = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("ts").cast("date").alias("day"), "user_id", "value")
+    daily = sketches.sketch(e, ["kind", "day"], "user_id", "value")
+    up, direct = sketches.merged(daily, ["kind"]), sketches.sketch(e, ["kind"], "user_id", "value")
+    half, near = sketches.quantile(0.5), lambda x, exact, part: F.abs(x - exact) <= part * exact + 1
+    about = up.select("kind", F.col("n"), sketches.distinct().alias("about"), half.alias("half"), "cohort")
+    other = direct.select("kind", sketches.distinct().alias("at_once"))
+    errors = up.where("kind = 'error'").select(F.col("cohort").alias("errors"))
+    people = e.select("kind", "user_id").distinct()
+    exact = people.groupBy("kind").agg(F.count("*").alias("users"))
+    both = people.join(people.where("kind = 'error'").select("user_id"), "user_id", "left_semi").groupBy("kind").agg(F.count("*").alias("shared"))
+    rank = e.join(about.select("kind", "half"), "kind").groupBy("kind").agg(F.avg((F.col("value") <= F.col("half")).cast("double")).alias("rank"))
+    joined = about.join(other, "kind").join(exact, "kind").join(both, "kind", "left").join(rank, "kind").join(errors, F.lit(True), "left")
+    counted = F.coalesce("shared", F.lit(0))
+    return joined.select(
+        "kind", "n", "users", near(F.col("about"), F.col("users"), 0.05).alias("users_near"), (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_near"),
+        near(F.col("at_once"), F.col("about"), 0.05).alias("same_as_direct"), counted.alias("shared"),
+        near(sketches.shared("cohort", "errors"), counted, 0.05).alias("shared_near"),
+    )
+
+
+@register("attempt_lifecycles", """
+with s as (select attempt_id, min(ts) as started_at from {attempts} where attempt_id % 11 <> 0 group by attempt_id),
+f as (select attempt_id, min(ts + to_milliseconds(latency_ms * 400)) as ended_at, arg_min(outcome, ts) as outcome from {attempts} where outcome <> 'TIMEOUT' group by attempt_id)
+select coalesce(f.outcome, 'UNKNOWN_USAGE') as outcome, count(*) as n, cast(sum(s.attempt_id) as bigint) as marks
+from s left join f on s.attempt_id = f.attempt_id and f.ended_at >= s.started_at and f.ended_at <= s.started_at + interval 10 minutes group by 1""")
+def attempt_lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of started attempts: timeouts never end, and what takes over ten minutes ends too late to count."""
+    a = b.attempts(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    started = a.where("attempt_id % 11 <> 0").select("attempt_id", F.col("ts").alias("started_at"))
+    finished = a.where("outcome <> 'TIMEOUT'").select("attempt_id", F.timestamp_micros(F.unix_micros("ts") + F.col("latency_ms") * 400_000).alias("ended_at"), "outcome")
+    found = attempts.lifecycles(started.unionByName(started.where("attempt_id % 5 = 0")), finished)
+    return found.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("attempt_id").cast("long").alias("marks"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.bootstrap import exact_summary, interval
+from tallyforge.operators.bootstrap import interval, statistics
 
 #: Rows that a rendered table shows at most; more is said so.
 SHOWN = 1000
@@ -20,7 +20,7 @@ def run_report(predictions: DataFrame, attempts: DataFrame, failures: DataFrame,
     reported = F.col("usage_status") == "PROVIDER_REPORTED"
     known = F.when(reported, F.col("input_tokens") + F.col("output_tokens")).otherwise(0)
     return {
-        "scores": exact_summary(predictions, "run_id", "example_id", "task_score", rounds, seed=seed),
+        "scores": statistics(predictions, "run_id", "example_id", "task_score", rounds, seed=seed),
         "metrics": predictions.groupBy("run_id").agg(F.avg("task_score").alias("mean_task_score"), F.avg("tokens").alias("mean_tokens"), F.count("*").alias("n")),
         "accounting": attempts.groupBy("run_id").agg(
             F.count_distinct("logical_call_id").alias("logical_calls"), F.count("*").alias("attempts"), F.count_if(F.col("outcome").isin("SUCCESS", "PARSE_ERROR_AFTER_RESPONSE")).alias("successful"),

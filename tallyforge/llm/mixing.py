@@ -16,6 +16,8 @@ from tallyforge.llm.stages import free_name
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Fixed: 13 hex digits of MD5 are 52 bits, exact in a double.
 HASH_DIGITS = 13
+#: Equal rows that are made again at a time.
+COPIES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -29,6 +31,17 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_DIGITS), 16, 10).cast("double") / F.lit(float(16**HASH_DIGITS))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``copy`` that numbers equal rows from 1, so that each can draw for itself.
+
+    Equal rows are counted before the shuffle and made again behind it, some at a time, so none are gathered.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    some = counted.withColumn("some", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))))
+    each = F.sequence(F.col("some") * COPIES + 1, F.least(F.col("copies"), (F.col("some") + 1) * COPIES))
+    return some.withColumn("copy", F.explode(each)).drop("copies", "some")
+
+
 def source_targets(sizes: DataFrame, weights: list[float], cap: float = 3.0) -> DataFrame:
     """One row per source: ``source, source_size, target``.
 

@@ -21,8 +21,11 @@ def byte_bpe() -> tuple[str, str]:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     # words are counted once, and no text goes further
-    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    mixed = mixing.mix(Scratch(spark, "mix").table(docs, "sizes"), size="size")
+    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    rows = Scratch(spark, "mix").table(mixing.numbered(docs), "sizes")
+    # rows draw by id, text and their number among equal rows, so missing and repeated ids share no draw
+    drawn = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lower(F.hex("digest")), F.col("copy").cast("string"))
+    mixed = mixing.mix(rows, size="size", key=drawn)
     return mixed.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").cast("long").alias("source_size"),
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"),
@@ -107,7 +110,8 @@ QUERIES = {
 SQL = {
     "op1_mix_sources": r"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, '')) || ':' || row_number() over (partition by doc_id, source, coalesce(text, '')) as drawn from documents),
 per as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source asc nulls last) as rank
   from sized group by source),
@@ -125,7 +129,7 @@ targets as (
   from levels l left join first_free f on true),
 rated as (
   select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate,
-    ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0 as u
+    ('0x' || substr(md5('7:' || drawn), 1, 13))::bigint::double / 4503599627370496.0 as u
   from sized s join targets t on s.source is not distinct from t.source)
 select doc_id, size, source_size, target,
   (size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end))::bigint as taken

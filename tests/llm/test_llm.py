@@ -50,7 +50,8 @@ def texts(df):
 def test_sql(spark, name):
     df = queries.QUERIES[name](spark, DIR)
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DIR}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     other = con.sql(queries.SQL[name])
     cols = sorted(other.columns)
     assert set(cols) <= set(df.columns)
@@ -64,6 +65,21 @@ def test_mix(hard, empty):
     assert mixing.emit(mixing.mix(hard)).columns == hard.columns and mixing.mix(empty).isEmpty()
 
 
+def test_equal_rows_without_ids_draw_for_themselves(spark, tmp_path, monkeypatch):
+    """Two sources of 2,000 equal rows each, ids missing or all the same; weights 1 and 2 of 6,000 words each."""
+    monkeypatch.setattr(mixing, "COPIES", 300)
+    rows = [(i, "one two three", source) for source, i in (("a", None), ("b", 7)) for _ in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    first, again = (queries.op1_mix_sources(spark, str(tmp_path)) for _ in range(2))
+    got = {r.target: (r.n, r.taken, r.most) for r in first.groupBy("target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most")).collect()}
+    assert {t: n for t, (n, _, _) in got.items()} == {4000.0: 2000, 8000.0: 2000} and all(abs(x - t) < 0.05 * t and most <= 9 for t, (_, x, most) in got.items())
+    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    other = con.sql(queries.SQL["op1_mix_sources"])
+    assert sorted((r.doc_id or 0, r.taken) for r in first.collect()) == sorted((r[other.columns.index("doc_id")] or 0, r[other.columns.index("taken")]) for r in other.fetchall())
+
+
 def plain_likeness(a, b):
     """Of two fingerprints, from the sets of their names."""
     if a == b or not a or not b:

@@ -9,7 +9,7 @@ from tallyforge.llm import bpe, langid, mixing, queries
 from tallyforge.llm.exact_dedup import exact_dedup, text_sha256
 from tallyforge.llm.ngram_join import ngram_join
 from tallyforge.llm.stages import free_name, keep_rows
-from tallyforge.storage import Scratch, begun, sweep
+from tallyforge.storage import Scratch, passing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, by the operator's rule; equal rows count once.
+
+    Null texts are empty ones and so one group, null ids match null ids, an empty table stays empty, and other columns
+    stay whatever their names.
+    """
     found = exact_dedup(docs)
     return keep_rows(docs, found.where("kept").select("doc_id", "n_chars", "text_sha256"), text_sha256("text"))
 
@@ -47,13 +51,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for; texts without a doc_id draw on their own."""
+    """Each document as often as its source's target asks for; texts without a doc_id draw on their own.
+
+    A null text has size 0 and a null source is one; an empty table stays empty, and columns with the operator's names go.
+    """
     drawn = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
     return mixing.emit(mixing.mix(docs, key=drawn))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row and the digest of what they decode to."""
+    """``doc_id``, token ids of each row and the digest of what they decode to; the other columns end here.
+
+    A null text has no tokens, rows that repeat stay, an empty table stays empty.
+    """
     ids = bpe.encode(docs, *queries.byte_bpe(), decode=True)
     return ids.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -69,9 +79,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.documents(spark, sf_dir)
     keep, last = Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        since = begun(spark)
-        docs = keep.table(stage(spark, docs, sf_dir), name)
-        sweep(spark, since)
+        with passing():
+            docs = keep.table(stage(spark, docs, sf_dir), name)
         if last:
             keep.drop(last)
         last = name

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-#: Folders of the calls of each application, in the order in which they began.
-_begun: dict[str, list["Scratch"]] = {}
+#: Calls within the innermost ``passing`` of this thread.
+_made: ContextVar[list["Scratch"] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,7 +44,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        _begun.setdefault(spark.sparkContext.applicationId, []).append(self)
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def _path(self, name: str):
         jvm = self.spark.sparkContext._jvm
@@ -60,14 +64,17 @@ class Scratch:
         fs.delete(path, True)
 
 
-def begun(spark: SparkSession) -> int:
-    """How many calls have begun so far, for ``sweep``."""
-    return len(_begun.get(spark.sparkContext.applicationId, []))
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that calls of this thread make within go at its end; their results must have been written elsewhere by then.
 
-
-def sweep(spark: SparkSession, since: int) -> None:
-    """Delete the tables of calls that began after ``begun`` gave ``since``; their results must have been written elsewhere."""
-    calls = _begun.get(spark.sparkContext.applicationId, [])
-    for call in calls[since:]:
-        call.drop("")
-    del calls[since:]
+    Calls of other threads, and of an enclosing ``passing``, keep theirs.
+    """
+    made: list[Scratch] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for call in made:
+            call.drop("")

@@ -225,3 +225,16 @@ def test_no_pair_is_shuffled(spark):
     one = F.array(F.struct(F.lit(0).alias("slot"), F.lit(-(10**9)).cast("long").alias("lo"), F.lit(10**9).cast("long").alias("hi"), F.lit(5).alias("need"), F.lit(22).alias("shift")))
     counted = negatives._meet(own, anchors.withColumn("windows", one), 4, 4, 1 << 30, True, negatives._count, negatives._COUNTED)
     assert counted.count() <= 40 * 4 * 5 and counted.agg(F.sum("n")).first()[0] >= 40 * 4 * 5
+
+
+def test_two_pipelines_at_once(spark, tmp_path):
+    """Each thread's stages delete their own tables only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline
+
+    for k in range(2):
+        queries.documents(spark, DIR).where(F.col("doc_id") % 2 == k).write.parquet(str(tmp_path / f"{k}/documents.parquet"))
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda k: bag(corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()), range(2)))
+    assert both == [bag(corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()) for k in range(2)] and all(both)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import outputs
-from tallyforge.operators import failures, scoring
+from tallyforge.operators import failures, scoring, shapes
 from tallyforge.plans.examples import ORDERS_CTE, examples, failed_examples
 from tallyforge.plans.registry import register
 
@@ -128,8 +128,7 @@ with {_ALL}, listed as (
   select k, 'output: unexpected field note' from ex where k % 5 = 3)
 select k as example_id, issue from listed""")
 def output_schema_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = examples(spark, sf_dir).select("example_id", scoring.output_issues("task_type", "gold", "output").alias("issues"))
-    return found.select("example_id", F.explode("issues").alias("issue"))
+    return shapes.output_issues(examples(spark, sf_dir), ["example_id"])
 
 
 @register("parsed_outputs", f"""

@@ -31,9 +31,14 @@ select e.experiment_id as experiment_id, e.name as name, e.config_hash as config
 from {experiments} e left join {runs} r on r.experiment_id = e.experiment_id left join {preds} p on p.run_id = r.run_id group by e.experiment_id, e.name, e.config_hash""")
 declare("reproduction_plans", """
 select experiment_id, name, config_hash, dataset_hash, concat('run --config ', name, '-', cast(config_hash as string), '.json --db out.db') as command from {experiments}""")
-declare("example_prefix", "select example_id, place from (select example_id, row_number() over (order by example_id) as place from {dims}) x where place <= 100")
+# the first hundred are taken by a limit, from every task's own first hundred, and only these are numbered
+declare("example_prefix", "select example_id, row_number() over (order by example_id) as place from (select example_id from {dims} order by example_id limit 100) x",
+    "select example_id, place from (select example_id, row_number() over (order by example_id) as place from {dims}) x where place <= 100")
 declare("first_failing_ids", """
-select run_id, count(*) as n, slice(array_sort(collect_set(example_id)), 1, 5) as first_ids from {trials} where outcome = 'TIMEOUT' group by run_id""", """
+with t as (select run_id, example_id, count(*) as n from {trials} where outcome = 'TIMEOUT' group by run_id, example_id),
+few as (select run_id, array_sort(collect_list(example_id)) as first_ids from (
+  select run_id, example_id, row_number() over (partition by run_id order by example_id) as place from t) x where place <= 5 group by run_id)
+select n.run_id as run_id, n.n as n, few.first_ids as first_ids from (select run_id, sum(n) as n from t group by run_id) n join few on n.run_id = few.run_id""", """
 select run_id, count(*) as n, list_sort(list_distinct(list(example_id)))[1:5] as first_ids from {trials} where outcome = 'TIMEOUT' group by run_id""")
 declare("set_differences", """
 with a as (select distinct example_id from {metrics} where strategy = 1), c as (select distinct example_id from {metrics} where strategy = 2)
@@ -57,7 +62,10 @@ select r.route as route, d.difficulty as difficulty, count(*) as n, round(avg(p.
     round(avg(r.ms), 4) as mean_ms, cast(sum(case when p.task_score < 1 then 1 else 0 end) as bigint) as imperfect
 from r join {preds} p on r.run_id = p.run_id and r.example_id = p.example_id join {dims} d on d.example_id = r.example_id join {runs} u on u.run_id = r.run_id group by r.route, d.difficulty""")
 declare("selection_audit", """
-select task, difficulty, count(*) as n, count(distinct family) as families, count(distinct scenario) as scenarios, slice(array_sort(collect_list(example_id)), 1, 20) as first_ids from {dims} group by task, difficulty""", """
+with few as (select task, difficulty, array_sort(collect_list(example_id)) as first_ids from (
+  select task, difficulty, example_id, row_number() over (partition by task, difficulty order by example_id) as place from {dims}) x where place <= 20 group by task, difficulty),
+c as (select task, difficulty, count(*) as n, count(distinct family) as families, count(distinct scenario) as scenarios from {dims} group by task, difficulty)
+select c.task as task, c.difficulty as difficulty, n, families, scenarios, first_ids from c join few on c.task = few.task and c.difficulty = few.difficulty""", """
 select task, difficulty, count(*) as n, count(distinct family) as families, count(distinct scenario) as scenarios, list_sort(list(example_id))[1:20] as first_ids from {dims} group by task, difficulty""")
 declare("abstention_pairs", """
 select conv_id, turn, u.said as predicted, v.said as should from (select conv_id, turn, length(text) < 40 as said from {conversations} where text is not null) u

@@ -86,16 +86,19 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str], text: str, deep: bo
     One full outer join on key and path finds all; what only follows from an issue above is
     taken out by an anti join of the few rows that differ with their own paths' beginnings.
     """
-    both = joined(shred(left, keys, text), shred(right, keys, text), keys)
+    a, b = shred(left, keys, text), shred(right, keys, text)
+    both = joined(a, b, keys)
     kind = F.when(F.col("l").isNull() | F.col("r").isNull(), F.when(F.col("parent").isNull(), "side").otherwise("missing"))
     issue = kind.when(F.col("l.kind") != F.col("r.kind"), "type").when(~F.col("l.value").eqNullSafe(F.col("r.value")), "value")
     columns = [*keys, "pointer", "path", "issue", F.col("l.kind").alias("left_kind"), F.col("l.value").alias("left_value"), F.col("r.kind").alias("right_kind"), F.col("r.value").alias("right_value"), "parent"]
     found = Scratch(left.sparkSession, "diff").table(both.withColumn("issue", issue).where("issue is not null").select(*columns), "found")
     if not deep:
         above = found.where("issue = 'missing'").select(*keys, F.col("parent").alias("pointer")).distinct()
-        holders = both.where("l.kind = r.kind").join(above, [*keys, "pointer"], "left_semi").withColumn("issue", F.expr("if(l.kind = 'object', 'keys', 'length')"))
+        on = [*keys, "pointer"]
+        holders = a.where(_CONTAINER).join(above, on, "left_semi").join(b.where(_CONTAINER).select(*on, F.col("kind").alias("right_kind")), on).where("kind = right_kind")
         none = F.lit(None).cast("string")
-        holders = holders.select(*keys, "pointer", "path", "issue", F.col("l.kind").alias("left_kind"), none.alias("left_value"), F.col("r.kind").alias("right_kind"), none.alias("right_value"), "parent")
+        holders = holders.withColumn("issue", F.expr("if(kind = 'object', 'keys', 'length')"))
+        holders = holders.select(*on, "path", "issue", F.col("kind").alias("left_kind"), none.alias("left_value"), "right_kind", none.alias("right_value"), "parent")
         found = Scratch(left.sparkSession, "diff").table(found.where("issue <> 'missing'").unionByName(holders), "found")
     # every beginning of a pointer at a slash names a node above it
     steps = F.split("pointer", "/")

@@ -54,9 +54,10 @@ def _counts(text: pd.Series) -> pd.Series:
 
 
 def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: str | None = None) -> DataFrame:
-    """``id_a, id_b, ratio`` of pairs of rows (id, text) with ratio >= least, ids in order; ids are unique, null texts are in no pair.
+    """``id_a, id_b, ratio`` of pairs of rows (id, text) with ratio >= least; ids are unique, null texts are in no pair.
 
-    ``block``: only rows of one value meet; ``side``: only rows of different values are pairs.  Before Python sees a pair it
+    ``block``: only rows of one value meet; ``side``: only rows of different values are pairs, null being none.  The ratio is not
+    the same both ways, so the row of the lesser side is the first text, or that of the lesser id where there are no sides.  Before Python sees a pair it
     must pass two exact upper bounds, 2 * shorter / both and the overlap of the counts of characters by class; there a third one,
     by grams of characters, comes before the comparison.  Rows
     meet by block and band of length, the shorter's or the next, so work grows with the square of a band's rows: for
@@ -68,9 +69,7 @@ def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: s
     cols = {"id": "id", "n": "n", "counts": "counts", "b": block, "s": side}
     a, b = (x.select("band", *[(F.col(c) if c else F.lit(None).cast("string")).alias(f"{k}_{end}") for k, c in cols.items()]) for end in "ab")
     b = b.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)))
-    pairs = a.join(b, (a["band"] == b["band"]) & F.col("b_a").eqNullSafe(F.col("b_b")) & (F.col("id_a") < F.col("id_b")))
-    if side:
-        pairs = pairs.where("s_a <> s_b")
+    pairs = a.join(b, (a["band"] == b["band"]) & F.col("b_a").eqNullSafe(F.col("b_b")) & (F.col("s_a") < F.col("s_b") if side else F.col("id_a") < F.col("id_b")))
     both = F.col("n_a") + F.col("n_b")
     pairs = pairs.where((2 * F.least("n_a", "n_b") >= least * both) | (both == 0))
     common = F.aggregate(F.zip_with("counts_a", "counts_b", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)

@@ -115,8 +115,9 @@ def test_near_pairs_against_all_pairs(spark):
     rows = [(i, x, f"b{i % 2}", i % 3) for i, x in enumerate(texts)] + [(900, None, "b0", 0)]
     df = spark.createDataFrame(rows, "id int, text string, block string, side int")
     for least in (0.9, 0.97):
-        want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and None not in (a[1], b[1]) and a[2] == b[2] and a[3] != b[3] and round(difflib.SequenceMatcher(None, a[1], b[1]).ratio(), 4) >= least)
-        got = sorted((r.id_a, r.id_b) for r in similarity.near_pairs(df, least, "block", "side").collect())
+        alike = lambda a, b: round(difflib.SequenceMatcher(None, a[1], b[1]).ratio(), 4)
+        want = sorted((a[0], b[0], alike(a, b)) for a in rows for b in rows if a[3] < b[3] and None not in (a[1], b[1]) and a[2] == b[2] and alike(a, b) >= least)
+        got = sorted((r.id_a, r.id_b, r.ratio) for r in similarity.near_pairs(df, least, "block", "side").collect())
         assert got == want and want
 
 

@@ -193,7 +193,17 @@ b as (select dev, mean from m where strategy = 'single_agent'),
 d as (select m.strategy as strategy, max(case when m.dev then m.mean - b.mean end) as dev_delta,
     max(case when not m.dev then m.mean - b.mean end) as test_delta from m join b on m.dev = b.dev group by m.strategy)
 select strategy, round(dev_delta, 6) as dev_delta, round(test_delta, 6) as test_delta, case when strategy = 'single_agent' then 'reference' when dev_delta * test_delta < 0 then 'reversed' when abs(test_delta) < abs(dev_delta) then 'weakened' else 'same_direction' end as direction from d""")
-declare("condition_pairs", """
+# scores have two decimals: their differences are added as such, as a mean that lies half way between two results must not hang on the order of rows;
+# what is no such number (not finite, or beyond 20 digits) is added as it is
+_MEAN = "round(coalesce(cast(case when count({0}) = count(try_cast({0} as decimal(20, 2))) then sum(try_cast({0} as decimal(20, 2))) / {1} end as double), sum({0}) / {1}), 6) + cast(0 as double)"
+_PART = "case when m.status {} 'O' then m.task_score - n.task_score else 0 end"
+declare("condition_pairs", f"""
+with x as (select example_id, strategy, cond, task_score, tokens, status from {{metrics}}), n as (select * from x where cond = 'A'), m as (select * from x
+    where cond = 'N')
+select n.strategy as strategy, m.strategy as other, count(*) as pairs, {_MEAN.format("(m.task_score - n.task_score)", "count(m.task_score - n.task_score)")} as score_delta,
+    round(avg(m.tokens - n.tokens), 6) + cast(0 as double) as token_delta,
+    {_MEAN.format(f"({_PART.format('=')})", "count(*)")} as from_failed,
+  {_MEAN.format(f"({_PART.format('<>')})", "count(*)")} as from_valid from n join m on n.example_id = m.example_id group by n.strategy, m.strategy""", """
 with x as (select example_id, strategy, cond, task_score, tokens, status from {metrics}), n as (select * from x where cond = 'A'), m as (select * from x
     where cond = 'N')
 select n.strategy as strategy, m.strategy as other, count(*) as pairs, round(avg(m.task_score - n.task_score), 6) + cast(0 as double) as score_delta,

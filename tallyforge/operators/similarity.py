@@ -8,78 +8,157 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType
+from pyspark.sql.types import BinaryType
 
+from tallyforge.storage import Scratch
 
-#: Characters of a gram, and counters of the grams of a text.
-GRAM, COUNTERS = 4, 4096
 
+#: Characters of a gram at most, and counters of the grams of a text (a power of two).
+GRAM, COUNTERS = 8, 1 << 16
 
-@functools.lru_cache(1024)
-def _grams(text: str) -> np.ndarray:
+
+@functools.lru_cache(256)
+def _grams(text: str, size: int) -> np.ndarray:
     """How often the grams of a text fall on each counter."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    g = np.zeros(max(0, len(c) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
+    g = np.zeros(max(0, len(c) - size + 1), np.uint64)
+    for k in range(size):
         g = g * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(g)]
-    return np.bincount((g >> np.uint64(52)).astype(np.int64), minlength=COUNTERS)
+    return np.bincount((g >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64), minlength=COUNTERS).astype(np.int32)
 
 
 def _may_reach(a: str, b: str, least: float) -> bool:
-    """Whether the ratio can be ``least``: so many characters match that the rest, each of which spoils ``GRAM`` grams at most, leaves enough grams in common."""
-    apart = math.floor((1 - least + 1e-4) * (len(a) + len(b)))
-    needed = max(len(a), len(b)) - GRAM + 1 - GRAM * apart
-    return needed <= 0 or int(np.minimum(_grams(a), _grams(b)).sum()) >= needed
-
-
-def block_ratio(least: float):
-    """The ratio of matching blocks as a UDF of two texts; 0 where a bound tells that it is below ``least``."""
+    """Whether the ratio can be ``least``: so many characters match that the rest, each of which spoils a gram's size of grams at most, leaves enough grams in common.
 
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(difflib.SequenceMatcher(None, x, y).ratio(), 4) if _may_reach(x, y, least) else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return F.pandas_udf(ratio, DoubleType())
+    Grams are as long as half of a text's grams, or nearly, must stay.
+    """
+    size = min(GRAM, max(1, math.floor(0.25 / (1 - least + 1e-4))))
+    apart = math.floor((1 - least + 1e-4) * (len(a) + len(b)))
+    needed = max(len(a), len(b)) - size + 1 - size * apart
+    return needed <= 0 or int(np.minimum(_grams(a, size), _grams(b, size)).sum()) >= needed
 
 
 #: Classes of characters whose counts bound a ratio from above.
 CLASSES = 64
+#: Texts of each end that a task bounds against one another, and that it compares.
+CHUNK, CELL = 2048, 16
 
 
-@F.pandas_udf(ArrayType(LongType()))
+@F.pandas_udf(BinaryType())
 def _counts(text: pd.Series) -> pd.Series:
     """How many characters of each class (code point modulo ``CLASSES``) a text has."""
-    return text.map(lambda x: np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES))
+    return text.map(lambda x: np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES).astype("<i4").tobytes())
+
+
+def _bounded(least: float, sides: bool):
+    """Pairs of a cell's rows that two upper bounds let pass: 2 * shorter / both, and the overlap of the counts of characters."""
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = (t.filter(pc.equal(t["end"], end)).sort_by("n") for end in "ab")
+        n_a, n_b = (x["n"].to_numpy() for x in (a, b))
+        counts_a, counts_b = (np.frombuffer(b"".join(x["counts"].to_pylist()), "<i4").reshape(-1, CLASSES) for x in (a, b))
+        rank_a, rank_b = (x["rank"].to_numpy() for x in (a, b))
+        low, high = np.searchsorted(n_b, n_a * least / (2 - least) - 1), np.searchsorted(n_b, n_a * (2 - least) / least + 1, "right")
+        at_a, at_b = [], []
+        for i, (lo, hi) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            both = n_a[i] + n_b[lo:hi]
+            common = np.minimum(counts_b[lo:hi], counts_a[i]).sum(1)
+            found = np.flatnonzero((2 * common >= least * both) & (rank_a[i] < rank_b[lo:hi])) + lo
+            at_a.append(np.full(len(found), i))
+            at_b.append(found)
+        i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at_a, at_b))
+        cols = {"cell": pa.array([t["cell"][0].as_py()] * len(i), pa.string()), "k_a": pa.array(i // CELL), "k_b": pa.array(j // CELL)}
+        return pa.table(cols | {"id_a": a["id"].take(pa.array(i)), "id_b": b["id"].take(pa.array(j))})
+
+    return run
+
+
+def _compared(least: float):
+    """Ratios of a cell's pairs; the bound by grams comes first, and a second text is indexed once for all its first ones."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        text = dict(zip(texts["id"].to_pylist(), texts["text"].to_pylist(), strict=True))
+        found, matcher, last = [], difflib.SequenceMatcher(None), None
+        for y, x in sorted(zip(pairs["id_b"].to_pylist(), pairs["id_a"].to_pylist(), strict=True)):
+            a, b = text[x], text[y]
+            if a == b:
+                found.append((x, y, 1.0))
+            elif _may_reach(a, b, least):
+                if last != y:
+                    matcher.set_seq2(b)
+                    last = y
+                matcher.set_seq1(a)
+                if (r := round(matcher.ratio(), 4)) >= least:
+                    found.append((x, y, r))
+        kinds = (pairs.schema.field("id_a").type, pairs.schema.field("id_b").type, pa.float64())
+        return pa.table({n: pa.array([r[k] for r in found], kind) for k, (n, kind) in enumerate(zip(("id_a", "id_b", "ratio"), kinds, strict=True))})
+
+    return run
+
+
+def near_classes(texts: DataFrame, least: float, block: str | None = None, side: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text) as ``class_id, id`` and pairs of classes as ``id_a, id_b, ratio``; what ``near_pairs`` has is their join.
+
+    A class is the rows of one block, side and text, named by its least id, so copies are compared once; without
+    sides each row is its own.  Every text with its block meets all texts of like length: chunks of ``CHUNK`` texts of
+    a band of length meet those of the same and the next bands, task by task, by lengths and counts of 64 classes
+    of characters alone (256 bytes a text).  The pairs left get their texts, ``CELL`` by ``CELL`` texts to a
+    group, and are compared there, after a bound by grams of characters.  No task holds more than two chunks or
+    cells; how often texts meet grows with the square of a band's texts.
+    """
+    spark = texts.sparkSession
+    keep = Scratch(spark, "near-pairs")
+    low = least - 1e-4
+    step = (2 - low) / low + 1e-9
+    rank = F.col(side) if side else F.col("id")
+    rows = texts.where(F.col("text").isNotNull() & rank.isNotNull()).select("id", "text", (F.col(block) if block else F.lit(None)).cast("string").alias("b"), rank.alias("rank"))
+    key = F.concat(F.to_json(F.struct("b", F.col("rank").cast("string").alias("rank"))), F.sha2("text", 256))
+    keyed = keep.table(rows.select("id", key.alias("key")), "keyed")
+    members = keep.table(keyed.groupBy("key").agg(F.min("id").alias("class_id")).join(keyed, "key").select("class_id", "id"), "members")
+    # ids are unique, so a class's own row is the one of its name
+    firsts = rows.join(members.where("class_id = id").select("id"), "id")
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")
+    ranked = firsts.withColumn("n", F.length("text").cast("long")).withColumn("band", band).select("id", "b", "band", "n", "rank", _counts("text").alias("counts"))
+    kept = keep.table(ranked, "counts")
+    parts = kept.groupBy("b", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).withColumnsRenamed({"b": "p_b", "band": "p_band"})
+    dealt = kept.join(F.broadcast(parts), F.col("b").eqNullSafe(F.col("p_b")) & (F.col("band") == F.col("p_band"))).withColumn("chunk", F.pmod(F.xxhash64("id"), "parts"))
+    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
+    # a row of end a goes to each chunk of the three bands, one of end b to each chunk that those may come from
+    met = dealt.drop("p_b", "p_band", "parts").withColumn("other", near).join(F.broadcast(parts), F.col("b").eqNullSafe(F.col("p_b")) & (F.col("other") == F.col("p_band")))
+    met = met.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first, last = kept.agg(F.min("rank"), F.max("rank")).first()
+    ends = []
+    for end, (x, i, y, j) in {"a": ("band", "chunk", "other", "to"), "b": ("other", "to", "band", "chunk")}.items():
+        cell = F.to_json(F.array(F.col("b").cast("string"), *[F.col(c).cast("string") for c in (x, i, y, j)]), {"ignoreNullFields": "false"})
+        ends.append(met.where(F.col("rank") < last if end == "a" else F.col("rank") > first).select(cell.alias("cell"), F.lit(end).alias("end"), "id", "rank", "n", "counts"))
+    kind = texts.schema["id"].dataType.simpleString()
+    cells = ends[0].unionByName(ends[1]).groupBy("cell").applyInArrow(_bounded(low, bool(side)), f"cell string, k_a long, k_b long, id_a {kind}, id_b {kind}")
+    pairs = keep.table(cells, "bounded")
+    keys = ["cell", "k_a", "k_b"]
+    wanted = pairs.select(*keys, F.col("id_a").alias("id")).union(pairs.select(*keys, F.col("id_b").alias("id"))).distinct()
+    held = wanted.join(rows.select("id", "text"), "id").toDF("id", *keys, "text")
+    # a cell's work is not as its bytes are, so small parts are not merged
+    tasks = 16 * max(1, spark.sparkContext.defaultParallelism)
+    pairs, held = (x.repartition(tasks, *keys) for x in (pairs, held))
+    found = pairs.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_compared(least), f"id_a {kind}, id_b {kind}, ratio double")
+    return members, found
 
 
 def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: str | None = None) -> DataFrame:
     """``id_a, id_b, ratio`` of pairs of rows (id, text) with ratio >= least; ids are unique, null texts are in no pair.
 
     ``block``: only rows of one value meet; ``side``: only rows of different values are pairs, null being none.  The ratio is not
-    the same both ways, so the row of the lesser side is the first text, or that of the lesser id where there are no sides.  Before Python sees a pair it
-    must pass two exact upper bounds, 2 * shorter / both and the overlap of the counts of characters by class; there a third one,
-    by grams of characters, comes before the comparison.  Rows
-    meet by block and band of length, the shorter's or the next, so work grows with the square of a band's rows: for
-    splits of a benchmark, not for corpora.  Equal texts need no comparison.
+    the same both ways, so the row of the lesser side is the first text, or that of the lesser id where there are no sides.
+    Rows of one text are each a pair here; ``near_classes`` keeps them together.
     """
-    step = (2 - least) / least + 1e-9
-    x = texts.where("text is not null").withColumn("n", F.length("text"))
-    x = x.withColumn("band", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")).withColumn("counts", _counts("text"))
-    cols = {"id": "id", "n": "n", "counts": "counts", "b": block, "s": side}
-    a, b = (x.select("band", *[(F.col(c) if c else F.lit(None).cast("string")).alias(f"{k}_{end}") for k, c in cols.items()]) for end in "ab")
-    b = b.withColumn("band", F.explode(F.array("band", F.col("band") - 1, F.col("band") + 1)))
-    pairs = a.join(b, (a["band"] == b["band"]) & F.col("b_a").eqNullSafe(F.col("b_b")) & (F.col("s_a") < F.col("s_b") if side else F.col("id_a") < F.col("id_b")))
-    both = F.col("n_a") + F.col("n_b")
-    pairs = pairs.where((2 * F.least("n_a", "n_b") >= least * both) | (both == 0))
-    common = F.aggregate(F.zip_with("counts_a", "counts_b", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
-    pairs = pairs.where((2 * common >= least * both) | (both == 0)).select("id_a", "id_b")
-    # the texts themselves go to the pairs that are left
+    members, found = near_classes(texts, least, block, side)
     for end in "ab":
-        pairs = pairs.join(texts.select(F.col("id").alias(f"id_{end}"), F.col("text").alias(f"text_{end}")), f"id_{end}")
-    equal = F.col("text_a") == F.col("text_b")
-    found = pairs.where(~equal).withColumn("ratio", block_ratio(least)("text_a", "text_b")).where(F.col("ratio") >= least)
-    return found.unionByName(pairs.where(equal).withColumn("ratio", F.lit(1.0))).select("id_a", "id_b", "ratio")
+        found = found.withColumnRenamed(f"id_{end}", "class_id").join(members.withColumnRenamed("id", f"id_{end}"), "class_id").drop("class_id")
+    return found.select("id_a", "id_b", "ratio")
 
 
 def holding_pairs(docs: DataFrame, items: DataFrame, width: int = 4) -> DataFrame:

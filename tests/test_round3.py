@@ -13,3 +13,31 @@ def test_condition_pairs_adds_scores_exactly(spark, tmp_path):
     spark.createDataFrame(odd, names).write.parquet(f"{tmp_path}/odd/lineitem.parquet")
     (row,) = entry.queries()["condition_pairs"](spark, f"{tmp_path}/odd").collect()
     assert row["pairs"] == 65 and row["score_delta"] != row["score_delta"]
+
+
+def test_near_classes_name_copies_and_meet_over_chunks(spark, monkeypatch):
+    """Copies stay one class and are compared once, and chunks and cells of any size find what all pairs have."""
+    import difflib
+    import random
+
+    from tallyforge.operators import similarity
+
+    monkeypatch.setattr(similarity, "CHUNK", 7)
+    monkeypatch.setattr(similarity, "CELL", 3)
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij ", k=rng.randint(60, 70))) for _ in range(30)]
+    texts += [x[:k] + "Z" + x[k + 1 :] for x in texts[:12] for k in (5, 40)] + texts[:3] * 40 + ["", "", ""]
+    rows = [(i, x, "b" if i % 5 else None, i * 7 % 2) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, text string, block string, side int")
+    alike = {(a[0], b[0]): r for a in rows for b in rows if a[3] < b[3] and a[2] == b[2] and (r := round(difflib.SequenceMatcher(None, a[1], b[1]).ratio(), 4)) >= 0.95}
+    members, pairs = similarity.near_classes(df, 0.95, "block", "side")
+    of = {r.id: r.class_id for r in members.collect()}
+    first = {}
+    for i, *key in rows:
+        first.setdefault(tuple(key), i)
+    assert of == {i: first[tuple(key)] for i, *key in rows}
+    got = [(r.id_a, r.id_b, r.ratio) for r in pairs.collect()]
+    assert sorted(got) == sorted({(of[a], of[b], r) for (a, b), r in alike.items()}) and len(got) < len(alike) / 10
+    assert {(r.id_a, r.id_b): r.ratio for r in similarity.near_pairs(df, 0.95, "block", "side").collect()} == alike
+    every = {(a[0], b[0]): r for a in rows for b in rows if a[0] < b[0] and (r := round(difflib.SequenceMatcher(None, a[1], b[1]).ratio(), 4)) >= 0.95}
+    assert {(r.id_a, r.id_b): r.ratio for r in similarity.near_pairs(df, 0.95).collect()} == every

@@ -17,9 +17,9 @@ from tallyforge.functions import twister
 from tallyforge.storage import Scratch
 
 #: Rows of a group up to which one task replays its resamples; words of a stretch and values of a block beyond.
-ALONE, STRETCH, BLOCK = 50_000, 1 << 24, 1 << 20
-#: Draws held at a time.
-CHUNK = 1 << 22
+ALONE, STRETCH, BLOCK = 50_000, 1 << 24, 1 << 22
+#: Draws held at a time, and bytes of values that a task of a large group holds at most, unless a block has more.
+CHUNK, HELD = 1 << 19, 1 << 26
 STATS = "n long, mean double, median double, std double, low double, high double"
 
 
@@ -134,12 +134,18 @@ def poisson_summary(df: DataFrame, group: str, key: str, value: str, rounds: int
     return joined.select(F.col("g").alias(group), "n", "mean", F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"))
 
 
-def _indexes(state: np.ndarray, at: int, words: int, n: int) -> Iterator[np.ndarray]:
-    """What of ``words`` words from place ``at`` on are indexes below n, some at a time."""
+def _words(state: np.ndarray, at: int, words: int, n: int) -> Iterator[np.ndarray]:
+    """``words`` words from place ``at`` on, cut to the bits of n, some at a time."""
     raw, bits = twister.generator(twister.jumped(state, at) if at else state), n.bit_length()
     for done in range(0, words, CHUNK):
-        got = (raw.random_raw(min(CHUNK, words - done)) >> np.uint64(32 - bits)).astype(np.int64)
-        yield got[got < n]
+        yield raw.random_raw(min(CHUNK, words - done)) >> np.uint64(32 - bits)
+
+
+def _indexes(state: np.ndarray, at: int, words: int, n: int) -> Iterator[np.ndarray]:
+    """What of ``words`` words from place ``at`` on are indexes below n, some at a time."""
+    for found in _words(state, at, words, n):
+        found = found.view(np.int64)
+        yield found[found < n]
 
 
 def _stretches(n: int, rounds: int, length: int) -> int:
@@ -163,11 +169,12 @@ def _placed(keep: Scratch, df: DataFrame, group: str, order: str, value: str) ->
 def stretched_interval(df: DataFrame, group: str, order: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, length: int = STRETCH, block: int = BLOCK) -> DataFrame:
     """``group, n, mean, low, high``, the ends as ``exact_summary`` has them, by many tasks for a group of any size.
 
-    The generator's words are cut into stretches; a task jumps to its own.  A first pass counts which of its words
-    are indexes, so prefix sums tell every stretch with which draw of which resample it begins.  A second pass folds each stretch
-    over each block of the values to one sum for a resample.  A task holds a block, and what is
-    shuffled are blocks, once for each stretch, and sums.  Sums may differ in the last bits from those of one task.
-    Ties in ``order`` go by value.
+    The generator's words are cut into stretches and these into runs, some four for each core over all groups; a task jumps to its run and
+    goes through it.  A first pass counts which of its words are indexes, so prefix sums tell every run with which draw of which
+    resample it begins.  A second pass folds each run over the values to one sum for a resample.  Values
+    go in blocks, a byte each where a block has 256 of them at most; a task holds ``HELD`` bytes of them, and only a group of more has its words made
+    again for the next ones.  What is shuffled are the values, once for each run, and sums.  Sums may differ in the last bits from those of
+    one task.  Ties in ``order`` go by value.
     """
     spark, keep = df.sparkSession, Scratch(df.sparkSession, "bootstrap")
     placed = keep.table(_placed(keep, df, group, order, value), "placed")
@@ -176,47 +183,79 @@ def stretched_interval(df: DataFrame, group: str, order: str, value: str, rounds
     sizes = keep.table(placed.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean")), "sizes")
 
     def pack(table: pa.Table) -> pa.Table:
-        t = table.sort_by("i")
-        return pa.table({"g": t["g"][:1].cast(arrow), "block": t["block"][:1], "values": pa.array([t["x"].to_numpy().astype("<f8").tobytes()])})
-
-    packed = placed.withColumn("block", F.expr(f"i div {block}")).groupBy("g", "block").applyInArrow(pack, f"g {kind.simpleString()}, block long, values binary")
+        values = np.empty(table.num_rows)
+        values[table["i"].to_numpy() % block] = table["x"].to_numpy()
+        kinds, codes = np.unique(values, return_inverse=True)
+        few = len(kinds) <= 256
+        packed = codes.astype("u1") if few else values.astype("<f8")
+        return pa.table({"g": table["g"][:1].cast(arrow), "block": table["block"][:1], "few": [few], "kinds": [kinds.astype("<f8").tobytes() if few else b""], "packed": [packed.tobytes()]})
+
+    packed = placed.withColumn("block", F.expr(f"i div {block}")).groupBy("g", "block").applyInArrow(pack, f"g {kind.simpleString()}, block long, few boolean, kinds binary, packed binary")
+    packed = keep.table(packed, "packed")
     need = F.udf(lambda n: _stretches(n, rounds, length), "long")
     # one value, or none drawn, has its mean as both ends
     drawn = sizes.where("n > 1") if rounds > 0 else sizes.limit(0)
-    lots = drawn.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), need("n") - 1)).alias("s"))
     tasks = 4 * max(1, spark.sparkContext.defaultParallelism)
+    runs = max(1, math.ceil(tasks / max(1, sizes.count())))
+    stretches = drawn.withColumn("all", need("n")).withColumn("each", F.ceil(F.col("all") / runs))
+    lots = stretches.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.col("each"))).alias("s"), "all", "each")
+    lots = lots.select("g", "n", "s", F.least("each", F.col("all") - F.col("s")).alias("each"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sum(len(x) for x in _indexes(state, s * length, length, n)) for n, s in zip(batch.column("n").to_pylist(), batch.column("s").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["g", "n", "s", "hits"])
+            found = []
+            for row in batch.to_pylist():
+                words = _words(state, row["s"] * length, row["each"] * length, row["n"])
+                found.append(sum(int(np.count_nonzero(w < row["n"])) for w in words))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["g", "n", "s", "each", "hits"])
 
-    counted = keep.table(lots.repartition(tasks, F.col("s"), F.col("g")).mapInArrow(count, f"g {kind.simpleString()}, n long, s long, hits long"), "counted")
+    counted = keep.table(lots.repartition(tasks, F.col("s"), F.col("g")).mapInArrow(count, f"g {kind.simpleString()}, n long, s long, each long, hits long"), "counted")
     before = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    begun = counted.select("g", "n", "s", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("start"))
+    begun = counted.select("g", "n", "s", "each", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("start"))
     lacking = counted.groupBy("g").agg(F.sum("hits").alias("hits"), F.first("n").alias("n")).where(F.col("hits") < F.col("n") * rounds)
     if not lacking.isEmpty():
         raise ValueError("the stretches hold too few draws: pass another length")
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                values, n, at, lo = np.frombuffer(row["values"], "<f8"), row["n"], row["start"], row["block"] * block
-                sums: dict[int, float] = {}
-                for got in _indexes(state, row["s"] * length, length, n):
-                    got = got[: max(0, n * rounds - at)]
-                    of = np.arange(at, at + len(got)) // n
-                    here = (got >= lo) & (got < lo + len(values))
-                    if len(got):
-                        part = np.bincount(of[here] - of[0], weights=values[got[here] - lo], minlength=of[-1] - of[0] + 1)
-                        for b, x in enumerate(part.tolist(), int(of[0])):
-                            sums[b] = sums.get(b, 0.0) + x
-                    at += len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([row["g"]] * len(sums), arrow), pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.float64())], names=["g", "b", "sum"])
-
-    blocks = packed.withColumnRenamed("g", "h")
-    met = begun.join(blocks, F.col("g").eqNullSafe(F.col("h"))).drop("h").repartition(tasks, F.col("s"), F.col("g"), F.col("block"))
-    sums = met.mapInArrow(fold, f"g {kind.simpleString()}, b long, sum double").groupBy("g", "b").agg(F.sum("sum").alias("sum"))
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        n, at, end = t["n"][0].as_py(), t["start"][0].as_py(), t["n"][0].as_py() * rounds
+        few, lo = t["few"][0].as_py() and t["all_few"][0].as_py(), t["block"][0].as_py() * block
+        parts = []
+        # blocks of one group that all have few values share one table of them
+        tables = [np.frombuffer(x.as_py(), "<f8") for x in t["kinds"]]
+        kinds = np.unique(np.concatenate(tables)) if few else None
+        few = few and len(kinds) <= 256
+        for k, x in enumerate(t["packed"]):
+            codes = np.frombuffer(x.as_py(), "u1" if t["few"][k].as_py() else "<f8")
+            values = tables[k][codes] if t["few"][k].as_py() else codes
+            parts.append(np.searchsorted(kinds, values).astype("u1") if few else values)
+        held = np.concatenate(parts)
+        sums = np.zeros(rounds)
+        for got in _indexes(state, t["s"][0].as_py() * length, t["each"][0].as_py() * length, n):
+            got = got[: max(0, end - at)]
+            if not len(got):
+                break
+            cuts = np.arange(-at % n, len(got), n)
+            cuts = cuts if len(cuts) and cuts[0] == 0 else np.concatenate([[0], cuts]).astype(np.int64)
+            if len(held) < n:
+                here = (got >= lo) & (got < lo + len(held))
+                taken = held[np.where(here, got - lo, 0)]
+                taken = np.where(here, kinds[taken] if few else taken, 0.0)
+            else:
+                taken = kinds[held[got]] if few else held[got]
+            first = at // n
+            sums[first : first + len(cuts)] += np.add.reduceat(taken, cuts)
+            at += len(got)
+        b = np.flatnonzero(sums)
+        return pa.table({"g": pa.array([t["g"][0].as_py()] * len(b), arrow), "b": pa.array(b, pa.int64()), "sum": pa.array(sums[b])})
+
+    fits = packed.groupBy("g").agg(F.every("few").alias("all_few"))
+    blocks = packed.join(fits.withColumnRenamed("g", "f"), F.col("g").eqNullSafe(F.col("f"))).drop("f").withColumnRenamed("g", "h")
+    met = begun.join(blocks, F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    met = met.withColumn("part", F.floor(F.col("block") / F.when(F.col("all_few"), max(1, HELD // block)).otherwise(max(1, HELD // (8 * block)))))
+    sums = met.repartition(2 * tasks, "g", "s", "part").groupBy("g", "s", "part").applyInArrow(fold, f"g {kind.simpleString()}, b long, sum double").groupBy("g", "b").agg(F.sum("sum").alias("sum"))
+    # a resample whose sum is zero has sent nothing
+    sums = sizes.where("n > 1").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("b"), F.lit(0.0).alias("sum")).unionByName(sums).groupBy("g", "b").agg(F.sum("sum").alias("sum")) if rounds > 0 else sums
     means = sums.groupBy("g").agg(F.array_sort(F.collect_list("sum")).alias("sums")).withColumnRenamed("g", "h")
     low, high = ranks(max(rounds, 1), confidence)
     ends = {name: F.coalesce(F.get("sums", F.lit(at)) / F.col("n"), F.col("mean")).alias(name) for name, at in (("low", low), ("high", high))}

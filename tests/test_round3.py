@@ -62,3 +62,20 @@ def test_failures_score_candidates_without_a_shuffle(spark):
     with contextlib.redirect_stdout(io.StringIO()) as plan:
         found.explain()
     assert "Exchange" not in plan.getvalue()
+
+
+def test_large_groups_hold_bounded_values(spark, monkeypatch):
+    """Runs of stretches over parts of the values, of few and of many distinct ones, are one task's replay; sums of zero count as well."""
+    import random
+
+    import pytest
+
+    from tallyforge.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "HELD", 256)
+    rng = random.Random(2)
+    rows = [(g, i, x) for i in range(400) for g, x in (("few", rng.randrange(3) / 2), ("many", rng.random()), ("zero", 0.0))]
+    df = spark.createDataFrame(rows, "g string, i int, x double")
+    want = {r.g: (r.n, r.low, r.high) for r in bootstrap.exact_summary(df, "g", "i", "x", 50).collect()}
+    got = {r.g: (r.n, r.low, r.high) for r in bootstrap.stretched_interval(df, "g", "i", "x", 50, length=5000, block=64).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,10 +18,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tallyforge.functions import twister
 from tallyforge.storage import Scratch
 
-#: Rows of a group up to which one task replays its resamples; words of a stretch and values of a block beyond.
-ALONE, STRETCH, BLOCK = 50_000, 1 << 24, 1 << 22
-#: Draws held at a time, and bytes of values that a task of a large group holds at most, unless a block has more.
-CHUNK, HELD = 1 << 19, 1 << 26
+#: Rows of a group up to which one task replays its resamples; words of a stretch beyond, and values of a piece.
+ALONE, STRETCH, BLOCK = 50_000, 1 << 24, 1 << 14
+#: Draws held at a time, and bytes of values that a task of a large group holds, but for its last piece.
+CHUNK, HELD = 1 << 19, 1 << 25
 STATS = "n long, mean double, median double, std double, low double, high double"
 
 
@@ -75,7 +77,7 @@ def exact_summary(df: DataFrame, group: str, order: str, value: str, rounds: int
     """``group`` and n, mean, median, std, low, high of its values in the order of ``order``.
 
     The resamples are those of Python's own generator, so any engine that has it agrees.  A group's values
-    are in one task, as the generator runs through them in turn: ``interval`` gives it small groups only.
+    are in one task, as the generator runs through them in turn: for groups of any size there is ``interval``.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -154,52 +156,84 @@ def _stretches(n: int, rounds: int, length: int) -> int:
     return math.ceil((total / hit + 8 * math.sqrt(total * (1 - hit)) / hit + 64) / length)
 
 
-def _placed(keep: Scratch, df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """``g, i, x``: values with their place in the order of their group, from 0, without a window over a group."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"))
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, F.col("g"), F.col("o")).sortWithinPartitions("g", "o", "x")
-    ranged = keep.table(ranged.select("g", "x", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), "sorted")
-    before = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("g", "p").agg(F.count("*").alias("k"), F.min("m").alias("first")).select("g", "p", "first", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
-    starts = starts.withColumnsRenamed({"g": "h", "p": "q"})
-    return ranged.join(starts, F.col("g").eqNullSafe(F.col("h")) & (F.col("p") == F.col("q"))).select("g", (F.col("m") - F.col("first") + F.col("start")).alias("i"), "x")
+def _pieces(df: DataFrame, group: str, order: str, value: str, block: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Values in the order of their group, packed some at a time: no row is sent or gathered after the sort.
 
+    ``g``; ``p`` and ``at``, the part of the order and the place within it, among values of g; ``k`` values, their ``total`` and those of ``also``;
+    ``packed``, a byte each by the distinct ``kinds`` where they are 256 at most (``few``), else the values.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(value).cast("double").alias("x"), *(F.col(c).cast("double").alias(f"a{j}") for j, c in enumerate(also)))
+    ranged = rows.repartitionByRange("g", "o").sortWithinPartitions("g", "o", "x").drop("o").withColumn("p", F.spark_partition_id())
 
-def stretched_interval(df: DataFrame, group: str, order: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, length: int = STRETCH, block: int = BLOCK) -> DataFrame:
-    """``group, n, mean, low, high``, the ends as ``exact_summary`` has them, by many tasks for a group of any size.
+    def same(a: object, b: object) -> bool:
+        # NaN is written like NaN, in structs too
+        return a == b or repr(a) == repr(b)
 
-    The generator's words are cut into stretches and these into runs, some four for each core over all groups; a task jumps to its run and
-    goes through it.  A first pass counts which of its words are indexes, so prefix sums tell every run with which draw of which
-    resample it begins.  A second pass folds each run over the values to one sum for a resample.  Values
-    go in blocks, a byte each where a block has 256 of them at most; a task holds ``HELD`` bytes of them, and only a group of more has its words made
-    again for the next ones.  What is shuffled are the values, once for each run, and sums.  Sums may differ in the last bits from those of
-    one task.  Ties in ``order`` go by value.
-    """
-    spark, keep = df.sparkSession, Scratch(df.sparkSession, "bootstrap")
-    placed = keep.table(_placed(keep, df, group, order, value), "placed")
-    state, kind = twister.seeded(seed), df.schema[group].dataType
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = (), 0
+        for batch in batches:
+            keys, found, begin = batch["g"], [], 0
+            values, more = batch["x"].to_numpy(), [batch[f"a{j}"].to_numpy(zero_copy_only=False) for j in range(len(also))]
+            while begin < batch.num_rows:
+                g = keys[begin].as_py()
+                if not last or not same(last[0], g):
+                    last, at = (g,), 0
+                # equal keys are neighbours
+                end = bisect_left(range(batch.num_rows), True, begin + 1, key=lambda i, g=g: not same(keys[i].as_py(), g))
+                for i in range(begin, end, block):
+                    cut = slice(i, min(i + block, end))
+                    kinds, codes = np.unique(values[cut], return_inverse=True)
+                    few = len(kinds) <= 256
+                    found.append((i, at, len(codes), values[cut].sum(), [x[cut].sum() for x in more], few, kinds if few else [], (codes.astype("u1") if few else values[cut].astype("<f8")).tobytes()))
+                    at += len(codes)
+                begin = end
+            if found:
+                first, *cols = zip(*found, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.float64()), pa.binary())
+                cols = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(first)), batch["p"].take(pa.array(first)), *cols], names=["g", "p", "at", "k", "total", "also", "few", "kinds", "packed"])
+
+    kind = df.schema[group].dataType.simpleString()
+    return ranged.mapInArrow(pack, f"g {kind}, p int, at long, k long, total double, also array<double>, few boolean, kinds array<double>, packed binary")
+
+
+def _unpacked(t: pa.Table, at: np.ndarray, held: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+    """``held`` with the values of each piece from place ``at`` on, or their places in ``kinds``."""
+    for i, few, own, x in zip(at.tolist(), t["few"].to_pylist(), t["kinds"].to_pylist(), t["packed"], strict=True):
+        values = np.frombuffer(x.as_buffer(), "u1" if few else "<f8")
+        if few:
+            values = (np.array(own) if kinds is None else np.searchsorted(kinds, own).astype("u1"))[values]
+        held[i : i + len(values)] = values
+    return held
+
+
+def _alone(pieces: DataFrame, rounds: int, confidence: float, seed: int) -> DataFrame:
+    """``h, low, high`` of groups that one task each folds."""
+    kind = pieces.schema["g"].dataType
+    arrow = to_arrow_type(kind)
+
+    def fold(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("p", "ascending"), ("at", "ascending")])
+        ends = np.cumsum(t["k"].to_numpy())
+        low, high = summary(_unpacked(t, ends - t["k"].to_numpy(), np.empty(ends[-1])), rounds, confidence, seed)[4:]
+        return pa.table({"h": t["g"][:1].cast(arrow), "low": [low], "high": [high]})
+
+    return pieces.groupBy("g").applyInArrow(fold, f"h {kind.simpleString()}, low double, high double")
+
+
+def _stretched(keep: Scratch, pieces: DataFrame, sizes: DataFrame, rounds: int, confidence: float, seed: int, length: int) -> DataFrame | None:
+    """``h, low, high`` of the groups in ``sizes``, each by many tasks; None if there are none.  See ``stretched_interval``."""
+    state, kind = twister.seeded(seed), pieces.schema["g"].dataType
     arrow = to_arrow_type(kind)
-    sizes = keep.table(placed.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean")), "sizes")
-
-    def pack(table: pa.Table) -> pa.Table:
-        values = np.empty(table.num_rows)
-        values[table["i"].to_numpy() % block] = table["x"].to_numpy()
-        kinds, codes = np.unique(values, return_inverse=True)
-        few = len(kinds) <= 256
-        packed = codes.astype("u1") if few else values.astype("<f8")
-        return pa.table({"g": table["g"][:1].cast(arrow), "block": table["block"][:1], "few": [few], "kinds": [kinds.astype("<f8").tobytes() if few else b""], "packed": [packed.tobytes()]})
-
-    packed = placed.withColumn("block", F.expr(f"i div {block}")).groupBy("g", "block").applyInArrow(pack, f"g {kind.simpleString()}, block long, few boolean, kinds binary, packed binary")
-    packed = keep.table(packed, "packed")
     need = F.udf(lambda n: _stretches(n, rounds, length), "long")
-    # one value, or none drawn, has its mean as both ends
-    drawn = sizes.where("n > 1") if rounds > 0 else sizes.limit(0)
-    tasks = 4 * max(1, spark.sparkContext.defaultParallelism)
-    runs = max(1, math.ceil(tasks / max(1, sizes.count())))
-    stretches = drawn.withColumn("all", need("n")).withColumn("each", F.ceil(F.col("all") / runs))
-    lots = stretches.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.col("each"))).alias("s"), "all", "each")
-    lots = lots.select("g", "n", "s", F.least("each", F.col("all") - F.col("s")).alias("each"))
+    stretches = sizes.select("g", "n", need("n").alias("all"))
+    total = stretches.agg(F.sum("all")).first()[0]
+    if not total:
+        return None
+    tasks = 4 * max(1, pieces.sparkSession.sparkContext.defaultParallelism)
+    each = math.ceil(total / tasks)
+    lots = stretches.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1, F.lit(each).cast("long"))).alias("s"), "all")
+    lots = lots.select("g", "n", "s", F.least(F.lit(each).cast("long"), F.col("all") - F.col("s")).alias("each"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,27 +243,20 @@ def stretched_interval(df: DataFrame, group: str, order: str, value: str, rounds
                 found.append(sum(int(np.count_nonzero(w < row["n"])) for w in words))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["g", "n", "s", "each", "hits"])
 
-    counted = keep.table(lots.repartition(tasks, F.col("s"), F.col("g")).mapInArrow(count, f"g {kind.simpleString()}, n long, s long, each long, hits long"), "counted")
+    counted = lots.repartition(tasks).mapInArrow(count, f"g {kind.simpleString()}, n long, s long, each long, hits long")
     before = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    begun = counted.select("g", "n", "s", "each", F.coalesce(F.sum("hits").over(before), F.lit(0)).alias("start"))
-    lacking = counted.groupBy("g").agg(F.sum("hits").alias("hits"), F.first("n").alias("n")).where(F.col("hits") < F.col("n") * rounds)
+    begun = keep.table(counted.withColumn("start", F.coalesce(F.sum("hits").over(before), F.lit(0))), "begun")
+    lacking = begun.groupBy("g").agg(F.sum("hits").alias("hits"), F.first("n").alias("n")).where(F.col("hits") < F.col("n") * rounds)
     if not lacking.isEmpty():
         raise ValueError("the stretches hold too few draws: pass another length")
 
     def fold(t: pa.Table) -> pa.Table:
-        t = t.sort_by("block")
-        n, at, end = t["n"][0].as_py(), t["start"][0].as_py(), t["n"][0].as_py() * rounds
-        few, lo = t["few"][0].as_py() and t["all_few"][0].as_py(), t["block"][0].as_py() * block
-        parts = []
-        # blocks of one group that all have few values share one table of them
-        tables = [np.frombuffer(x.as_py(), "<f8") for x in t["kinds"]]
-        kinds = np.unique(np.concatenate(tables)) if few else None
-        few = few and len(kinds) <= 256
-        for k, x in enumerate(t["packed"]):
-            codes = np.frombuffer(x.as_py(), "u1" if t["few"][k].as_py() else "<f8")
-            values = tables[k][codes] if t["few"][k].as_py() else codes
-            parts.append(np.searchsorted(kinds, values).astype("u1") if few else values)
-        held = np.concatenate(parts)
+        n, at = t["n"][0].as_py(), t["start"][0].as_py()
+        end, few, places = n * rounds, t["all_few"][0].as_py(), t["i"].to_numpy()
+        lo, size = places.min(), t["k"].to_numpy().sum()
+        # pieces of a group of few values share one table of them
+        kinds = np.unique(t["kinds"].combine_chunks().flatten().to_numpy()) if few else None
+        held = _unpacked(t, places - lo, np.empty(size, "u1" if few else float), kinds)
         sums = np.zeros(rounds)
         for got in _indexes(state, t["s"][0].as_py() * length, t["each"][0].as_py() * length, n):
             got = got[: max(0, end - at)]
@@ -249,17 +276,58 @@ def stretched_interval(df: DataFrame, group: str, order: str, value: str, rounds
         b = np.flatnonzero(sums)
         return pa.table({"g": pa.array([t["g"][0].as_py()] * len(b), arrow), "b": pa.array(b, pa.int64()), "sum": pa.array(sums[b])})
 
-    fits = packed.groupBy("g").agg(F.every("few").alias("all_few"))
-    blocks = packed.join(fits.withColumnRenamed("g", "f"), F.col("g").eqNullSafe(F.col("f"))).drop("f").withColumnRenamed("g", "h")
-    met = begun.join(blocks, F.col("g").eqNullSafe(F.col("h"))).drop("h")
-    met = met.withColumn("part", F.floor(F.col("block") / F.when(F.col("all_few"), max(1, HELD // block)).otherwise(max(1, HELD // (8 * block)))))
-    sums = met.repartition(2 * tasks, "g", "s", "part").groupBy("g", "s", "part").applyInArrow(fold, f"g {kind.simpleString()}, b long, sum double").groupBy("g", "b").agg(F.sum("sum").alias("sum"))
+    within = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.groupBy("g", "p").agg(F.sum("k").alias("k")).select(F.col("g").alias("h"), F.col("p").alias("q"), F.coalesce(F.sum("k").over(within), F.lit(0)).alias("begin"))
+    placed = pieces.join(starts, F.col("g").eqNullSafe(F.col("h")) & (F.col("p") == F.col("q"))).select("g", (F.col("begin") + F.col("at")).alias("i"), "k", "few", "kinds", "packed")
+    kinds = pieces.select("g", "few", F.explode_outer("kinds").alias("kind")).distinct().groupBy("g").agg((F.every("few") & (F.count_distinct("kind") <= 256)).alias("all_few"))
+    # some four runs for each core, and one for each further group
+    runs = begun.drop("hits").join(kinds.withColumnRenamed("g", "f"), F.col("g").eqNullSafe(F.col("f"))).drop("f").withColumnRenamed("g", "h")
+    met = placed.join(F.broadcast(runs), F.col("g").eqNullSafe(F.col("h"))).drop("h")
+    met = met.withColumn("part", F.floor(F.col("i") / F.when(F.col("all_few"), HELD).otherwise(max(1, HELD // 8))))
+    sums = met.repartition(2 * tasks, "g", "s", "part").groupBy("g", "s", "part").applyInArrow(fold, f"g {kind.simpleString()}, b long, sum double")
     # a resample whose sum is zero has sent nothing
-    sums = sizes.where("n > 1").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("b"), F.lit(0.0).alias("sum")).unionByName(sums).groupBy("g", "b").agg(F.sum("sum").alias("sum")) if rounds > 0 else sums
-    means = sums.groupBy("g").agg(F.array_sort(F.collect_list("sum")).alias("sums")).withColumnRenamed("g", "h")
-    low, high = ranks(max(rounds, 1), confidence)
-    ends = {name: F.coalesce(F.get("sums", F.lit(at)) / F.col("n"), F.col("mean")).alias(name) for name, at in (("low", low), ("high", high))}
-    return sizes.join(means, F.col("g").eqNullSafe(F.col("h")), "left").select(F.col("g").alias(group), "n", "mean", *ends.values())
+    zeros = sizes.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("b"), F.lit(0.0).alias("sum"))
+    sums = zeros.unionByName(sums).groupBy("g", "b").agg(F.sum("sum").alias("sum"))
+    means = sums.groupBy("g").agg(F.array_sort(F.collect_list("sum")).alias("sums")).join(sizes.select(F.col("g").alias("h"), "n"), F.col("g").eqNullSafe(F.col("h")))
+    low, high = ranks(rounds, confidence)
+    return means.select("h", *((F.get("sums", F.lit(at)) / F.col("n")).alias(name) for name, at in (("low", low), ("high", high))))
+
+
+def _intervals(df: DataFrame, group: str, order: str, value: str, rounds: int, confidence: float, seed: int, alone: int, length: int, block: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """``group, n, mean, low, high`` and the means of ``also``.  The rows are read once."""
+    keep = Scratch(df.sparkSession, "bootstrap")
+    pieces = keep.table(_pieces(df, group, order, value, block, also), "pieces")
+    means = [(F.sum(F.col("also")[j]) / F.sum("k")).alias(c) for j, c in enumerate(also)]
+    sizes = keep.table(pieces.groupBy("g").agg(F.sum("k").alias("n"), (F.sum("total") / F.sum("k")).alias("mean"), *means), "sizes")
+    # one value, or none drawn, has its mean as both ends
+    large = sizes.where(F.col("n") > max(1, alone)) if rounds > 0 else sizes.limit(0)
+    ends = []
+    if alone > 0 and rounds > 0:
+        # one key for each ``alone`` values at most
+        keys = F.broadcast(large.select(F.col("g").alias("h")))
+        ends.append(_alone(pieces.join(keys, F.col("g").eqNullSafe(F.col("h")), "left_anti"), rounds, confidence, seed))
+        pieces = pieces.join(keys, F.col("g").eqNullSafe(F.col("h")), "left_semi")
+    stretched = _stretched(keep, pieces, large, rounds, confidence, seed, length)
+    ends += [] if stretched is None else [stretched]
+    name = [F.col("g").alias(group), "n", "mean"]
+    if not ends:
+        return sizes.select(*name, F.col("mean").alias("low"), F.col("mean").alias("high"), *also)
+    found = reduce(DataFrame.unionByName, ends)
+    joined = sizes.join(found, F.col("g").eqNullSafe(F.col("h")), "left")
+    return joined.select(*name, *(F.coalesce(c, "mean").alias(c) for c in ("low", "high")), *also)
+
+
+def stretched_interval(df: DataFrame, group: str, order: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, length: int = STRETCH, block: int = BLOCK) -> DataFrame:
+    """``group, n, mean, low, high``, the ends as ``exact_summary`` has them, by many tasks for a group of any size.
+
+    The generator's words are cut into stretches and these into runs of like length, some four for each core over all groups; a task jumps to
+    its run and goes through it.  A first pass counts which of its words are indexes, so prefix sums tell every run with which draw of which
+    resample it begins.  A second pass folds each run over the values to one sum for a resample.  Values go in pieces of ``block`` at
+    most, a byte each where the group has 256 kinds of them at most; a task holds ``HELD`` bytes of them, and only a group of more has its words made
+    again for the next ones.  What is shuffled are the rows, once, the pieces, once for each run, and sums.  Sums may differ in the last bits from
+    those of one task.  Ties in ``order`` go by value.
+    """
+    return _intervals(df, group, order, value, rounds, confidence, seed, 0, length, block)
 
 
 def interval(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0, alone: int = ALONE) -> DataFrame:
@@ -268,11 +336,7 @@ def interval(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000
     Groups of at most ``alone`` rows are folded in one task each, larger ones by stretches of the generator's words;
     either way the draws are the same.  For an estimate that needs one pass over the rows, see ``poisson_summary``.
     """
-    sizes = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("__n")).withColumnRenamed(group, "__g")
-    sized = Scratch(df.sparkSession, "interval").table(df.select(group, key, value).join(sizes, F.col(group).eqNullSafe(F.col("__g"))).drop("__g"), "sized")
-    small = exact_summary(sized.where(F.col("__n") <= alone), group, key, value, rounds, confidence, seed).select(group, "n", "mean", "low", "high")
-    large = sized.where(F.col("__n") > alone)
-    return small if large.isEmpty() else small.unionByName(stretched_interval(large, group, key, value, rounds, confidence, seed))
+    return _intervals(df, group, key, value, rounds, confidence, seed, alone, STRETCH, BLOCK)
 
 
 def statistics(df: DataFrame, group: str, key: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
@@ -288,9 +352,9 @@ def statistics(df: DataFrame, group: str, key: str, value: str, rounds: int = 10
 def paired(rows: DataFrame, group: str, example: str, baseline: str, contender: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """``group, common_n, baseline_mean, contender_mean, mean_difference, low, high`` of rows that have both values."""
     both = rows.where(F.col(baseline).isNotNull() & F.col(contender).isNotNull()).withColumn("__d", F.col(contender) - F.col(baseline))
-    means = both.groupBy(group).agg(F.avg(baseline).alias("baseline_mean"), F.avg(contender).alias("contender_mean"))
-    ends = interval(both, group, example, "__d", rounds, confidence, seed)
-    return means.join(ends, group).select(group, F.col("n").alias("common_n"), "baseline_mean", "contender_mean", F.col("mean").alias("mean_difference"), "low", "high")
+    sides = both.select(group, example, "__d", F.col(baseline).alias("baseline_mean"), F.col(contender).alias("contender_mean"))
+    found = _intervals(sides, group, example, "__d", rounds, confidence, seed, ALONE, STRETCH, BLOCK, ("baseline_mean", "contender_mean"))
+    return found.select(group, F.col("n").alias("common_n"), "baseline_mean", "contender_mean", F.col("mean").alias("mean_difference"), "low", "high")
 
 
 def paired_interval(deltas: DataFrame, group: str, order: str, value: str, rounds: int = 100, seed: int = 7) -> DataFrame:

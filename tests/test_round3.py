@@ -79,3 +79,48 @@ def test_large_groups_hold_bounded_values(spark, monkeypatch):
     want = {r.g: (r.n, r.low, r.high) for r in bootstrap.exact_summary(df, "g", "i", "x", 50).collect()}
     got = {r.g: (r.n, r.low, r.high) for r in bootstrap.stretched_interval(df, "g", "i", "x", 50, length=5000, block=64).collect()}
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_intervals_gather_no_rows_of_a_group(spark, monkeypatch):
+    """Values are packed as they pass in their order, in bounded pieces, and rows are read once for means and ends."""
+    import random
+
+    import pytest
+
+    from tallyforge.operators import bootstrap
+
+    plans, table = {}, bootstrap.Scratch.table
+
+    def seen(self, df, name):
+        plans[name] = (df._jdf.queryExecution().toString(), out := table(self, df, name))
+        return out
+
+    monkeypatch.setattr(bootstrap.Scratch, "table", seen)
+    rng = random.Random(3)
+    rows = [("many", i, rng.random(), rng.random()) for i in range(40_000)] + [("few", i, 0.5, rng.randrange(3) / 2) for i in range(20_000)] + [("small", i, 1.0, i % 2 / 1) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i int, a double, b double").repartition(3)
+    monkeypatch.setattr(bootstrap, "ALONE", 1000)
+    got = {r.g: tuple(r)[1:] for r in bootstrap.paired(df, "g", "i", "a", "b", rounds=20, seed=5).collect()}
+    sums = {g: [sum(r[k] for r in rows if r[0] == g) / sum(r[0] == g for r in rows) for k in (2, 3)] for g in ("many", "few", "small")}
+    want = {r.g: (r.n, *sums[r.g], r.mean, r.low, r.high) for r in bootstrap.exact_summary(df.selectExpr("g", "i", "b - a as d"), "g", "i", "d", 20, seed=5).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) for g in want)
+    assert not [name for name, (plan, _) in plans.items() if "FlatMapGroupsIn" in plan]
+    pieces = [out for _, out in plans.values() if "packed" in out.columns]
+    assert len(pieces) == 1 and pieces[0].selectExpr("max(length(packed))").first()[0] <= 8 << 14
+
+
+def test_pieces_of_few_values_may_have_many_together(spark, monkeypatch):
+    """Keys that are null, NaN or structs, and groups whose pieces have few kinds each but more than a byte tells apart in all."""
+    import pytest
+
+    from tallyforge.operators import bootstrap
+
+    monkeypatch.setattr(bootstrap, "HELD", 512)
+    rows = [(g, i, float(i * 7919 % 600)) for g in (None, float("nan"), 1.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "g double, i int, x double")
+    want = bootstrap.exact_summary(df.where("g = 1"), "g", "i", "x", 30).first()
+    for key in ("g", "struct(g, 'a' as k)"):
+        for found in (bootstrap.stretched_interval(df.selectExpr(f"{key} as h", "i", "x"), "h", "i", "x", 30, length=5000, block=64), bootstrap.interval(df.selectExpr(f"{key} as h", "i", "x"), "h", "i", "x", 30)):
+            found = found.collect()
+            assert len(found) == 3 and all((r.n, r.low, r.high) == pytest.approx((600, want.low, want.high)) for r in found)

@@ -218,7 +218,9 @@ def _alone(pieces: DataFrame, rounds: int, confidence: float, seed: int) -> Data
         low, high = summary(_unpacked(t, ends - t["k"].to_numpy(), np.empty(ends[-1])), rounds, confidence, seed)[4:]
         return pa.table({"h": t["g"][:1].cast(arrow), "low": [low], "high": [high]})
 
-    return pieces.groupBy("g").applyInArrow(fold, f"h {kind.simpleString()}, low double, high double")
+    # packed values are few bytes but many draws, so their size must not decide how many tasks fold them
+    tasks = 8 * max(1, pieces.sparkSession.sparkContext.defaultParallelism)
+    return pieces.repartition(tasks, "g").groupBy("g").applyInArrow(fold, f"h {kind.simpleString()}, low double, high double")
 
 
 def _stretched(keep: Scratch, pieces: DataFrame, sizes: DataFrame, rounds: int, confidence: float, seed: int, length: int) -> DataFrame | None:

@@ -124,3 +124,14 @@ def test_pieces_of_few_values_may_have_many_together(spark, monkeypatch):
         for found in (bootstrap.stretched_interval(df.selectExpr(f"{key} as h", "i", "x"), "h", "i", "x", 30, length=5000, block=64), bootstrap.interval(df.selectExpr(f"{key} as h", "i", "x"), "h", "i", "x", 30)):
             found = found.collect()
             assert len(found) == 3 and all((r.n, r.low, r.high) == pytest.approx((600, want.low, want.high)) for r in found)
+
+
+def test_small_groups_are_dealt_over_tasks(spark):
+    """However few bytes the packed values have."""
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import bootstrap
+
+    df = spark.range(600).select((F.col("id") % 30).alias("g"), "id", F.lit(0.5).alias("x"))
+    pieces = bootstrap._pieces(df, "g", "id", "x", 64)
+    assert bootstrap._alone(pieces, 5, 0.95, 1).select(F.spark_partition_id().alias("p")).distinct().count() > 4

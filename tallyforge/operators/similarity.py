@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import difflib
 import functools
+import heapq
 import math
+import re
+import zlib
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -12,103 +20,241 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql import types as T
 
 from tallyforge.storage import Scratch
 
 
-#: Characters of a gram at most, and counters of the grams of a text (a power of two).
-GRAM, COUNTERS = 8, 1 << 16
+#: Characters of a gram at most.
+GRAM = 6
+#: Classes of characters whose counts bound a ratio from above, and how many of them come first.
+CLASSES, FEW = 64, 8
+#: Texts of a chunk, and its bytes of text; a text meets whole chunks.
+CHUNK, CHUNK_BYTES = 1 << 15, 32 << 20
+#: Texts of end a that are bounded at once, and pairs that are kept before they are compared.
+CELL, PAIRS = 16, 1 << 18
 
 
-@functools.lru_cache(256)
-def _grams(text: str, size: int) -> np.ndarray:
-    """How often the grams of a text fall on each counter."""
+@F.pandas_udf(T.StructType().add("counts", T.BinaryType()).add("packed", T.BinaryType()))
+def _packed(text: pd.Series) -> pd.DataFrame:
+    """How many characters of each class (code point modulo ``CLASSES``) a text has, and the text compressed."""
+
+    def of(x: str) -> tuple[bytes, bytes]:
+        counts = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES)
+        # counts that are cut differ by no more than whole ones
+        return np.minimum(counts, 32767).astype("<i2").tobytes(), zlib.compress(x.encode("utf-8", "surrogatepass"), 1)
+
+    return pd.DataFrame([of(x) for x in text], columns=["counts", "packed"])
+
+
+def _gram_bits(text: str, size: int, bits: int) -> np.ndarray:
+    """Which of ``bits`` bits the grams of a text fall on."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     g = np.zeros(max(0, len(c) - size + 1), np.uint64)
     for k in range(size):
-        g = g * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(g)]
-    return np.bincount((g >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+        g = (g + c[k : k + len(g)]) * np.uint64(0x9E3779B97F4A7C15)
+    on = np.zeros(bits, bool)
+    on[((g >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)] = True
+    return np.packbits(on).view(np.uint64)
 
 
-def _may_reach(a: str, b: str, least: float) -> bool:
-    """Whether the ratio can be ``least``: so many characters match that the rest, each of which spoils a gram's size of grams at most, leaves enough grams in common.
-
-    Grams are as long as half of a text's grams, or nearly, must stay.
-    """
-    size = min(GRAM, max(1, math.floor(0.25 / (1 - least + 1e-4))))
-    apart = math.floor((1 - least + 1e-4) * (len(a) + len(b)))
-    needed = max(len(a), len(b)) - size + 1 - size * apart
-    return needed <= 0 or int(np.minimum(_grams(a, size), _grams(b, size)).sum()) >= needed
+#: Runs of rare characters that are looked up; a second text with a longer one is left to difflib's own search.
+RUN = 32
 
 
-#: Classes of characters whose counts bound a ratio from above.
-CLASSES = 64
-#: Texts of each end that a task bounds against one another, and that it compares.
-CHUNK, CELL = 2048, 16
+class _Matched:
+    """difflib's ratios of first texts to one second text, of the same stretches.
 
+    difflib leaves out characters that make more than a hundredth of a second text of 200 or more.  A stretch starts from the
+    longest run of other characters that both have, the leftmost one in the first text, then in the second, and is
+    carried on both ways.  So it's enough to look up the runs, by length, instead of going over all pairs of places.
+    """
 
-@F.pandas_udf(BinaryType())
-def _counts(text: pd.Series) -> pd.Series:
-    """How many characters of each class (code point modulo ``CLASSES``) a text has."""
-    return text.map(lambda x: np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") % CLASSES, minlength=CLASSES).astype("<i4").tobytes())
+    def __init__(self, b: str):
+        self.b, counts = b, Counter(b)
+        rare = [c for c, n in counts.items() if len(b) < 200 or n <= len(b) // 100 + 1]
+        self.runs = re.compile(f"[{''.join(map(re.escape, rare))}]+") if rare else None
+        found = [(m.start(), m[0]) for m in self.runs.finditer(b)] if rare else []
+        self.top, self.whole, self.places = max((len(x) for _, x in found), default=0), None, {}
+        if self.top > RUN:
+            self.whole = difflib.SequenceMatcher(None)
+            self.whole.set_seq2(b)
+            return
+        for at, run in found:
+            for k in range(len(run)):
+                for to in range(k + 1, len(run) + 1):
+                    self.places.setdefault(run[k:to], []).append(at + k)
+
+    def _first(self, a: str) -> None:
+        self.a = a
+        if self.whole:
+            self.whole.set_seq1(a)
+            return
+        self.starts: list[list[tuple[int, list[int]]]] = [[] for _ in range(self.top + 1)]
+        for m in self.runs.finditer(a) if self.runs else ():
+            at, run = m.start(), m[0]
+            for k in range(len(run)):
+                for n in range(1, min(self.top, len(run) - k) + 1):
+                    if (there := self.places.get(run[k : k + n])) is None:
+                        break
+                    self.starts[n].append((at + k, there))
+
+    def _longest(self, a_from: int, a_to: int, b_from: int, b_to: int, top: int) -> tuple[int, int, int, int]:
+        """Place in both and length, as ``find_longest_match`` has it, and the length of the run."""
+        if self.whole:
+            return *self.whole.find_longest_match(a_from, a_to, b_from, b_to), top
+        a, b, i, j, n = self.a, self.b, a_from, b_from, 0
+        for size in range(min(top, a_to - a_from, b_to - b_from), 0, -1):
+            starts = self.starts[size]
+            for k in range(bisect_left(starts, a_from, key=itemgetter(0)), len(starts)):
+                at, there = starts[k]
+                if at + size > a_to:
+                    break
+                if (m := bisect_left(there, b_from)) < len(there) and there[m] + size <= b_to:
+                    i, j, n = at, there[m], size
+                    break
+            if n:
+                break
+        size, end_a, end_b = n, i + n, j + n
+        while end_a + 64 <= a_to and end_b + 64 <= b_to and a[end_a : end_a + 64] == b[end_b : end_b + 64]:
+            end_a, end_b = end_a + 64, end_b + 64
+        while end_a < a_to and end_b < b_to and a[end_a] == b[end_b]:
+            end_a, end_b = end_a + 1, end_b + 1
+        while i - 64 >= a_from and j - 64 >= b_from and a[i - 64 : i] == b[j - 64 : j]:
+            i, j = i - 64, j - 64
+        while i > a_from and j > b_from and a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+        return i, j, end_a - i, size
+
+    def ratio(self, a: str, least: float) -> float | None:
+        """Rounded, or none below ``least``: once the parts still to be matched can't make up for what is lost."""
+        n_a, n_b = len(a), len(self.b)
+        if not n_a + n_b:
+            return 1.0
+        self._first(a)
+        reach, parts = min(n_a, n_b), [(-min(n_a, n_b), 0, n_a, 0, n_b, self.top)]
+        # parts don't depend on one another, so the largest come first
+        while parts:
+            if round(2.0 * reach / (n_a + n_b), 4) < least:
+                return None
+            most, a_from, a_to, b_from, b_to, top = heapq.heappop(parts)
+            i, j, n, top = self._longest(a_from, a_to, b_from, b_to, top)
+            reach += most + n
+            for part in ((a_from, i, b_from, j), (i + n, a_to, j + n, b_to)) if n else ():
+                if more := min(part[1] - part[0], part[3] - part[2]):
+                    reach += more
+                    heapq.heappush(parts, (-more, *part, top))
+        return r if (r := round(2.0 * reach / (n_a + n_b), 4)) >= least else None
+
+
+class _Texts:
+    """The rows of one end of a cell by length; their texts are unpacked as they are asked for."""
+
+    def __init__(self, t: pa.Table, end: str, size: int, bits: int):
+        at = np.flatnonzero(t["end"].to_numpy() == end)
+        n = t["n"].to_numpy()[at]
+        order = np.argsort(n, kind="stable")
+        self.at, self.n, self.packed = at[order], n[order], t["packed"]
+        self.ids, self.rank = t["id"].take(pa.array(self.at)), t["rank"].take(pa.array(self.at)).to_numpy()
+        self.counts = np.frombuffer(b"".join(t["counts"].take(pa.array(self.at)).to_pylist()), "<i2").reshape(-1, CLASSES)
+        self.size, self.bits = size, bits
+        self.grams, self.known = np.zeros((len(at), bits // 64), np.uint64), np.zeros(len(at), bool)
+        self.text = functools.lru_cache(256)(self._text)
+
+    def _text(self, k: int) -> str:
+        return zlib.decompress(self.packed[int(self.at[k])].as_py()).decode("utf-8", "surrogatepass")
+
+    def bits_of(self, ks: np.ndarray) -> np.ndarray:
+        for k in np.unique(ks[~self.known[ks]]).tolist():
+            self.grams[k], self.known[k] = _gram_bits(self.text(k), self.size, self.bits), True
+        return self.grams[ks]
+
+
+def _bounded(a: _Texts, b: _Texts, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs that may reach ``least``.
+
+    At most ``apart`` characters have no match, and each spoils a count of one character and 2 * size - 1 of grams.
+    Counts are added up for a few classes, those that vary most, then for all, then bits of grams.
+    """
+    share = 1 - least + 1e-4
+    few = np.argsort(-b.counts.astype(np.float64).var(0), kind="stable")[:FEW]
+    few_a, few_b = (np.ascontiguousarray(x.counts[:, few].T.astype(np.int32)) for x in (a, b))
+    n_a, n_b = a.n.astype(np.int32), b.n.astype(np.int32)
+    low, high = np.searchsorted(n_b, a.n * (1 - share) / (1 + share) - 1), np.searchsorted(n_b, a.n * (1 + share) / (1 - share) + 1 if share < 1 else np.full(len(a.n), np.inf), "right")
+    for at in range(0, len(n_a), CELL):
+        to = min(at + CELL, len(n_a))
+        lo, hi = int(low[at]), int(high[to - 1])
+        if lo >= hi:
+            continue
+        apart = np.floor(share * (n_a[at:to, None] + n_b[lo:hi])).astype(np.int32)
+        off = np.zeros(apart.shape, np.int32)
+        for x, y in zip(few_a, few_b, strict=True):
+            off += np.abs(y[lo:hi] - x[at:to, None])
+        i, j = np.nonzero(off <= apart)
+        apart, i, j = apart[i, j], i + at, j + lo
+        for k in range(0, len(i), 1 << 14):
+            i_, j_, most = (x[k : k + (1 << 14)] for x in (i, j, apart))
+            kept = a.rank[i_] < b.rank[j_]
+            i_, j_, most = i_[kept], j_[kept], most[kept]
+            kept = np.abs(a.counts[i_].astype(np.int32) - b.counts[j_]).sum(1) <= most
+            i_, j_, most = i_[kept], j_[kept], most[kept]
+            step = max(1, (4 << 20) // a.bits)
+            for m in range(0, len(i_), step):
+                x, y = i_[m : m + step], j_[m : m + step]
+                kept = np.bitwise_count(a.bits_of(x) ^ b.bits_of(y)).sum(1, dtype=np.int64) <= (2 * a.size - 1) * most[m : m + step].astype(np.int64)
+                if kept.any():
+                    yield x[kept], y[kept]
 
 
-def _bounded(least: float, sides: bool):
-    """Pairs of a cell's rows that two upper bounds let pass: 2 * shorter / both, and the overlap of the counts of characters."""
+def _compared(least: float):
+    """Pairs of a cell with their ratios; a second text is indexed once for all its first ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        a, b = (t.filter(pc.equal(t["end"], end)).sort_by("n") for end in "ab")
-        n_a, n_b = (x["n"].to_numpy() for x in (a, b))
-        counts_a, counts_b = (np.frombuffer(b"".join(x["counts"].to_pylist()), "<i4").reshape(-1, CLASSES) for x in (a, b))
-        rank_a, rank_b = (x["rank"].to_numpy() for x in (a, b))
-        low, high = np.searchsorted(n_b, n_a * least / (2 - least) - 1), np.searchsorted(n_b, n_a * (2 - least) / least + 1, "right")
-        at_a, at_b = [], []
-        for i, (lo, hi) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
-            both = n_a[i] + n_b[lo:hi]
-            common = np.minimum(counts_b[lo:hi], counts_a[i]).sum(1)
-            found = np.flatnonzero((2 * common >= least * both) & (rank_a[i] < rank_b[lo:hi])) + lo
-            at_a.append(np.full(len(found), i))
-            at_b.append(found)
-        i, j = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at_a, at_b))
-        cols = {"cell": pa.array([t["cell"][0].as_py()] * len(i), pa.string()), "k_a": pa.array(i // CELL), "k_b": pa.array(j // CELL)}
-        return pa.table(cols | {"id_a": a["id"].take(pa.array(i)), "id_b": b["id"].take(pa.array(j))})
+        kind, out = t.schema.field("id").type, []
+        ends, longest = set(t["end"].unique().to_pylist()), max(1, pc.max(t["n"]).as_py())
+        if len(ends) == 2:
+            size = min(GRAM, max(1, math.floor(0.25 / (1 - least + 1e-4))))
+            a, b = (_Texts(t, end, size, 64 * max(4, -(-4 * longest // 64))) for end in "ab")
+            held, n = [], 0
+            for pair in chain(_bounded(a, b, least), [None]):
+                if pair is not None:
+                    held.append(pair)
+                    n += len(pair[0])
+                if held and (pair is None or n >= PAIRS):
+                    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                    out += _alike(a, b, i, j, least)
+                    held, n = [], 0
+        i, j, r = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
+        no = pa.array([], kind)
+        return pa.table({"id_a": a.ids.take(pa.array(i)) if out else no, "id_b": b.ids.take(pa.array(j)) if out else no, "ratio": pa.array(r, pa.float64())})
 
     return run
 
 
-def _compared(least: float):
-    """Ratios of a cell's pairs; the bound by grams comes first, and a second text is indexed once for all its first ones."""
-
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        text = dict(zip(texts["id"].to_pylist(), texts["text"].to_pylist(), strict=True))
-        found, matcher, last = [], difflib.SequenceMatcher(None), None
-        for y, x in sorted(zip(pairs["id_b"].to_pylist(), pairs["id_a"].to_pylist(), strict=True)):
-            a, b = text[x], text[y]
-            if a == b:
-                found.append((x, y, 1.0))
-            elif _may_reach(a, b, least):
-                if last != y:
-                    matcher.set_seq2(b)
-                    last = y
-                matcher.set_seq1(a)
-                if (r := round(matcher.ratio(), 4)) >= least:
-                    found.append((x, y, r))
-        kinds = (pairs.schema.field("id_a").type, pairs.schema.field("id_b").type, pa.float64())
-        return pa.table({n: pa.array([r[k] for r in found], kind) for k, (n, kind) in enumerate(zip(("id_a", "id_b", "ratio"), kinds, strict=True))})
-
-    return run
+def _alike(a: _Texts, b: _Texts, i: np.ndarray, j: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    found, matched, last = [], None, None
+    order = np.lexsort((i, j))
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        first, second = a.text(x), b.text(y)
+        if first == second:
+            found.append((x, y, 1.0))
+            continue
+        if last != y:
+            matched, last = _Matched(second), y
+        if (r := matched.ratio(first, least)) is not None:
+            found.append((x, y, r))
+    return found
 
 
 def near_classes(texts: DataFrame, least: float, block: str | None = None, side: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (id, text) as ``class_id, id`` and pairs of classes as ``id_a, id_b, ratio``; what ``near_pairs`` has is their join.
 
     A class is the rows of one block, side and text, named by its least id, so copies are compared once; without
-    sides each row is its own.  Every text with its block meets all texts of like length: chunks of ``CHUNK`` texts of
-    a band of length meet those of the same and the next bands, task by task, by lengths and counts of 64 classes
-    of characters alone (256 bytes a text).  The pairs left get their texts, ``CELL`` by ``CELL`` texts to a
-    group, and are compared there, after a bound by grams of characters.  No task holds more than two chunks or
-    cells; how often texts meet grows with the square of a band's texts.
+    sides each row is its own.  Every text with its block meets all texts of like length: the texts of a band of
+    lengths are dealt to chunks, and a task has a chunk of end a and one of end b with the chunks of the two next bands
+    beside it.  Texts go there compressed, once for each such chunk of the other end, and no pair leaves a task before
+    it is compared.  Disk grows with the texts until a band has more than ``CHUNK`` rows or ``CHUNK_BYTES``, then with
+    the number of its chunks too; how often texts meet grows with the square of a band's texts.
     """
     spark = texts.sparkSession
     keep = Scratch(spark, "near-pairs")
@@ -117,35 +263,35 @@ def near_classes(texts: DataFrame, least: float, block: str | None = None, side:
     rank = F.col(side) if side else F.col("id")
     rows = texts.where(F.col("text").isNotNull() & rank.isNotNull()).select("id", "text", (F.col(block) if block else F.lit(None)).cast("string").alias("b"), rank.alias("rank"))
     key = F.concat(F.to_json(F.struct("b", F.col("rank").cast("string").alias("rank"))), F.sha2("text", 256))
-    keyed = keep.table(rows.select("id", key.alias("key")), "keyed")
-    members = keep.table(keyed.groupBy("key").agg(F.min("id").alias("class_id")).join(keyed, "key").select("class_id", "id"), "members")
+    band = F.floor(F.log(F.greatest(F.length("text"), F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")
+    keyed = keep.table(rows.select("id", "b", "rank", F.length("text").cast("long").alias("n"), F.octet_length("text").alias("bytes"), band.alias("band"), F.unhex(F.sha2(key, 256)).alias("key")), "keyed")
+    members = keep.table(keyed.groupBy("key").agg(F.min("id").alias("class_id")).join(keyed.select("key", "id"), "key").select("class_id", "id"), "members")
     # ids are unique, so a class's own row is the one of its name
-    firsts = rows.join(members.where("class_id = id").select("id"), "id")
-    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")
-    ranked = firsts.withColumn("n", F.length("text").cast("long")).withColumn("band", band).select("id", "b", "band", "n", "rank", _counts("text").alias("counts"))
-    kept = keep.table(ranked, "counts")
-    parts = kept.groupBy("b", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).withColumnsRenamed({"b": "p_b", "band": "p_band"})
-    dealt = kept.join(F.broadcast(parts), F.col("b").eqNullSafe(F.col("p_b")) & (F.col("band") == F.col("p_band"))).withColumn("chunk", F.pmod(F.xxhash64("id"), "parts"))
-    near = F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))
-    # a row of end a goes to each chunk of the three bands, one of end b to each chunk that those may come from
-    met = dealt.drop("p_b", "p_band", "parts").withColumn("other", near).join(F.broadcast(parts), F.col("b").eqNullSafe(F.col("p_b")) & (F.col("other") == F.col("p_band")))
-    met = met.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    kept = keep.table(keyed.drop("key").join(members.where("class_id = id").select("id"), "id"), "firsts")
+    own = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int")
+    parts = kept.groupBy("b", "band").agg(own.alias("parts"))
+    # end a of a band meets as many chunks of end b as the largest of three bands has
+    three = parts.select("b", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), "parts").groupBy("b", "band").agg(F.max("parts").alias("parts_b"))
+    both = parts.withColumnRenamed("parts", "parts_a").join(three.withColumnsRenamed({"b": "t_b", "band": "t_band"}), F.col("b").eqNullSafe(F.col("t_b")) & (F.col("band") == F.col("t_band")))
+    both = both.select(F.col("b").alias("p_b"), F.col("band").alias("p_band"), "parts_a", "parts_b")
     first, last = kept.agg(F.min("rank"), F.max("rank")).first()
     ends = []
-    for end, (x, i, y, j) in {"a": ("band", "chunk", "other", "to"), "b": ("other", "to", "band", "chunk")}.items():
-        cell = F.to_json(F.array(F.col("b").cast("string"), *[F.col(c).cast("string") for c in (x, i, y, j)]), {"ignoreNullFields": "false"})
-        ends.append(met.where(F.col("rank") < last if end == "a" else F.col("rank") > first).select(cell.alias("cell"), F.lit(end).alias("end"), "id", "rank", "n", "counts"))
+    for end in "ab":
+        met = kept.where(F.col("rank") < last if end == "a" else F.col("rank") > first)
+        met = met.withColumn("at", F.col("band") if end == "a" else F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+        met = met.join(F.broadcast(both), F.col("b").eqNullSafe(F.col("p_b")) & (F.col("at") == F.col("p_band")))
+        mine, others = ("parts_a", "parts_b") if end == "a" else ("parts_b", "parts_a")
+        met = met.withColumn("mine", F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        place = ("mine", "other") if end == "a" else ("other", "mine")
+        cell = F.to_json(F.array(F.col("b").cast("string"), *[F.col(c).cast("string") for c in ("at", *place)]), {"ignoreNullFields": "false"})
+        ends.append(met.select("id", F.struct(cell.alias("cell"), F.lit(end).alias("end"), "rank", "n").alias("place")))
     kind = texts.schema["id"].dataType.simpleString()
-    cells = ends[0].unionByName(ends[1]).groupBy("cell").applyInArrow(_bounded(low, bool(side)), f"cell string, k_a long, k_b long, id_a {kind}, id_b {kind}")
-    pairs = keep.table(cells, "bounded")
-    keys = ["cell", "k_a", "k_b"]
-    wanted = pairs.select(*keys, F.col("id_a").alias("id")).union(pairs.select(*keys, F.col("id_b").alias("id"))).distinct()
-    held = wanted.join(rows.select("id", "text"), "id").toDF("id", *keys, "text")
+    # a row's places come together, so its text is shuffled once before it goes to them
+    places = ends[0].unionByName(ends[1]).groupBy("id").agg(F.collect_list("place").alias("places"))
+    sent = rows.select("id", _packed("text").alias("p")).join(places, "id").select("id", F.explode("places").alias("x"), "p.counts", "p.packed").select("x.*", "id", "counts", "packed")
     # a cell's work is not as its bytes are, so small parts are not merged
-    tasks = 16 * max(1, spark.sparkContext.defaultParallelism)
-    pairs, held = (x.repartition(tasks, *keys) for x in (pairs, held))
-    found = pairs.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_compared(least), f"id_a {kind}, id_b {kind}, ratio double")
-    return members, found
+    sent = sent.repartition(16 * max(1, spark.sparkContext.defaultParallelism), "cell")
+    return members, sent.groupBy("cell").applyInArrow(_compared(least), f"id_a {kind}, id_b {kind}, ratio double")
 
 
 def near_pairs(texts: DataFrame, least: float, block: str | None = None, side: str | None = None) -> DataFrame:
